@@ -10,7 +10,13 @@ from lectern.functions import text as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that arrives in fewer splits than there are cores (a single small file)
+    is spread first; a table of many splits is left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def plain(df: DataFrame) -> DataFrame:

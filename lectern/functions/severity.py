@@ -15,7 +15,11 @@ def ordinal(severity: ColumnLike) -> Column:
 
 
 def from_ordinal(value: ColumnLike) -> Column:
-    return F.element_at(words_array(lex.SEVERITIES), col(value).cast("int") + 1)
+    # a chain, since element_at drops the null of a null index when the array has no nulls
+    name = F.lit(None).cast("string")
+    for number, severity in enumerate(lex.SEVERITIES):
+        name = F.when(col(value) == number, severity).otherwise(name)
+    return name
 
 
 def worst(severity: ColumnLike) -> Column:

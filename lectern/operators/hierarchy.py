@@ -29,18 +29,22 @@ def flatten(courses: DataFrame, level: str, keys: Sequence[str] = ("course_id",)
     ``courses`` holds course documents (nested rows). Exploding stays on the course's row: no
     shuffle. ``outer`` keeps parents without children.
     """
-    out = courses.withColumn("entity_path", T.words_array([]))
     explode = F.posexplode_outer if outer else F.posexplode
-    parent, carried = None, []
-    for name, array, key in LEVELS[: LEVEL_NAMES.index(level) + 1]:
-        source = F.col(array) if parent is None else F.col(parent)[array]
-        out = out.select(*keys, "entity_path", *carried, explode(source).alias(f"{name}_pos", name))
-        out = out.withColumn("entity_path", F.array_append("entity_path", key(F.col(name))))
-        # the parent keeps its own fields only; its children are exploded already
-        if parent is not None:
-            out = out.withColumn(parent, F.col(parent).dropFields(array))
+    out = courses.select(*keys, T.words_array([]).alias("entity_path"), F.col("domain_modules").alias("_children"))
+    carried: list[str] = []
+    depth = LEVEL_NAMES.index(level)
+    for n, (name, _, key) in enumerate(LEVELS[: depth + 1]):
+        out = out.select(*keys, "entity_path", *carried, explode("_children").alias(f"{name}_pos", name))
         carried += [f"{name}_pos", name]
-        parent = name
+        if n < depth:
+            # children leave their parent before they are exploded: no row carries its siblings
+            below = LEVELS[n + 1][1]
+            out = out.select(
+                *keys, F.array_append("entity_path", key(F.col(name))).alias("entity_path"), *carried[:-1],
+                F.col(name).dropFields(below).alias(name), F.col(name)[below].alias("_children"),
+            )
+        else:
+            out = out.withColumn("entity_path", F.array_append("entity_path", key(F.col(name))))
     return out.withColumn("entity_type", F.lit(level))
 
 
@@ -104,12 +108,13 @@ def failed_results(results: DataFrame) -> DataFrame:
 
 def course_summary(courses: DataFrame) -> DataFrame:
     """Counts per course document, in place."""
-    chain, parents = {}, None
+    def children(parents: Column, array: str) -> Column:
+        return F.flatten(F.filter(F.transform(parents, lambda p: p[array]), lambda x: x.isNotNull()))
+
+    chain: dict[str, Column] = {}
     for name, array, _ in LEVELS:
-        parents = F.col(array) if parents is None else F.flatten(
-            F.filter(F.transform(parents, lambda p, a=array: p[a]), lambda x: x.isNotNull())
-        )
-        chain[name] = parents
+        chain[name] = children(chain[last], array) if chain else F.col(array)
+        last = name
     count = lambda name: F.coalesce(F.size(chain[name]), F.lit(0))
     filled = F.size(F.filter(chain["item"], lambda i: F.coalesce(i["content"], F.lit("")) != ""))
     return courses.select(

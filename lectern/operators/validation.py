@@ -129,6 +129,12 @@ def check_entities(entities: DataFrame, entity_type: str, extra: Sequence[Rule]
     )
 
 
+RESULT = (
+    "struct<entity_type:string,entity_id:string,entity_path:array<string>,overall_status:string,issues:array<struct<"
+    "severity:string,rule_name:string,description:string,field_path:string,suggested_fix:string>>>"
+)
+
+
 def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",), extra: Sequence[Rule] = ()) -> DataFrame:
     """Funnel over course documents: one row per checked entity.
 
@@ -141,7 +147,7 @@ def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",),
         row = F.struct(
             F.lit(kind).alias("entity_type"), key.alias("entity_id"), path.alias("entity_path"),
             status.alias("overall_status"), found.alias("issues"),
-        )
+        ).cast(RESULT)
         return row, status
 
     def below(depth: int, parent: Column | None, path: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.operators import ambiguity, claims, gates, metrics, novelty, quotes, scoring, validation
 from lectern.operators.chunking import assign_chunk_ids, chunk_books
 from lectern.operators.corrections import apply_queue, build_queue, course_status
+from lectern.operators.durable import durable
 from lectern.operators.hierarchy import flatten
 from lectern.operators.routing import collection_plan, distinct_files, fan_out, top_folder
 from lectern.plans.presets import BALANCED, QualityConfig
@@ -88,9 +89,9 @@ def validate_and_correct(
     courses: DataFrame, replies: DataFrame | None, source_version: int = 1
 ) -> dict[str, DataFrame]:
     """Course documents -> results, report, queue, new item rows, outcome and status."""
-    results = validation.validate_documents(courses)
+    results = durable(validation.validate_documents(courses))
     positioned = results.withColumn("result_pos", F.array_join("entity_path", "\x1f"))
-    queue = build_queue(positioned)
+    queue = durable(build_queue(positioned))
     items = flatten(courses, "item").select("course_id", "entity_path", "item.*")
     new_items, outcome = apply_queue(items, queue, replies)
     return {
