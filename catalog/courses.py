@@ -17,6 +17,7 @@ from lectern.operators import corrections as C
 from lectern.operators import hierarchy as H
 from lectern.operators import validation as V
 from lectern.operators.durable import durable
+from lectern.operators.unnest import unnest_structs
 
 
 def courses(spark, sf_dir):
@@ -215,7 +216,7 @@ def validation_report(spark, sf_dir):
 def item_rules(spark, sf_dir):
     flat = H.flatten(courses(spark, sf_dir), "item")
     checked = V.check_entities(flat, "item", struct="item")
-    rows = checked.select(F.inline("issues"))
+    rows = unnest_structs(checked, "issues", [])
     return plain(rows.groupBy("rule_name", "severity", "field_path").agg(F.count(F.lit(1)).alias("issues")))
 
 

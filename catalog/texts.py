@@ -13,6 +13,7 @@ from lectern.functions import naming as N
 from lectern.functions import text as T
 from lectern.operators import chunking, routing
 from lectern.operators.quotes import chunk_quotes, dedup_quotes
+from lectern.operators.unnest import unnest_structs
 
 # cue words that occur in the given texts
 ACTION = "that|for|with"
@@ -158,7 +159,7 @@ SQL_MARKDOWN = (
 
 
 def heading_chunks(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.inline(chunking.heading_sections(_markdown())))
+    pages = unnest_structs(table(spark, sf_dir, "pages"), chunking.heading_sections(_markdown()), ["page_id"])
     return plain(pages.select(
         "page_id", "section_pos", F.coalesce("section_heading", F.lit("(none)")).alias("heading"), F.length("text").alias("chars"), F.md5("text").alias("digest"),
         F.array_join(chunking.image_paths("text"), ",").alias("images"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.durable import numbered
+from lectern.operators.unnest import unnest, unnest_structs
 
 
 def heading_sections(markdown: ColumnLike) -> Column:
@@ -47,9 +48,7 @@ def block_sections(books: DataFrame, key: str = "book_id") -> DataFrame:
     A block whose text equals a heading opens a section; pages are sorted and distinct; a
     leading section without heading is kept only if it has pages.
     """
-    blocks = books.select(
-        key, headings("markdown").alias("_headings"), F.posexplode("blocks").alias("block_pos", "b")
-    ).filter(F.col("b").isNotNull()).select(
+    blocks = unnest(books, "blocks", [key, headings("markdown").alias("_headings")], "b", "block_pos").filter(F.col("b").isNotNull()).select(
         key, "block_pos", F.col("b.page_idx").alias("page_idx"),
         F.when(F.array_contains("_headings", T.strip(F.coalesce("b.text", F.lit("")))), T.strip("b.text")).alias("opens"),
     )
@@ -69,7 +68,7 @@ def chunk_books(books: DataFrame, key: str = "book_id", meta: Sequence[str] = ("
     chunks that are emitted count on the text side; all sections count on the block side. A
     book arrives as one row, so its windows are bounded by that row.
     """
-    chunks = books.select(key, *meta, F.inline(heading_sections("markdown")))
+    chunks = unnest_structs(books, heading_sections("markdown"), [key, *meta])
     by_heading = Window.partitionBy(key, "section_heading")
     chunks = chunks.withColumn("_nth", F.row_number().over(by_heading.orderBy("section_pos")))
     sections = block_sections(books, key).withColumn(

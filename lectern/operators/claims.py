@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lexicon as lex
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
+from lectern.operators.unnest import unnest_structs
 
 PASS, REPAIR, REJECT = "pass", "repair", "reject"
 
@@ -47,7 +48,7 @@ def claims_of(explanation: ColumnLike) -> Column:
 
 def extract_claims(items: DataFrame) -> DataFrame:
     """One row per claim of ``items(item_id, explanation)``."""
-    return items.select("item_id", F.inline(claims_of("explanation")))
+    return unnest_structs(items, claims_of("explanation"), ["item_id"])
 
 
 def is_allowed_inference(claim: ColumnLike) -> Column:
@@ -98,7 +99,7 @@ def match_claims(claims: DataFrame, links: DataFrame, threshold: float = 0.6) ->
         )
 
     hits = (
-        pairs.select("item_id", "chunk_id", "chunk_pos", F.inline(F.transform("claims", scored)))
+        unnest_structs(pairs, F.transform("claims", scored), ["item_id", "chunk_id", "chunk_pos"])
         .groupBy("item_id", "claim_pos", "exact", "shared", "score")
         .agg(F.min_by(F.struct("chunk_pos", "chunk_id", "part"), "chunk_pos").alias("first"))
         .groupBy("item_id", "claim_pos")
@@ -194,36 +195,23 @@ def check_items_against_source(items: DataFrame, links: DataFrame) -> DataFrame:
     ``items(item_id, explanation, correct_answer)``. Each needle is tested per chunk and
     combined with ``bool_or``, so no item's chunks are ever joined into one text.
     """
-    needles = items.select(
-        "item_id",
-        F.posexplode(
-            F.concat(
-                F.transform(
-                    answer_keywords("correct_answer"),
-                    lambda k: F.struct(F.lit("keyword").alias("kind"), k.alias("detail")),
-                ),
-                unsupported_details("explanation"),
-            )
-        ).alias("needle_pos", "n"),
-    ).select("item_id", "needle_pos", "n.kind", "n.detail")
+    wanted = F.concat(
+        F.transform(
+            answer_keywords("correct_answer"),
+            lambda k: F.struct(F.lit("keyword").alias("kind"), k.alias("detail")),
+        ),
+        unsupported_details("explanation"),
+    )
+    needles = unnest_structs(items, wanted, ["item_id"], "needle_pos")
     per_item = needles.groupBy("item_id").agg(
         F.collect_list(F.struct("needle_pos", "kind", "detail")).alias("needles")  # one text's
     )
+    hits = F.transform(
+        "needles",
+        lambda n: F.struct(n["needle_pos"].alias("needle_pos"), F.col("low").contains(n["detail"]).alias("hit")),
+    )
     tested = (
-        links.join(per_item, "item_id")
-        .withColumn("low", F.lower("text"))
-        .select(
-            "item_id",
-            F.inline(
-                F.transform(
-                    "needles",
-                    lambda n: F.struct(
-                        n["needle_pos"].alias("needle_pos"),
-                        F.col("low").contains(n["detail"]).alias("hit"),
-                    ),
-                )
-            ),
-        )
+        unnest_structs(links.join(per_item, "item_id").withColumn("low", F.lower("text")), hits, ["item_id"])
         .groupBy("item_id", "needle_pos")
         .agg(F.bool_or("hit").alias("hit"))
     )

@@ -12,6 +12,7 @@ from lectern.functions import replies as R
 from lectern.functions import severity as S
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.durable import first_by
+from lectern.operators.unnest import unnest_structs
 from lectern.operators.validation import RULES
 
 
@@ -77,9 +78,10 @@ def build_queue(
     Entities are told apart by path; ``by_entity_id`` uses the bare id, which lets same-named
     items of other capsules hide each other. ``order`` is the result's position.
     """
-    long = results.filter(F.col("overall_status") != "passed").select(
-        *keys, order, "entity_type", "entity_id", "entity_path", F.posexplode("issues").alias("issue_pos", "i")
-    ).select("*", "i.*").drop("i").filter(F.col("severity") != "passed")
+    long = unnest_structs(
+        results.filter(F.col("overall_status") != "passed"), "issues",
+        [*keys, order, "entity_type", "entity_id", "entity_path"], "issue_pos",
+    ).filter(F.col("severity") != "passed")
     entity = ["entity_id"] if by_entity_id else ["entity_type", "entity_path"]
     once = first_by([*keys, *entity, "rule_name"], F.struct(order, "issue_pos"), long)
     return to_actions(once, auto_fix_minor).orderBy(F.desc("priority"), *keys, order, "issue_pos")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lexicon as lex
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
+from lectern.operators.unnest import unnest_structs
 
 HARD, REPAIR, SOFT = "tier_1_hard", "tier_2_repair", "tier_3_soft"
 
@@ -346,7 +347,7 @@ def run_gates(
 
 def gates_long(gated: DataFrame) -> DataFrame:
     """One row per item and check."""
-    return gated.select("item_id", F.inline("checks"))
+    return unnest_structs(gated, "checks", ["item_id"])
 
 
 def _names(test) -> Column:

@@ -29,12 +29,14 @@ def flatten(courses: DataFrame, level: str, keys: Sequence[str] = ("course_id",)
     ``courses`` holds course documents (nested rows). Exploding stays on the course's row: no
     shuffle. ``outer`` keeps parents without children.
     """
-    explode = F.posexplode_outer if outer else F.posexplode
     out = courses.select(*keys, T.words_array([]).alias("entity_path"), F.col("domain_modules").alias("_children"))
     carried: list[str] = []
     depth = LEVEL_NAMES.index(level)
     for n, (name, _, key) in enumerate(LEVELS[: depth + 1]):
-        out = out.select(*keys, "entity_path", *carried, explode("_children").alias(f"{name}_pos", name))
+        out = out.select(*keys, "entity_path", *carried, F.posexplode_outer("_children").alias(f"{name}_pos", name))
+        if not outer:
+            # see unnest: a plain explode would evaluate the documents' arrays again for a filter
+            out = out.filter(F.col(f"{name}_pos").isNotNull())
         carried += [f"{name}_pos", name]
         if n < depth:
             # children leave their parent before they are exploded: no row carries its siblings

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import replies as R
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike
+from lectern.operators.unnest import unnest
 
 CONTENT = "stem string, options array<string>, correct_index int, explanation string, source_summary string"
 # level: array key, entry fields, required fields
@@ -74,7 +75,7 @@ def ingest_level(replies: DataFrame, level: str, key: str = "parent_id") -> tupl
     fields = [f.split(":")[0] for f in shape[len("struct<"):-1].split(",")]
     lists = {f.split(":")[0] for f in shape.split(",") if "array<string>" in f}
     entry = lambda f: R.empty_texts(f"e.{f}").alias(f) if f in lists else F.col(f"e.{f}").alias(f)
-    out = good.select(key, F.posexplode("entries").alias("pos", "e")).select(key, "pos", *[entry(f) for f in fields])
+    out = unnest(good, "entries", [key], "e", "pos").select(key, "pos", *[entry(f) for f in fields])
     bad = rows.filter(~(F.col("_ok") & F.col("_complete"))).select(
         key, F.lit(False).alias("success"),
         F.when(~F.col("_ok"), "reply is not a JSON object").otherwise("required key missing").alias("error"),

@@ -10,6 +10,7 @@ from lectern.functions import replies as R
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.ambiguity import repeated
+from lectern.operators.unnest import unnest
 
 LOCK = "struct<lock_type:string,constraint_text:string,eliminates_options:array<string>>"
 SUPPORT = "struct<quote_id:string,role:string,supports_claim:string>"
@@ -132,7 +133,7 @@ def _open(value: ColumnLike) -> Column:
 
 def missing_supports(plans: DataFrame, quotes: DataFrame) -> DataFrame:
     """Support entries that name a quote the item does not have."""
-    used = plans.select("item_id", F.posexplode("support_mapping").alias("support_pos", "s"))
+    used = unnest(plans, "support_mapping", ["item_id"], "s", "support_pos")
     return used.select("item_id", "support_pos", "s.quote_id").join(
         quotes.select("item_id", "quote_id").distinct(), ["item_id", "quote_id"], "left_anti"
     )
@@ -258,7 +259,7 @@ def queries_by_intent(plans: DataFrame, *intents: str) -> DataFrame:
     """Query rows of the given intents, ordered by intent as listed, then plan position."""
     rank = F.array_position(T.words_array(intents), F.col("q.intent"))
     return (
-        plans.select("item_id", F.posexplode("queries").alias("plan_pos", "q"))
+        unnest(plans, "queries", ["item_id"], "q", "plan_pos")
         .filter(F.col("q.intent").isin(list(intents)))
         .select("item_id", rank.alias("intent_rank"), "plan_pos", "q.*")
     )

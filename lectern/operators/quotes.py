@@ -12,6 +12,7 @@ from lectern.functions.fuzzy import fuzzy_similarity
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.durable import first_by
 from lectern.operators.retrieval import vector_topk
+from lectern.operators.unnest import unnest
 
 PER_CHUNK = 3
 
@@ -23,7 +24,7 @@ def chunk_quotes(
     found = T.quotable_sentences("text", target, **lexicon)
     ranked = chunks.withColumn("_found", F.slice(found, 1, keep))
     rest = [c for c in chunks.columns if c != "text"]
-    out = ranked.select(*rest, F.posexplode("_found").alias("quote_rank", "_q"))
+    out = unnest(ranked, "_found", rest, "_q", "quote_rank")
     return out.select(*rest, (F.col("quote_rank") + 1).alias("quote_rank"), "_q.*")
 
 
@@ -91,11 +92,8 @@ def _summary(read: DataFrame) -> DataFrame:
 
 
 def _quotes(read: DataFrame, round_no: int) -> DataFrame:
-    return read.select(
-        "item_id", "chunk_id", "chunk_index", "query_pos", "rank",
-        F.lit(round_no).alias("round"),
-        F.posexplode("found").alias("quote_pos", "_q"),
-    ).select("*", "_q.sentence", "_q.score", "_q.start_char", "_q.end_char").drop("_q")
+    keep = ["item_id", "chunk_id", "chunk_index", "query_pos", "rank", F.lit(round_no).alias("round")]
+    return unnest(read, "found", keep, "_q", "quote_pos").select("*", "_q.sentence", "_q.score", "_q.start_char", "_q.end_char").drop("_q")
 
 
 def two_round_quotes(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import replies as R
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
+from lectern.operators.unnest import unnest
 
 MAX_ATTEMPTS = 2
 REPAIR_TYPE = {"distractor_quality": "distractors", "decision_grounding": "explanation"}
@@ -19,7 +20,7 @@ def can_repair(tier_1: ColumnLike = "tier_1_passed", tier_2: ColumnLike = "tier_
 
 def route_repairs(gated: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """One row per failed repair gate: a repair to request, or a remaining issue."""
-    failed = gated.select("item_id", F.posexplode("checks").alias("check_pos", "c")).filter(
+    failed = unnest(gated, "checks", ["item_id"], "c", "check_pos").filter(
         (F.col("c.tier") == "tier_2_repair") & (F.col("c.result") == "fail")
     )
     kind = F.lit(None).cast("string")

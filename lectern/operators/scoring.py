@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import ColumnLike, col
+from lectern.operators.unnest import unnest
 
 # fixed values: weights and thresholds
 WEIGHTS = {"grounding": 0.30, "consistency": 0.25, "scope": 0.15, "distractors": 0.20, "novelty": 0.10}
@@ -122,7 +123,7 @@ def improvement_suggestions(scored: DataFrame) -> DataFrame:
     """One row per item and dimension under 0.7."""
     text = F.create_map(*[F.lit(x) for kv in SUGGESTIONS.items() for x in kv])
     return (
-        scored.select("item_id", F.posexplode("dimension_scores").alias("place", "d"))
+        unnest(scored, "dimension_scores", ["item_id"], "d", "place")
         .filter(F.col("d.score") < 0.7)
         .select("item_id", "place", "d.dimension", F.element_at(text, F.col("d.dimension")).alias("suggestion"))
     )

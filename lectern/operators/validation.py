@@ -14,6 +14,7 @@ from lectern.functions import severity as S
 from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.hierarchy import LEVELS
+from lectern.operators.unnest import unnest_structs
 
 Fields = Callable[[str], Column]
 
@@ -173,7 +174,7 @@ def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",),
     everything = F.when(status == "critical", F.array(root)).otherwise(
         F.concat(F.array(root), below(0, None, T.words_array([])))
     )
-    return courses.select(*keys, F.inline(everything))
+    return unnest_structs(courses, everything, list(keys))
 
 
 def funnel(levels: Sequence[tuple[str, DataFrame]], path_keys: Sequence[str]) -> DataFrame:
@@ -264,7 +265,7 @@ def review_issues(replies: DataFrame) -> DataFrame:
         ),
     )
     failed = F.array(_issue("minor", "quality_check_error", "Quality check failed", "content"))
-    return rows.select("item_id", F.inline(F.when(F.col("ok"), listed).otherwise(failed)))
+    return unnest_structs(rows, F.when(F.col("ok"), listed).otherwise(failed), ["item_id"])
 
 
 def merge_review(results: DataFrame, found: DataFrame) -> DataFrame:
