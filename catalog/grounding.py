@@ -132,7 +132,7 @@ def claim_repairs(spark, sf_dir):
     sources = links(spark, sf_dir)
     words = T.split_words(F.get(T.sentences("text"), F.lit(0)))
     changed = F.transform(words, lambda w, i: F.when(i % 3 == 0, F.lit("zz")).otherwise(w))
-    items = sources.select(F.col("chunk_id").alias("item_id"), F.array_join(changed, " ").alias("explanation"))
+    items = sources.select(F.col("chunk_id").alias("item_id"), F.regexp_replace(F.array_join(changed, " "), r"[.!?]", "").alias("explanation"))
     own = sources.withColumn("item_id", F.col("chunk_id"))
     matched = C.match_claims(C.extract_claims(items), own, 0.3)
     return plain(C.repair_list(matched).select("item_id", "claim_pos", "claim", "source_text"))
@@ -250,7 +250,7 @@ SELECT item_id, CASE WHEN k > 0 OR x > p THEN 'reject' WHEN r > 0 THEN 'repair'
   CASE WHEN k > 0 THEN 'critical_claims' WHEN x > p THEN 'too_many_unverified' ELSE '' END AS rejection_reason FROM v"""),
     "claim_repairs": (claim_repairs, f"""
 WITH w AS (SELECT doc_id AS item_id, {sql_words(f"({sql_sentences('text')})[1]")} AS w FROM documents),
-source_items AS (SELECT item_id, array_to_string(list_transform(w, lambda z, i: CASE WHEN (i - 1) % 3 = 0 THEN 'zz' ELSE z END), ' ') AS explanation FROM w),
+source_items AS (SELECT item_id, regexp_replace(array_to_string(list_transform(w, lambda z, i: CASE WHEN (i - 1) % 3 = 0 THEN 'zz' ELSE z END), ' '), '[.!?]', '', 'g') AS explanation FROM w),
 links AS (SELECT doc_id AS item_id, doc_id AS chunk_id, 0 AS chunk_pos, text FROM documents), {_claims_sql('source_items')}, {_match_sql(0.3)}
 SELECT item_id, claim_pos, claim[1:100] AS claim, part AS source_text FROM judged WHERE status = 'repair' AND part IS NOT NULL"""),
     "quote_verify": (quote_verify, SQL_QUOTES),
