@@ -28,6 +28,8 @@ def plain(df: DataFrame) -> DataFrame:
             c = c.cast("long")
         elif isinstance(f.dataType, (Ty.DoubleType, Ty.FloatType, Ty.DecimalType)):
             c = F.round(c.cast("double"), 6)
+        elif isinstance(f.dataType, Ty.TimestampType):
+            c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, Ty.ArrayType):
             c = F.array_join(c.cast("array<string>"), "|", "")
         out.append(c.alias(f.name))

@@ -383,8 +383,8 @@ SELECT item_id, CASE WHEN risks > 0 THEN 'ambiguous' ELSE 'clear' END AS status,
     "distractor_review": (distractor_review, f"""
 WITH {SQL_OPTIONS},
 c AS (SELECT *, len(list_filter(list_filter(o, lambda z, i: i - 1 <> correct), lambda z: regexp_matches(lower(z), '{lex.CARTOONISH_PATTERN}'))) AS odd,
-        (SELECT count(*) FROM similar_pair s WHERE s.item_id = x.item_id AND NOT has_answer) AS similar FROM opt x)
-SELECT item_id, (similar + CASE WHEN difficulty = 'advanced' THEN odd + (odd > 0)::INT WHEN difficulty = 'beginner' THEN (odd < 2)::INT ELSE 0 END)::BIGINT AS issues FROM c"""),
+        (SELECT count(*) FROM similar_pair s WHERE s.item_id = x.item_id AND NOT has_answer) AS n_similar FROM opt x)
+SELECT item_id, (n_similar + CASE WHEN difficulty = 'advanced' THEN odd + (odd > 0)::INT WHEN difficulty = 'beginner' THEN (odd < 2)::INT ELSE 0 END)::BIGINT AS issues FROM c"""),
     "distractor_balance": (distractor_balance, f"""
 WITH p AS (SELECT doc_id, {_PICK} AS p, ['beginner', 'intermediate', 'advanced', 'other'][(doc_id % 4 + 1)::INT] AS d FROM documents),
 c AS (SELECT *, len(list_filter(p, lambda z: z IN ('opposite', 'violates_protocol'))) AS clear, len(list_filter(p, lambda z: z <> 'wrong_sequence')) AS other,

@@ -95,7 +95,7 @@ def match_claims(claims: DataFrame, links: DataFrame, threshold: float = 0.6) ->
             exact.alias("exact"),
             F.when(exact, F.lit(-1)).otherwise(shared).alias("shared"),
             (shared / size).alias("score"),
-            F.when(~exact & (shared / size > 0.5), T.strip(part)).alias("part"),
+            F.when(~exact, T.strip(part)).alias("part"),
         )
 
     hits = (

@@ -118,7 +118,7 @@ def review_sessions(reviews: DataFrame, gap_seconds: int, bucket_seconds: int =
     Two levels, so that a learner with a third of all reviews is not one task: reviews are
     joined to islands inside time buckets first, then the few islands of a learner are chained.
     """
-    seconds = F.unix_micros("ts")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = gap_seconds * 1_000_000
     bucketed = reviews.withColumn("_t", seconds).withColumn("_bucket", F.floor(F.col("_t") / (bucket_seconds * 1_000_000)))
     inside = Window.partitionBy(key, "_bucket").orderBy("_t")
