@@ -376,7 +376,7 @@ SQL_APPLIED = f"""
 {SQL_ISSUES},
 outcome AS (SELECT *, CASE action_type WHEN 'regenerate' THEN 'applied' ELSE 'skipped' END AS status FROM action),
 first_action AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, mi, ti, si ORDER BY priority DESC, md5(concat_ws(chr(31), 'item', replace(path, '/', chr(31)), rule_name))[1:16]) AS rn
+  SELECT *, row_number() OVER (PARTITION BY doc_id, mi, ti, si ORDER BY priority DESC, md5(concat_ws(chr(31), doc_id::VARCHAR, 'item', replace(path, '/', chr(31)), rule_name))[1:16]) AS rn
   FROM action WHERE action_type = 'regenerate')
 """
 

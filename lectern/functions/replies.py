@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import ColumnLike, col, strip, words_array
 
-FENCE = "```"
+# the opening fence line, the body, and a last line that is a closing fence
+FENCED = r"(?s)\A```[^\n]*\n?(.*?)(?:(?:(?<=\n)|\n)[^\S\n]*```)?\z"
 
 
 def strip_fences(text: ColumnLike) -> Column:
     """Drop the opening fence line and a closing fence line; other text is only trimmed."""
-    text = strip(text)
-    body = F.slice(F.split(text, "\n"), F.lit(2), F.size(F.split(text, "\n")))
-    last = F.try_element_at(body, F.lit(-1))
-    cut = F.when(strip(last) == FENCE, F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
-    return F.when(text.startswith(FENCE), F.array_join(cut, "\n")).otherwise(text)
+    return F.regexp_replace(strip(text), FENCED, "$1")
 
 
 def parsed(text: ColumnLike) -> Column:

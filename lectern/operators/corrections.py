@@ -46,8 +46,9 @@ def regenerate_text() -> Column:
     )
 
 
-def to_actions(found: DataFrame, auto_fix_minor: bool = True) -> DataFrame:
-    """One action per issue row. Ids are digests of the key, so a rerun gives the same ids."""
+def to_actions(found: DataFrame, auto_fix_minor: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """One action per issue row. Ids are digests of course keys, path and rule, so they are unique
+    over all courses and a rerun gives the same ids."""
     fix = auto_fix("rule_name", "field_path", "suggested_fix")
     minor = (F.col("severity") == "minor") & F.lit(auto_fix_minor)
     fixable = minor & (F.size(fix) > 0)
@@ -58,7 +59,8 @@ def to_actions(found: DataFrame, auto_fix_minor: bool = True) -> DataFrame:
     extra = [c for c in rows.columns if c not in (
         "severity", "rule_name", "description", "field_path", "suggested_fix", "source_evidence", "entity_type", "entity_id", "entity_path",
     )]
-    key = F.md5(F.concat_ws("\x1f", F.col("entity_type"), F.array_join("entity_path", "\x1f"), F.col("rule_name")))
+    course = [F.col(k).cast("string") for k in keys]
+    key = F.md5(F.concat_ws("\x1f", *course, F.col("entity_type"), F.array_join("entity_path", "\x1f"), F.col("rule_name")))
     return rows.select(
         *extra, F.concat(F.lit("action_"), F.substring(key, 1, 16)).alias("action_id"),
         "entity_type", "entity_id", "entity_path", "rule_name", kind.alias("action_type"),
@@ -84,7 +86,7 @@ def build_queue(
     ).filter(F.col("severity") != "passed")
     entity = ["entity_id"] if by_entity_id else ["entity_type", "entity_path"]
     once = first_by([*keys, *entity, "rule_name"], F.struct(order, "issue_pos"), long)
-    return to_actions(once, auto_fix_minor).orderBy(F.desc("priority"), *keys, order, "issue_pos")
+    return to_actions(once, auto_fix_minor, keys).orderBy(F.desc("priority"), *keys, order, "issue_pos")
 
 
 def critical_item_rules(fields) -> Column:
