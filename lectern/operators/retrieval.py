@@ -133,43 +133,40 @@ def _scan_with_queries(queries, chunks, k, metric, schema, types) -> DataFrame:
     return chunks.mapInArrow(scan, schema)
 
 
-def _blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a hash block per row, and the number of blocks per collection."""
-    counts = df.groupBy("collection").agg(
+def _block_counts(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Number of blocks each collection needs."""
+    return df.groupBy("collection").agg(
         F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(f"{name}_blocks")
     )
-    return df, counts
 
 
 def _grid(queries, chunks, k, metric, schema, types, rows) -> DataFrame:
-    queries, q_counts = _blocks(queries, "query_id", rows, "q")
-    chunks, c_counts = _blocks(chunks, "chunk_id", rows, "c")
-    counts = q_counts.join(c_counts, "collection")  # one skinny row per collection
+    # one skinny row per collection
+    counts = _block_counts(queries, rows, "q").join(_block_counts(chunks, rows, "c"), "collection")
 
     def cells(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         return (
             df.join(counts, "collection")
             .withColumn(f"{own}_block", F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")))
             .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
-            .select(key, "collection", "vector",
-                    F.col("q_block").cast("int"), F.col("c_block").cast("int"))
+            # new names, so that both sides may come from one table
+            .select(*[F.col(c).alias(f"{own}_{c}") for c in (key, "collection", "vector")],
+                    F.col("q_block").cast("int").alias(f"{own}_q"), F.col("c_block").cast("int").alias(f"{own}_c"))
         )
 
-    keys = ["collection", "q_block", "c_block"]
-
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([_hits(np.array([]), [], types)])
         found = _nearest(
-            _matrix(left.column("vector")), _matrix(right.column("vector")),
-            np.array(right.column("chunk_id").to_pylist(), dtype=object), k, metric,
+            _matrix(left.column("q_vector")), _matrix(right.column("c_vector")),
+            np.array(right.column("c_chunk_id").to_pylist(), dtype=object), k, metric,
         )
-        query_ids = np.array(left.column("query_id").to_pylist(), dtype=object)
+        query_ids = np.array(left.column("q_query_id").to_pylist(), dtype=object)
         return pa.Table.from_batches([_hits(query_ids, found, types)])
 
     return (
-        cells(queries, "query_id", "q", "c").groupBy(*keys)
-        .cogroup(cells(chunks, "chunk_id", "c", "q").groupBy(*keys))
+        cells(queries, "query_id", "q", "c").groupBy("q_collection", "q_q", "q_c")
+        .cogroup(cells(chunks, "chunk_id", "c", "q").groupBy("c_collection", "c_q", "c_c"))
         .applyInArrow(cell, schema)
     )
 
