@@ -22,14 +22,16 @@ def _similarity(tag: str, terms: set, other_tag: str, other_terms: set) -> float
     return tags * TAG_WEIGHT + _overlap(terms, other_terms) * TERM_WEIGHT
 
 
-def novelty_registry(items: DataFrame, threshold: float = 0.85, keep_for: str = "1 day") -> DataFrame:
+def novelty_registry(items: DataFrame, threshold: float = 0.85, keep_for: str | None = None) -> DataFrame:
     """Greedy novelty per capsule on a stream of ``(capsule_id, item_id, pos, concept_tag,
     learning_target)``.
 
-    State holds a capsule's kept signatures; a capsule that stays silent is forgotten.
+    State holds a capsule's kept signatures. With ``keep_for`` a capsule that stays silent that
+    long is forgotten; such a query looks for silent keys all the time and never runs dry.
     """
     signed = signatures(items).select("capsule_id", "item_id", "pos", "tag", "terms")
-    milliseconds = int(pd.Timedelta(keep_for).total_seconds() * 1000)
+    milliseconds = keep_for and int(pd.Timedelta(keep_for).total_seconds() * 1000)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_for else GroupStateTimeout.NoTimeout
 
     def judge(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,14 +53,15 @@ def novelty_registry(items: DataFrame, threshold: float = 0.85, keep_for: str =
                 known.append((row.tag, words))
             out.append((key[0], row.item_id, novel, None if novel else best_tag, best))
         state.update(([t for t, _ in known], [sorted(w) for _, w in known]))
-        state.setTimeoutDuration(milliseconds)
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame(out, columns=["capsule_id", "item_id", "is_novel", "duplicate_of", "similarity"])
 
     ids = dict(items.dtypes)
     return signed.groupBy("capsule_id").applyInPandasWithState(
         judge,
         f"capsule_id {ids['capsule_id']}, item_id {ids['item_id']}, is_novel boolean, duplicate_of string, similarity double",
-        "tags array<string>, terms array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "tags array<string>, terms array<array<string>>", "append", timeout,
     )
 
 

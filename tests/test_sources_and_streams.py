@@ -138,9 +138,11 @@ def stream_of(spark, df, path, files=3):
 
 
 def drain(df, mode, name, tmp_path):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck_{name}")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = (
+        df.writeStream.outputMode(mode).format("memory").queryName(name)
+        .option("checkpointLocation", str(tmp_path / f"ck_{name}")).trigger(availableNow=True).start()
+    )
+    assert q.awaitTermination(60), "stream did not end"
     return df.sparkSession.table(name)
 
 
