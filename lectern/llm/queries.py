@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import near_dup, pii, quality_rules
+from lectern.llm import decontaminate, near_dup, pii, quality_model, quality_rules
 from lectern.llm.common import table
-from lectern.llm.twins import NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES
+from lectern.llm.twins import DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +17,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, as its contract says."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_pii": (op1_pii, PERSONAL_DATA),
     "op2_quality_rules": (op2_quality_rules, QUALITY_RULES),
+    "op6_decontamination": (op6_decontamination, DECONTAMINATION),
     "op7_near_duplicates": (op7_near_duplicates, NEAR_DUPLICATES),
+    "op9_quality_classifier": (op9_quality_classifier, None),
 }

@@ -101,3 +101,37 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 
 
 NEAR_DUPLICATES = near_duplicates(2)
+
+_TOKENS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def decontamination(docs: str = "documents") -> str:
+    """Masked windows meet as texts; sums of points and their least earlier sum give the best stretch."""
+    masked = lambda m: " || ' ' || ".join(f"w[i + {o}]" for o in range(12) if o % 3 != m)
+    long_ = " UNION ALL ".join(f"SELECT id, i, {m} AS k, {masked(m)} AS x FROM p" for m in range(3))
+    def side(name: str, source: str) -> str:
+        return f"""
+{name}_p AS (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM {source}),
+{name}_l AS ({long_.replace("FROM p", f"FROM {name}_p")})"""
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id AS id, {_TOKENS} AS w FROM {docs} WHERE doc_id IS NOT NULL),
+b AS MATERIALIZED (SELECT DISTINCT item_id AS id, w FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) >= 5),
+{side("dw", "d")}, {side("bw", "b")},
+short AS (SELECT id, len(w) AS n, array_to_string(w, ' ') AS x FROM b WHERE len(w) < 12),
+sw AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (
+  SELECT d.id, d.w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM short))),
+hit AS MATERIALIZED (
+  SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i - y.i AS shift FROM dw_l x JOIN bw_l y ON x.k = y.k AND x.x = y.x
+  UNION SELECT sw.id, short.id, sw.i - 1 FROM sw JOIN short ON sw.n = short.n AND sw.x = short.x),
+laid AS (SELECT doc_id, item_id, shift, i, CASE WHEN shift + i BETWEEN 1 AND len(d.w) AND d.w[shift + i] = b.w[i] THEN 1 ELSE -2 END AS point, len(b.w) AS size
+         FROM (SELECT hit.*, unnest(range(1, len(b.w) + 1)) AS i FROM hit JOIN b ON b.id = item_id) JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
+sums AS (SELECT *, sum(point) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS s FROM laid),
+least_ AS (SELECT *, least(0, min(s * 1000000 - i) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS l FROM sums),
+scored AS (SELECT *, s - ceil(l / 1000000.0) AS score, (ceil(l / 1000000.0) * 1000000 - l)::BIGINT AS start FROM least_),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, shift, i) = 1)
+SELECT doc_id, item_id, score::BIGINT AS score, (shift + start)::BIGINT AS first_token, (i - start)::BIGINT AS n_tokens
+FROM best WHERE score >= least(9, size)
+"""
+
+
+DECONTAMINATION = decontamination()
