@@ -7,11 +7,12 @@ whole shingle sets confirm them.
 1. Documents with equal sets are folded into the one with the least id.
 2. Every document of the rest meets the least document of all its buckets; confirmed links are
    merged. Groups of copies shrink to one component here, with one pair a document.
-3. The same with the greatest document of each bucket.
-4. Pairs that are still in different components and share at least two buckets are confirmed.
+3. The same with the greatest document of each bucket that still holds different components.
+4. Pairs in different components that share at least two buckets are confirmed, unless their rarest
+   shingles already show that they can't be similar enough.
 
-No pair inside a component is made in step 4, so that a group of near copies, however large,
-costs rows in proportion to its size.
+No pair inside a component is made in step 4, and copies that have drifted apart, or documents that
+merely share a passage, have other rare shingles, so rows stay in proportion to the documents.
 
 With 80 bands of 7 values a pair at similarity 0.8 shares on average 17 buckets; it is missed,
 with fewer than two, at a chance of about 2e-7, and every pair above that is likelier found.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import let, lower_ascii, positions, stored, words
@@ -35,6 +36,8 @@ from lectern.llm.components import components
 
 BANDS, ROWS = 80, 7
 SLICE = 1 << 17
+#: Up to this many ids (8 bytes each) are sent to every executor to find their texts; more are shuffled.
+BROADCAST_IDS = 2_000_000
 SIGNED = "id long, n long, f1 long, f2 long, keys array<long>"
 
 
@@ -105,10 +108,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total")).filter(
-        100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))
+        F.lit(100) * F.col("shared") >= percent * (F.col("total") - F.col("shared"))
     ).select("a", "b")
 
 
+def _mixed(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the component ``c`` and the
+    greatest document of the bucket."""
+    labels = components(links)
+    known = met.join(labels, met["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    ends = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rep").alias("high"))
+    return known.join(ends.filter("c0 < c1").select("key", "high"), "key")
+
+
+def _close(m: Column, n: Column, percent: int) -> Column:
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def _by_rarest(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (rep, n, c, keys) in different components that share two buckets or
+    more and one of the rarest shingles of each.
+
+    A set that is similar enough to another can lack at most n - ceil(n * percent / 100) of its
+    shingles there, so of one more than that, the rarest, the other has at least one, and so the
+    other way round with the same order of rarity. Common shingles make no pairs that way.
+    """
+    each = docs.select("rep", "n", "c").join(sets, F.col("rep") == F.col("id")).select("rep", "n", "c", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("times"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    ranked = each.join(often, "shingle").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("times", "shingle")))
+    head = ranked.filter(F.col("nth") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).filter("c0 < c1")
+    head = stored(head.select("shingle", "rep", "n", "c", "nth"))
+    x = head.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("nth").alias("ia"))
+    y = head.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("nth").alias("ib"))
+    shared = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / (100 + percent))  # at the least, if similar enough
+    early = (F.col("ia") <= F.col("na") - shared + 1) & (F.col("ib") <= F.col("nb") - shared + 1)
+    pairs = x.join(y, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), percent) & early)
+    keys = docs.select("rep", "keys")
+    both = pairs.select("a", "b").distinct().join(keys.toDF("a", "of_a"), "a").join(keys.toDF("b", "of_b"), "b")
+    return both.filter(F.size(F.array_intersect("of_a", "of_b")) >= 2).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id that it is linked to,
     directly or not, or its own) and kept (it is that one)."""
@@ -118,34 +157,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     same = ["n", "f1", "f2"]
     folded = stored(signed.groupBy(*same).agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("rep")))
-    buckets = stored(folded.select("rep", "n", F.explode("keys").alias("key")))
-    spans = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    met = stored(buckets.join(spans, "key"))
-
-    def close(a: str, b: str) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    involved = met.select("rep").distinct()
-    whole = source.filter("id IS NOT NULL").join(involved, F.col("id") == F.col("rep"), "left_semi")
-    own_sets = stored(whole.dropDuplicates(["id"]).select("id", shingles(F.col("text"), size).alias("shingles")))
-
-    first = met.groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a")).filter("a < b")
-    links = stored(_confirmed(first, own_sets, percent))
-    for nth in (2, 3):
-        labels = components(links)
-        known = met.join(labels, met["rep"] == labels["node"], "left").select("rep", "n", "key", "low", "high", F.coalesce("component", "rep").alias("c"))
-        if nth == 2:
-            tops = known.select("key", F.col("high").alias("b"), F.col("rep").alias("a"), F.col("c").alias("ca")).filter("a < b")
-            of_top = known.select(F.col("rep").alias("b"), F.col("c").alias("cb")).distinct()
-            pairs = tops.join(of_top, "b").filter("ca <> cb").select("a", "b").distinct()
-        else:
-            mixed = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-            rows = known.join(mixed, "key")
-            x = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["ca"] != y["cb"]) & close("na", "nb"))
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("times")).filter("times >= 2").select("a", "b")
-        links = stored(links.unionByName(_confirmed(pairs, own_sets, percent)))
+    buckets = folded.select("rep", "n", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    met = stored(buckets.join(shared.select("key"), "key"))
+
+    involved = stored(met.select("rep").distinct())
+    few = involved.count() <= BROADCAST_IDS
+    whole = source.filter("id IS NOT NULL").join(F.broadcast(involved) if few else involved, F.col("id") == F.col("rep"), "left_semi")
+    own_sets = stored(whole.select("id", shingles(F.col("text"), size).alias("shingles")))
+
+    first = met.join(met.groupBy("key").agg(F.min("rep").alias("low")), "key").groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a"))
+    links = stored(_confirmed(first.filter("a < b"), own_sets, percent))
+
+    mixed = stored(_mixed(met, links))
+    tops = mixed.filter("rep = high").select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    pairs = mixed.join(tops, "key").filter((F.col("c") != F.col("cb")) & _close(F.col("n"), F.col("nb"), percent))
+    links = stored(links.unionByName(_confirmed(pairs.select(F.col("rep").alias("a"), "b").distinct(), own_sets, percent)))
+
+    mixed = stored(_mixed(met, links).groupBy("rep", "n", "c").agg(F.collect_set("key").alias("keys")))  # a row has BANDS keys at most
+    links = stored(links.unionByName(_confirmed(_by_rarest(mixed, own_sets, percent), own_sets, percent)))
     labels = components(links)
 
     owners = folded.select(*same, "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
