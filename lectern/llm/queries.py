@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, near_dup, pii, quality_model, quality_rules
+from lectern.llm import decontaminate, near_dup, packing, pii, quality_model, quality_rules, token_store, tokens
 from lectern.llm.common import table
 from lectern.llm.twins import DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES
 
@@ -17,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,10 +34,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(spark, table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_pii": (op1_pii, PERSONAL_DATA),
     "op2_quality_rules": (op2_quality_rules, QUALITY_RULES),
+    "op5_packing": (op5_packing, None),
     "op6_decontamination": (op6_decontamination, DECONTAMINATION),
     "op7_near_duplicates": (op7_near_duplicates, NEAR_DUPLICATES),
     "op9_quality_classifier": (op9_quality_classifier, None),
+    "op10_token_store": (op10_token_store, None),
 }
