@@ -1,26 +1,52 @@
-"""The corpus pipeline: every stage works on all its predecessor kept."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, personal data, packing.
+
+Every stage works on all its predecessor kept. All but the last return the columns of documents.
+An empty table goes through as an empty one; null ids and texts do what each operator says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import near_dup, pii
-from lectern.llm.common import stored, table
+from lectern.llm import decontaminate, near_dup, packing, pii, quality_model, tokens
+from lectern.llm.common import stored, table, without
+
+LEAST_QUALITY = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below 0.3 go."""
+    model = quality_model.train_held_in(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(quality_model.score(model) >= LEAST_QUALITY)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a similarity of 0.8 or more over five-word shingles stays."""
-    groups = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
+    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark text go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind; all documents stay."""
-    return pii.redact(docs)
+    hidden = pii.redact(docs)
+    return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    return packing.pack(docs, tokens.vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("near_copies", drop_near_copies), ("personal_data", hide_personal_data)]
+STAGES = [
+    ("quality classifier", keep_good), ("near-duplicates", drop_near_copies), ("decontamination", drop_leaks),
+    ("personal data", hide_personal_data), ("packing", pack),
+]
+#: The classifier and the tokenizer can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

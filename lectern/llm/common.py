@@ -54,3 +54,19 @@ def stored(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Up to this many ids (8 bytes each) are sent to every executor; more are shuffled with the rows.
+BROADCAST_IDS = 2_000_000
+
+
+def sent_if_few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, written once, marked for broadcast if they have been counted and are few."""
+    ids = stored(ids)
+    return F.broadcast(ids) if ids.count() <= bound else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the only column of ``ids``; null ids stay."""
+    gone = sent_if_few(ids.toDF("_gone").filter("_gone IS NOT NULL").distinct())
+    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import let, lower_ascii, positions, stored
+from lectern.llm.common import let, lower_ascii, positions, stored, without
 
 WINDOW, SHORTEST = 12, 5
 MASKS = tuple(tuple(i for i in range(WINDOW) if i % 3 != skip) for skip in range(3))
@@ -122,5 +122,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no benchmark text, with all their columns."""
-    leaked = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
+    return without(docs, overlaps(docs, benchmark).select("doc_id"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, near_dup, packing, pii, quality_model, quality_rules, token_store, tokens
+from lectern.llm import (
+    chat_tools, decontaminate, licenses, near_dup, packing, pii, quality_model, quality_rules, token_store, tokens, url_filter,
+)
 from lectern.llm.common import table
-from lectern.llm.twins import DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES
+from lectern.llm.twins import CHAT_TOOLS, DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(url_filter.hand_labels(pages)))
+
+
+def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.format_messages(*chat_tools.calls_of(table(spark, sf_dir, "conversations")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -30,6 +41,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,9 +56,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": (op1_pii, PERSONAL_DATA),
     "op2_quality_rules": (op2_quality_rules, QUALITY_RULES),
+    "op3_url_filter": (op3_url_filter, None),
+    "op4_chat_tools": (op4_chat_tools, CHAT_TOOLS),
     "op5_packing": (op5_packing, None),
     "op6_decontamination": (op6_decontamination, DECONTAMINATION),
     "op7_near_duplicates": (op7_near_duplicates, NEAR_DUPLICATES),
+    "op8_licenses": (op8_licenses, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_token_store": (op10_token_store, None),
 }

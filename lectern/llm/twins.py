@@ -135,3 +135,31 @@ FROM best WHERE score >= least(9, size)
 
 
 DECONTAMINATION = decontamination()
+
+
+def _chat_tools() -> str:
+    """Line i of a user turn waits for line i // 2, so its level is how often i can be halved."""
+    split = "unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS nth"
+    js = lambda x: f"CAST(to_json({x}) AS VARCHAR)"
+    return f"""
+WITH l AS (SELECT conv_id, turn, role, {split} FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (
+  SELECT conv_id, turn, 't' || turn || 'c' || nth AS call_id, floor(log2(nth))::INT AS level, min(len(line)) AS size, min(line) AS line,
+         CASE WHEN min(len(line)) % 7 = 0 THEN 'browse' WHEN min(len(line)) % 2 = 0 THEN 'search' ELSE 'translate' END AS name
+  FROM l WHERE role = 'user' GROUP BY conv_id, turn, nth),
+r AS (SELECT conv_id, turn, 't' || (turn - 1) || 'c' || nth AS call_id, min(line) AS content FROM l WHERE role = 'assistant' GROUP BY conv_id, turn, nth),
+b AS (
+  SELECT conv_id, coalesce(c.turn, r.turn) AS turn, call_id, level,
+         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN name = 'search' AND size < 12 OR name = 'translate' AND size > 150 THEN 'invalid'
+              WHEN name = 'browse' THEN 'unknown_tool' WHEN r.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+         CASE WHEN c.turn IS NULL THEN '{{' ELSE '{{"arguments":{{"query":' || {js("line")} || ',"size":' || size || '}},' END
+           || '"id":' || {js("call_id")} || CASE WHEN c.turn IS NULL THEN '' ELSE ',"name":' || {js("name")} END
+           || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || {js("content")} END || '}}' AS line
+  FROM c FULL JOIN r USING (conv_id, call_id))
+SELECT conv_id, turn, {", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("ok", "no_result", "unknown_tool", "invalid", "missing", "cycle", "orphan"))},
+       '[' || string_agg(line, ',' ORDER BY CASE WHEN status = 'orphan' THEN 2 ELSE 0 END, coalesce(level, 0), call_id, line) || ']' AS messages
+FROM b GROUP BY conv_id, turn
+"""
+
+
+CHAT_TOOLS = _chat_tools()
