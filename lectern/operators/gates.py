@@ -3,6 +3,10 @@
 An item row has ``item_id, stem, correct_answer, distractors, explanation, scope_tags,
 difficulty, learning_target``. A gate gives
 ``struct<gate_name, tier, result, message, details map<string,string>, repair_hint>``.
+
+The report is built in three projections: :func:`prepare` lays down lower-case texts and word sets,
+:func:`with_issues` each gate's list of issues, :func:`run_gates` the checks. A column that a later
+projection names more than once is worked out once, so no text is lowered or split twice.
 """
 
 from __future__ import annotations
@@ -67,39 +71,30 @@ def quote_presence(all_found: ColumnLike, missing: ColumnLike) -> Column:
     )
 
 
-def stem_answer_issues(stem: ColumnLike, answer: ColumnLike, distractors: ColumnLike) -> Column:
-    stem, answer, distractors = F.lower(col(stem)), col(answer), col(distractors)
-    ending = T.strip(stem)
+def stem_answer_issues() -> Column:
+    stem, distractors = F.col("_stem"), F.col("distractors")
+    ending = F.col("_stem_end")
     article = F.when(ending.endswith(" an"), "an").when(ending.endswith(" a"), "a")
     vowel = lambda x: F.substring(F.lower(T.strip(x)), 1, 1).isin(list("aeiou"))
     fits = lambda x: (article == "an") == vowel(x)
     others = F.filter(distractors, lambda d: T.strip(d) != "")
-    cue = article.isNotNull() & fits(answer) & ~F.exists(others, fits)
-    stem_words, answer_words = T.long_words(stem), T.long_words(answer)
+    cue = article.isNotNull() & fits(F.col("correct_answer")) & ~F.exists(others, fits)
+    both = F.size(F.col("_stem_answer"))
     shared = F.filter(
-        F.transform(
-            distractors,
-            lambda d: F.size(
-                F.array_intersect(stem_words, F.array_except(answer_words, T.long_words(d)))
-            ),
-        ),
-        lambda n: n > 1,
+        F.transform(F.col("_distractor_words"), lambda d: F.size(F.array_except("_stem_answer", d))), lambda n: n > 1
     )
     negations = F.lit(0)
     for word in lex.STEM_NEGATIONS:
         negations = negations + _has(stem, word).cast("int")
     return F.concat(
         T.array_of_issues((cue, "article only matches the answer")),
-        F.transform(shared, lambda n: F.concat(F.lit("stem shares words only with the answer: "), n)),
+        F.when(both > 1, F.transform(shared, lambda n: F.concat(F.lit("stem shares words only with the answer: "), n))).otherwise(T.words_array([])),
         T.array_of_issues((negations > 1, "several negations in stem")),
     )
 
 
-def stem_answer_consistency(stem="stem", answer="correct_answer", distractors="distractors") -> Column:
-    return _with_issues(
-        "stem_answer_consistency", HARD, stem_answer_issues(stem, answer, distractors),
-        "stem does not leak the answer",
-    )
+def stem_answer_consistency() -> Column:
+    return _with_issues("stem_answer_consistency", HARD, F.col("_leaks"), "stem does not leak the answer")
 
 
 def out_of_scope(tags: ColumnLike, allowed: ColumnLike) -> Column:
@@ -120,10 +115,8 @@ def scope_legality(allowed: ColumnLike, tags: ColumnLike = "scope_tags") -> Colu
     )
 
 
-def single_best_issues(answer: ColumnLike, distractors: ColumnLike, explanation: ColumnLike) -> Column:
-    low = F.lower(col(explanation))
-    options = F.concat(F.array(col(answer)), col(distractors))
-    plain = F.transform(options, lambda o: T.strip(F.regexp_replace(F.lower(o), r"(?U)[^\w\s]", "")))
+def single_best_issues() -> Column:
+    low, plain = F.col("_text"), F.col("_options")
     equal = F.filter(
         T.pairs_within(
             plain,
@@ -135,7 +128,7 @@ def single_best_issues(answer: ColumnLike, distractors: ColumnLike, explanation:
     for affirm, negate in lex.EXPLANATION_OPPOSITES:
         opposed = opposed | (_has(low, affirm) & _has(low, negate))
     return F.concat(
-        equal,
+        F.when(F.size(plain) > F.size(F.array_distinct(plain)), equal).otherwise(T.words_array([])),
         T.array_of_issues(
             (T.contains_any(low, ("also", "another valid", "either ")) & T.matches(low, lex.ALSO_CORRECT_PATTERN), "explanation allows several answers"),
             (opposed, "explanation contains opposed statements"),
@@ -143,22 +136,18 @@ def single_best_issues(answer: ColumnLike, distractors: ColumnLike, explanation:
     )
 
 
-def single_best_answer(answer="correct_answer", distractors="distractors", explanation="explanation") -> Column:
-    return _with_issues(
-        "single_best_answer", HARD, single_best_issues(answer, distractors, explanation),
-        "one defensible answer",
-    )
+def single_best_answer() -> Column:
+    return _with_issues("single_best_answer", HARD, F.col("_several"), "one defensible answer")
 
 
 def alignment_words(text: ColumnLike) -> Column:
     return F.array_except(T.long_words(text), T.words_array(lex.ALIGNMENT_STOP_WORDS))
 
 
-def alignment_issues(target: ColumnLike, stem: ColumnLike, answer: ColumnLike, explanation: ColumnLike) -> Column:
-    target, low_stem = F.lower(col(target)), F.lower(col(stem))
-    wanted = alignment_words(target)
+def alignment_issues() -> Column:
+    target, low_stem, wanted = F.col("_target"), F.col("_stem"), F.col("_wanted")
     size = F.size(wanted)
-    share = lambda text: F.size(F.array_intersect(wanted, T.long_words(text))) / size
+    share = lambda words: F.size(F.array_intersect(wanted, words)) / size
     shifts = [
         (
             low_stem.contains(word) & ~target.contains(word) & ~target.contains(category),
@@ -168,24 +157,21 @@ def alignment_issues(target: ColumnLike, stem: ColumnLike, answer: ColumnLike, e
     ]
     first = T.matches(low_stem, lex.FIRST_ACTION_PATTERN) & ~T.contains_any(target, lex.PRIORITY_TARGET_WORDS)
     issues = T.array_of_issues(
-        (share(F.concat_ws(" ", low_stem, F.lower(col(answer)))) < 0.25, "too few target terms in stem and answer"),
-        (share(col(explanation)) < 0.2, "explanation lacks target terms"),
+        (share(F.array_union("_stem_words", "_answer_words")) < 0.25, "too few target terms in stem and answer"),
+        (share(F.col("_text_words")) < 0.2, "explanation lacks target terms"),
         *shifts,
         (first, "asks for a first action the target does not name"),
     )
     return F.when(size < 2, T.words_array([])).otherwise(issues)
 
 
-def learning_target_alignment(target="learning_target", stem="stem", answer="correct_answer", explanation="explanation") -> Column:
-    return _with_issues(
-        "learning_target_alignment", HARD, alignment_issues(target, stem, answer, explanation),
-        "aligned with the learning target",
-    )
+def learning_target_alignment() -> Column:
+    return _with_issues("learning_target_alignment", HARD, F.col("_drifts"), "aligned with the learning target")
 
 
-def contradictions(stem: ColumnLike, answer: ColumnLike, explanation: ColumnLike) -> Column:
-    stem, answer, low = (F.lower(col(c)) for c in (stem, answer, explanation))
-    same_topic = F.exists(T.long_words(answer), lambda w: low.contains(w))
+def contradictions() -> Column:
+    stem, answer, low = F.col("_stem"), F.col("_answer"), F.col("_text")
+    same_topic = F.col("_same_topic")
     checks = [
         (
             _has(answer, a) & _has(low, b) & same_topic,
@@ -210,10 +196,8 @@ def contradictions(stem: ColumnLike, answer: ColumnLike, explanation: ColumnLike
     return T.array_of_issues(*checks)
 
 
-def internal_consistency(stem="stem", answer="correct_answer", explanation="explanation") -> Column:
-    return _with_issues(
-        "internal_consistency", HARD, contradictions(stem, answer, explanation), "no contradictions"
-    )
+def internal_consistency() -> Column:
+    return _with_issues("internal_consistency", HARD, F.col("_contradictions"), "no contradictions")
 
 
 # --- repair gates ----------------------------------------------------------------------
@@ -244,8 +228,8 @@ def distractor_issues(distractors: ColumnLike, answer: ColumnLike) -> Column:
     return F.flatten(F.transform(col(distractors), of_one))
 
 
-def distractor_quality(distractors="distractors", answer="correct_answer") -> Column:
-    found = distractor_issues(distractors, answer)
+def distractor_quality() -> Column:
+    found = F.col("_weak")
     issues = F.transform(found, lambda x: x["issue"])
     hints = F.array_join(F.transform(found, lambda x: x["hint"]), "; ")
     return _with_issues("distractor_quality", REPAIR, issues, "distractors are plausible", hints)
@@ -270,13 +254,12 @@ def difficulty_alignment(target: ColumnLike, actual: ColumnLike = "difficulty")
     )
 
 
-def decision_grounding(has_quotes: ColumnLike, explanation: ColumnLike = "explanation", answer: ColumnLike = "correct_answer") -> Column:
-    explanation, answer = col(explanation), col(answer)
-    refs = F.regexp_extract_all(explanation, F.lit(r"\[Q\d+\]"), F.lit(0))
+def decision_grounding(has_quotes: ColumnLike) -> Column:
+    refs = F.col("_refs")
     unreferenced = (F.size(refs) == 0) & col(has_quotes)
-    wanted = T.long_words(answer, 5)
-    shared = F.size(F.array_intersect(wanted, T.long_words(explanation, 5)))
-    apart = (F.size(wanted) > 0) & (shared / F.size(wanted) < 0.3)
+    longer = lambda words: F.filter(words, lambda w: F.length(w) >= 5)
+    wanted = F.col("_long_answer")
+    apart = (F.size(wanted) > 0) & (F.size(F.array_intersect(wanted, longer(F.col("_text_words")))) / F.size(wanted) < 0.3)
     return _check(
         "decision_grounding", REPAIR, ~unreferenced & ~F.coalesce(apart, F.lit(False)),
         "explanation grounds the decision",
@@ -298,8 +281,8 @@ def novelty(similarity: ColumnLike, similar_item: ColumnLike) -> Column:
     )
 
 
-def verbosity(explanation: ColumnLike = "explanation", least: int = 20, most: int = 150) -> Column:
-    count = T.word_count(explanation)
+def verbosity(least: int = 20, most: int = 150) -> Column:
+    count = F.col("_n_words")
     return _check(
         "verbosity", SOFT, count.between(least, most), "length fits",
         F.when(count < least, "explanation too brief").otherwise("explanation too long"),
@@ -307,19 +290,44 @@ def verbosity(explanation: ColumnLike = "explanation", least: int = 20, most: in
     )
 
 
-def style(stem: ColumnLike = "stem", explanation: ColumnLike = "explanation") -> Column:
-    ending, explanation = T.strip(stem), col(explanation)
-    issues = T.array_of_issues(
+def style_issues() -> Column:
+    ending = F.col("_stem_end")
+    return T.array_of_issues(
         (~(ending.endswith("?") | ending.endswith(":") | ending.endswith(".")), "stem lacks end punctuation"),
-        (T.matches(F.lower(explanation), lex.INFORMAL_PATTERN), "informal language"),
-        (explanation.rlike(lex.EMOJI_PATTERN), "emoji"),
+        (T.matches("_text", lex.INFORMAL_PATTERN), "informal language"),
+        (F.col("explanation").rlike(lex.EMOJI_PATTERN), "emoji"),
     )
-    return _with_issues("style", SOFT, issues, "style follows conventions")
+
+
+def style() -> Column:
+    return _with_issues("style", SOFT, F.col("_style"), "style follows conventions")
 
 
 # --- report -------------------------------------------------------------------------------
 
 
+def prepare(items: DataFrame) -> DataFrame:
+    """Lower-case texts, then word sets, one column each."""
+    lowered = items.withColumns({
+        "_stem": F.lower("stem"), "_answer": F.lower("correct_answer"), "_text": F.lower("explanation"), "_target": F.lower("learning_target"),
+        "_stem_words": T.long_words("stem"), "_answer_words": T.long_words("correct_answer"), "_text_words": T.long_words("explanation"),
+        "_distractor_words": F.transform("distractors", lambda d: T.long_words(d)), "_wanted": alignment_words("learning_target"),
+        "_options": F.transform(F.concat(F.array("correct_answer"), "distractors"), lambda o: T.strip(F.regexp_replace(F.lower(o), r"(?U)[^\w\s]", ""))),
+        "_refs": F.regexp_extract_all("explanation", F.lit(r"\[Q\d+\]"), F.lit(0)), "_n_words": T.word_count("explanation"),
+    })
+    return lowered.withColumns({
+        "_stem_end": T.strip("_stem"), "_stem_answer": F.array_intersect("_stem_words", "_answer_words"),
+        "_long_answer": F.filter("_answer_words", lambda w: F.length(w) >= 5), "_same_topic": F.exists("_answer_words", lambda w: F.col("_text").contains(w)),
+    })
+
+
+def with_issues(prepared: DataFrame) -> DataFrame:
+    return prepared.withColumns({
+        "_leaks": stem_answer_issues(), "_several": single_best_issues(), "_contradictions": contradictions(), "_drifts": alignment_issues(),
+        "_weak": distractor_issues("distractors", "correct_answer"), "_style": style_issues(),
+    })
+
+
 def run_gates(
     items: DataFrame,
     allowed_tags: list[str] | ColumnLike,
@@ -345,7 +353,8 @@ def run_gates(
     if with_novelty:
         checks.append(novelty("similarity", "similar_item_id"))
     checks += [verbosity(), style()]
-    return items.withColumn("checks", F.filter(F.array(*checks), lambda c: c.isNotNull()))
+    rows = with_issues(prepare(items)).withColumn("checks", F.filter(F.array(*checks), lambda c: c.isNotNull()))
+    return rows.select(*items.columns, "checks")
 
 
 def gates_long(gated: DataFrame) -> DataFrame:
