@@ -238,9 +238,8 @@ def review_items(spark, sf_dir):
 
 def hierarchy_rollup(spark, sf_dir):
     read = lambda n: table(spark, sf_dir, n)
-    # the small levels are known to be small: five regions and 25 nations
-    customers = read("customer").join(F.broadcast(read("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(
-        F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")
+    customers = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        read("region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("c_custkey", "n_name", "r_name")
     lines = read("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
     orders = read("orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -262,7 +261,7 @@ def _levels(spark, sf_dir):
     region = read("region").select(F.col("r_regionkey").alias("region"), status(F.lit(False), F.col("r_regionkey") == 1))
     nations = read("nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), status(F.col("n_nationkey") % 9 == 0, F.col("n_nationkey") % 4 == 0))
     homes = read("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
-    customers = read("customer").join(F.broadcast(homes), F.col("c_nationkey") == F.col("nation"))
+    customers = read("customer").join(homes, F.col("c_nationkey") == F.col("nation"))
     customer = customers.select("region", "nation", F.col("c_custkey").alias("customer"), status(F.col("c_custkey") % 11 == 0, F.col("c_custkey") % 5 == 0))
     where = customer.select("region", "nation", "customer")
     orders = read("orders").join(where, F.col("o_custkey") == F.col("customer"))

@@ -169,10 +169,11 @@ def option_rewrites(spark, sf_dir):
 
 
 def _options(spark, sf_dir):
-    """Four options of three words each from the start of every document."""
+    """Four options: the quarters of every document, the last with what is left over."""
     words = T.split_words("text")
-    options = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.array_join(F.slice("w", i * 2 + 1, F.lit(3)), " "))
-    return table(spark, sf_dir, "documents").withColumn("w", words).filter("size(w) >= 9").select(
+    quarter = F.floor(F.size("w") / 4).cast("int")
+    options = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.array_join(F.slice("w", i * quarter + 1, F.when(i < 3, quarter).otherwise(F.size("w"))), " "))
+    return table(spark, sf_dir, "documents").withColumn("w", words).filter("size(w) >= 4").select(
         F.col("doc_id").alias("item_id"), options.alias("options"), (F.col("doc_id") % 4).cast("int").alias("correct_index"),
         F.element_at(F.array(F.lit("beginner"), F.lit("intermediate"), F.lit("advanced")), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"),
     )
@@ -180,8 +181,8 @@ def _options(spark, sf_dir):
 
 SQL_OPTIONS = f"""
 w AS (SELECT doc_id AS item_id, {sql_words('text')} AS w FROM documents),
-opt AS (SELECT item_id, [array_to_string(w[1:3], ' '), array_to_string(w[3:5], ' '), array_to_string(w[5:7], ' '), array_to_string(w[7:9], ' ')] AS o,
-          item_id % 4 AS correct, ['beginner', 'intermediate', 'advanced'][(item_id % 3 + 1)::INT] AS difficulty FROM w WHERE len(w) >= 9),
+opt AS (SELECT item_id, [array_to_string(w[1:len(w) // 4], ' '), array_to_string(w[len(w) // 4 + 1:len(w) // 4 * 2], ' '), array_to_string(w[len(w) // 4 * 2 + 1:len(w) // 4 * 3], ' '), array_to_string(w[len(w) // 4 * 3 + 1:], ' ')] AS o,
+          item_id % 4 AS correct, ['beginner', 'intermediate', 'advanced'][(item_id % 3 + 1)::INT] AS difficulty FROM w WHERE len(w) >= 4),
 similar_pair AS (
   SELECT item_id, i, j, i = correct OR j = correct AS has_answer FROM opt, unnest(range(4)) AS a(i), unnest(range(4)) AS b(j)
   WHERE i < j AND len(list_intersect(list_distinct(string_split(lower(o[i + 1]), ' ')), list_distinct(string_split(lower(o[j + 1]), ' '))))::DOUBLE
@@ -213,10 +214,12 @@ _PICK = "list_transform([1, 3, 7], lambda k: {p}[((doc_id * k) % 8 + 1)::INT])".
 
 
 def pattern_suggestions(spark, sf_dir):
+    """The first half of a text answers, the second asks."""
+    half = F.floor(F.length("text") / 2).cast("int")
     rows = table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.concat(F.element_at(T.words_array(["assess it ", "wait ", "secure the scene ", "position "]), (F.col("doc_id") % 4 + 1).cast("int")), F.substring("text", 1, 40)).alias("answer"),
-        F.substring("text", 41, 200).alias("stem"),
+        F.concat(F.element_at(T.words_array(["assess it ", "wait ", "secure the scene ", "position "]), (F.col("doc_id") % 4 + 1).cast("int")), F.substr("text", F.lit(1), half)).alias("answer"),
+        F.substr("text", half + 1).alias("stem"),
         F.element_at(T.words_array(["beginner", "intermediate", "advanced"]), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"),
     )
     found = D.suggest_patterns("answer", "stem", "difficulty")
@@ -392,7 +395,7 @@ c AS (SELECT *, len(list_filter(p, lambda z: z IN ('opposite', 'violates_protoco
 SELECT doc_id, coalesce(array_to_string(list_filter(list_concat(list_concat([CASE WHEN d = 'beginner' AND clear < 2 THEN 'Need 2 clearly wrong, have ' || clear END],
   list_transform(banned, lambda z: 'Forbidden pattern used: ' || z)), [CASE WHEN d = 'advanced' AND other > 0 THEN 'Advanced has ' || other || ' non-sequence distractors' END]), lambda z: z IS NOT NULL), '; '), '') AS issues FROM c"""),
     "pattern_suggestions": (pattern_suggestions, f"""
-WITH p AS (SELECT doc_id, lower(['assess it ', 'wait ', 'secure the scene ', 'position '][(doc_id % 4 + 1)::INT] || text[1:40]) AS a, lower(substr(text, 41, 200)) AS s,
+WITH p AS (SELECT doc_id, lower(['assess it ', 'wait ', 'secure the scene ', 'position '][(doc_id % 4 + 1)::INT] || text[1:len(text) // 2]) AS a, lower(substr(text, len(text) // 2 + 1)) AS s,
              ['beginner', 'intermediate', 'advanced'][(doc_id % 3 + 1)::INT] AS d FROM documents),
 k AS (SELECT *, {" OR ".join(f"contains(a, '{w}') OR contains(s, '{w}')" for w in lex.SEQUENCE_CUES)} AS seq, {" OR ".join(f"contains(a, '{w}') OR contains(s, '{w}')" for w in lex.SAFETY_CUES)} AS safe FROM p),
 f AS (SELECT doc_id, list_filter([CASE WHEN seq AND d <> 'beginner' THEN 'wrong_sequence' END,

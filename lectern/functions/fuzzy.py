@@ -11,6 +11,11 @@ GOOD_ENOUGH = 0.95
 _CELLS = 4_000_000  # comparisons held in memory at once
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points; lone surrogates pass."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def window_similarity(needle: str | None, haystack: str | None) -> float | None:
     """Best share of equal characters over all windows of the needle's length.
 
@@ -21,8 +26,7 @@ def window_similarity(needle: str | None, haystack: str | None) -> float | None:
         return None
     if not needle or not haystack:
         return 0.0
-    n = np.array([ord(c) for c in needle], dtype=np.uint32)
-    h = np.array([ord(c) for c in haystack], dtype=np.uint32)
+    n, h = _codes(needle), _codes(haystack)
     if len(h) <= len(n):
         return float((h == n[: len(h)]).sum() / len(n))
     windows = np.lib.stride_tricks.sliding_window_view(h, len(n))

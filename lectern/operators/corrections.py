@@ -62,7 +62,7 @@ def to_actions(found: DataFrame, auto_fix_minor: bool = True, keys: Sequence[str
     course = [F.col(k).cast("string") for k in keys]
     key = F.md5(F.concat_ws("\x1f", *course, F.col("entity_type"), F.array_join("entity_path", "\x1f"), F.col("rule_name")))
     return rows.select(
-        *extra, F.concat(F.lit("action_"), F.substring(key, 1, 16)).alias("action_id"),
+        *extra, F.concat(F.lit("action_"), key).alias("action_id"),
         "entity_type", "entity_id", "entity_path", "rule_name", kind.alias("action_type"),
         F.when(fixable, fix).otherwise(F.create_map().cast("map<string,string>")).alias("field_corrections"),
         F.when(~fixable, regenerate_text()).alias("regenerate_prompt"),

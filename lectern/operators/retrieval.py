@@ -15,7 +15,7 @@ from lectern.operators.durable import first_by
 # queries up to this many bytes of vectors travel to every task; more go through the grid
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 8192
-_SLACK = 1e-6  # distances this near the k-th are recomputed exactly
+_SLACK = 1e-6  # distances this near the k-th, by the size of the vectors, are recomputed exactly
 
 HITS = "query_id {q}, chunk_id {c}, distance double"
 
@@ -23,6 +23,8 @@ HITS = "query_id {q}, chunk_id {c}, distance double"
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and (column.null_count or len(set(column.value_lengths().to_pylist())) > 1):
+        raise ValueError("vectors must be there and of one length")
     flat = np.asarray(column.flatten(), dtype=np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -39,10 +41,11 @@ def _nearest(
         + (vectors**2).sum(axis=1)[None, :]
         - 2.0 * queries @ vectors.T
     )
+    slack = _SLACK * np.maximum(1.0, (queries**2).sum(axis=1) + (vectors**2).sum(axis=1).max(initial=0.0))
     out = []
     for q, row in enumerate(rough):
         if len(row) > k:
-            limit = np.partition(row, k - 1)[k - 1] + _SLACK
+            limit = np.partition(row, k - 1)[k - 1] + slack[q]
             near = np.flatnonzero(row <= limit)
         else:
             near = np.arange(len(row))

@@ -137,7 +137,7 @@ RESULT = (
 
 
 def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",), extra: Sequence[Rule] = ()) -> DataFrame:
-    """Funnel over course documents: one row per checked entity.
+    """Funnel over course documents: one row per checked entity, ``result_pos`` in document order.
 
     Children of a critical entity are neither checked nor counted. One pass over the row, no
     shuffle and no join: a document's results are built in place and exploded at the end.
@@ -174,7 +174,7 @@ def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",),
     everything = F.when(status == "critical", F.array(root)).otherwise(
         F.concat(F.array(root), below(0, None, T.words_array([])))
     )
-    return unnest_structs(courses, everything, list(keys))
+    return unnest_structs(courses, everything, list(keys), "result_pos")
 
 
 def funnel(levels: Sequence[tuple[str, DataFrame]], path_keys: Sequence[str]) -> DataFrame:
@@ -272,11 +272,13 @@ def merge_review(results: DataFrame, found: DataFrame) -> DataFrame:
     """Item results with the reviewers' issues added and the status worked out again.
 
     ``found(item_id, severity, rule_name, description, field_path, suggested_fix)``; a reply
-    lists a handful of issues per item.
+    lists a handful of issues per item. Items are told apart by course and path where ``found``
+    carries them, too (``course_id``, ``entity_path``), else by their id alone.
     """
+    where = [c for c in ("course_id", "entity_path") if c in found.columns and c in results.columns]
     fields = ["severity", "rule_name", "description", "field_path", "suggested_fix"]
-    extra = found.groupBy("item_id").agg(F.collect_list(F.struct(*fields)).alias("more"))
-    joined = results.join(extra.withColumnRenamed("item_id", "entity_id"), "entity_id", "left")
+    extra = found.groupBy(F.col("item_id").alias("entity_id"), *where).agg(F.collect_list(F.struct(*fields)).alias("more"))
+    joined = results.join(extra, ["entity_id", *where], "left")
     return joined.withColumn(
         "issues", F.when(F.col("more").isNull(), F.col("issues")).otherwise(F.concat("issues", "more"))
     ).withColumn("overall_status", overall_status(F.col("issues"))).drop("more")

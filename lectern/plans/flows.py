@@ -45,7 +45,7 @@ def embed_books(
     chunks = add_vectors(chunk_books(once))
     placed = assign_chunk_ids(fan_out(chunks.withColumnRenamed("book_id", "path"), plan), ("path", "chunk_pos"))
     if rebuild:
-        rebuild_collections(placed, store)
+        rebuild_collections(placed, store, plan)
     else:
         upsert_collections(placed, store)
     return plan
@@ -90,8 +90,7 @@ def validate_and_correct(
 ) -> dict[str, DataFrame]:
     """Course documents -> results, report, queue, new item rows, outcome and status."""
     results = durable(validation.validate_documents(courses))
-    positioned = results.withColumn("result_pos", F.array_join("entity_path", "\x1f"))
-    queue = durable(build_queue(positioned))
+    queue = durable(build_queue(results))
     items = flatten(courses, "item").select("course_id", "entity_path", "item.*")
     new_items, outcome = apply_queue(items, queue, replies)
     return {

@@ -82,9 +82,12 @@ def courses(spark: SparkSession, path: str) -> DataFrame:
 def queue(spark: SparkSession, path: str) -> DataFrame:
     """Correction queue lines: every action with its queue's header columns.
 
-    The header is looked up per queue folder or file; actions without any header are an error.
+    A header holds for its own file, or for its folder where that was written by ``write_queue``
+    (``certification=...``, many part files); actions without any header are an error.
     """
-    lines = spark.read.text(path).select(_folder(F.col("_metadata.file_path")).alias("queue"), F.trim("value").alias("line")).filter("line <> ''")
+    file = F.col("_metadata.file_path")
+    queue_of = F.when(_folder(file).rlike("/certification=[^/]*$"), _folder(file)).otherwise(file)
+    lines = spark.read.text(path).select(queue_of.alias("queue"), F.trim("value").alias("line")).filter("line <> ''")
     kind = F.get_json_object("line", "$._type")
     headers = lines.filter(kind == "queue_header").select("queue", F.from_json("line", S.QUEUE_HEADER).alias("h"))
     headers = headers.groupBy("queue").agg(F.max("h").alias("h"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lexicon as lex
 from lectern.functions.naming import snapshot_name
 from lectern.operators.corrections import queue_counts
-from lectern.operators.durable import durable
+from lectern.operators.durable import durable, first_by
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,10 +25,13 @@ def _overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 def upsert_collections(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
     """Replace or add chunks by (collection, chunk id); other collections are not touched.
 
-    Only partitions that receive chunks are read and written. The merged rows are written to
-    the checkpoint folder before their partitions are overwritten.
+    Only partitions that receive chunks are read and written. The new rows, which may hold an
+    embedding step, are worked out once and written to the checkpoint folder; of several with one
+    key, the first by their JSON text stays. The merged rows are written there, too, before their
+    partitions are overwritten.
     """
     spark = chunks.sparkSession
+    chunks = durable(first_by(["collection", key], F.to_json(F.struct("*")), chunks).select(*chunks.columns))
     if chunks.isEmpty():
         return
     merged = chunks
@@ -40,9 +43,20 @@ def upsert_collections(chunks: DataFrame, path: str, key: str = "chunk_id") -> N
     _overwrite_partitions(merged, path, ["collection"])
 
 
-def rebuild_collections(chunks: DataFrame, path: str) -> None:
-    """Drop the planned collections and write them anew; all others stay."""
+def rebuild_collections(chunks: DataFrame, path: str, planned: DataFrame | None = None) -> None:
+    """Drop the planned collections and write them anew; all others stay.
+
+    ``planned`` (collection) names those that go even if no chunk arrives for them: one name per
+    collection, far fewer than chunks.
+    """
+    chunks = durable(chunks)
     _overwrite_partitions(chunks, path, ["collection"])
+    if planned is not None:
+        spark = chunks.sparkSession
+        empty = planned.select("collection").distinct().join(chunks.select("collection").distinct(), "collection", "left_anti")
+        for row in empty.toLocalIterator():
+            stale = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={row['collection']}")
+            stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
 
 
 def save_snapshot(courses: DataFrame, stage: str, path: str, engine: str | None = None, model: str | None = None) -> None:
@@ -110,13 +124,15 @@ def queue_lines(actions: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def write_queue(actions: DataFrame, headers: DataFrame, path: str) -> None:
-    """One folder of ordered part files per certification: a range sort, never one big task."""
-    order = ["certification_name", F.desc("_urgency"), "_id"]
-    lines = queue_lines(actions, headers).repartitionByRange(*order).sortWithinPartitions(*order)
-    (
-        lines.select("value", snapshot_name("certification_name").alias("certification"))
-        .write.mode("overwrite").partitionBy("certification").text(path)
-    )
+    """One folder of ordered part files per certification: a range sort, never one big task.
+
+    Only the folders of the given certifications are replaced. Rows are sorted by folder first,
+    which is the order that the writer asks for, so it keeps the order within.
+    """
+    order = ["certification", "certification_name", F.desc("_urgency"), "_id"]
+    lines = queue_lines(actions, headers).withColumn("certification", snapshot_name("certification_name"))
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value", "certification")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("certification").text(path)
 
 
 def append_actions(actions: DataFrame, path: str) -> None:

@@ -55,26 +55,26 @@ def test_quotable_offsets(spark):
     assert found[0].score == pytest.approx(0.3 + 0.1)  # "company." keeps its dot, so one shared word
 
 
-def reference_window(needle, haystack):
-    if not needle or not haystack:
-        return 0.0
-    best = 0.0
-    for i in range(max(1, len(haystack) - len(needle) + 1)):
-        w = haystack[i:i + len(needle)]
-        best = max(best, sum(a == b for a, b in zip(needle, w)) / max(len(needle), len(w)))
-        if best >= 0.95:
-            break
-    return best
-
-
-def test_window_similarity_matches_plain_walk():
-    rng = random.Random(5)
-    for _ in range(300):
-        n = "".join(rng.choice("abé ") for _ in range(rng.randint(0, 30)))
-        h = "".join(rng.choice("abé ") for _ in range(rng.randint(0, 60)))
-        if rng.random() < 0.4 and n:
-            h = h + n[:-1] + "z" + h
-        assert window_similarity(n, h) == pytest.approx(reference_window(n, h))
+@pytest.mark.parametrize("needle, haystack, wanted", [
+    ("", "abc", 0.0), ("abc", "", 0.0), (None, "abc", None), ("abc", None, None),
+    ("abcdefghij", "xxxabcdefghijxxx", 1.0), ("abcdefghij", "abcdeXghij", 0.9), ("abcdefghij", "--abXdeXghXj--", 0.7), ("é😀ab", "zz é😀aX", 0.75),
+    ("abcdefghij", "abcd", 0.4), ("aaaa", "bbbb", 0.0),
+    ("abcdefghijklmnopqrst", "abcdefghijklmnopqrsX abcdefghijklmnopqrst", 0.95),  # the first good window counts
+    ("abcdefghijklmnopqrst", "abcdefghijklmnopqrXX abcdefghijklmnopqrst", 1.0),
+])
+def test_window_similarity_of_planted_changes(needle, haystack, wanted):
+    assert window_similarity(needle, haystack) == (wanted if wanted is None else pytest.approx(wanted))
+
+
+def test_window_similarity_counts_changed_places():
+    draw = random.Random(5)
+    for _ in range(100):
+        needle = "".join(draw.choice("abcdefgh") for _ in range(40))
+        places = draw.sample(range(40), draw.randint(0, 12))
+        if 1 <= len(places) <= 2:  # such a window may not be the first good one
+            continue
+        changed = "".join("#" if i in places else c for i, c in enumerate(needle))
+        assert window_similarity(needle, "." * draw.randint(0, 50) + changed + "." * draw.randint(0, 50)) == pytest.approx(1 - len(places) / 40)
 
 
 def test_worst_severity_of_nothing(spark):

@@ -103,6 +103,48 @@ def test_queue_round_trip(spark, tmp_path):
         readers.queue(spark, str(lone)).collect()
 
 
+def test_two_queues_do_not_touch_each_other(spark, tmp_path):
+    def write(name, n):
+        rows = [(name, f"{name}_{i}", "item", f"e{i}", ["m"], "regenerate", {"f": "v"}, None, i % 3, "pending") for i in range(n)]
+        actions = spark.createDataFrame(rows, "certification_name string, action_id string, entity_type string, entity_id string, entity_path array<string>, action_type string, field_corrections map<string,string>, regenerate_prompt string, priority int, status string")
+        headers = spark.createDataFrame([(name, n, n + 1)], "certification_name string, source_version int, target_version int").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+        store.write_queue(actions, headers, str(tmp_path / "q"))
+
+    write("A", 5)
+    write("B", 4)
+    write("A", 3)
+    back = readers.queue(spark, str(tmp_path / "q/*")).collect()
+    assert sorted(r.action_id for r in back) == ["A_0", "A_1", "A_2", "B_0", "B_1", "B_2", "B_3"]
+    assert {(r.certification_name, r.source_version) for r in back} == {("A", 3), ("B", 4)}
+    lines = [x for f in sorted((tmp_path / "q/certification=B").glob("part*")) for x in f.read_text().splitlines()]
+    assert "queue_header" in lines[0] and [json.loads(x)["priority"] for x in lines[1:]] == [2, 1, 0, 0]
+
+
+def test_two_queue_files_in_one_folder_keep_their_headers(spark, tmp_path):
+    for name in ("x", "y"):
+        head = {"_type": "queue_header", "certification_name": name, "source_version": 1, "target_version": 2}
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps(head) + "\n" + json.dumps({"action_id": name}) + "\n")
+    assert {(r.action_id, r.certification_name) for r in readers.queue(spark, str(tmp_path)).collect()} == {("x", "x"), ("y", "y")}
+
+
+def test_collections_fold_repeats_and_planned_ones_go(spark, tmp_path):
+    path = str(tmp_path / "c")
+    make = lambda rows: spark.createDataFrame(rows, "collection string, chunk_id string, text string")
+    store.upsert_collections(make([("a", "1", "x"), ("a", "1", "w"), ("b", "1", "y")]), path)
+    assert sorted((r.collection, r.text) for r in spark.read.parquet(path).collect()) == [("a", "w"), ("b", "y")]
+    store.rebuild_collections(make([("a", "2", "z")]), path, spark.createDataFrame([("a",), ("b",)], "collection string"))
+    assert [(r.collection, r.chunk_id) for r in spark.read.parquet(path).collect()] == [("a", "2")]
+
+
+def test_queue_keeps_document_order(spark, tmp_path):
+    doc = course()
+    capsule = doc["domain_modules"][0]["topics"][0]["subtopics"][0]["labs"][0]["capsules"][0]
+    capsule["items"] = [dict(capsule["items"][1], item_id=f"item_{i}") for i in range(1, 12)]
+    (tmp_path / "cert.json").write_text(json.dumps(doc))
+    queue = flows.validate_and_correct(readers.courses(spark, str(tmp_path / "*.json")), None)["queue"].collect()
+    assert [r.entity_id for r in queue if r.rule_name == "options_count_valid"] == [f"item_{i}" for i in range(1, 12)]
+
+
 def test_snapshots_and_versions(spark, tmp_path):
     df = spark.createDataFrame([("c1", "Cert (A)", 1), ("c1", "Cert (A)", 2)], "course_id string, certification_name string, version int")
     path = str(tmp_path / "snap")
