@@ -40,7 +40,11 @@ def token_hashes(text: Column) -> Column:
 def _windows(h: Column, number: int, offsets: tuple[int, ...], span: int, only_whole: bool = False) -> Column:
     """Masked windows (at, hash) of a text; ``number`` keeps the masks apart."""
     size = F.when(F.size(h) == span, 1).otherwise(0) if only_whole else F.size(h) - (span - 1)
-    return F.transform(positions(size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *[F.get(h, i + o) for o in offsets]).alias("hash")))
+    return F.transform(positions(size), lambda i: F.struct(i.alias("at"), _hash(h, number, offsets, i).alias("hash")))
+
+
+def _hash(h: Column, number: int, offsets: tuple[int, ...], i: Column) -> Column:
+    return F.xxhash64(F.lit(number), *[F.get(h, i + o) for o in offsets])
 
 
 def _seeds(short: list[int]) -> list[tuple[int, tuple[int, ...], int]]:
@@ -105,8 +109,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     source = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("doc"))
     bits = _bitmap(keyed.select("hash"), log2)  # one row of a fixed size
     tested = source.crossJoin(F.broadcast(bits))
-    passing = F.concat(*[F.filter(_windows(F.col("doc"), k, o, s), lambda w: _may_hit(F.col("bits"), w["hash"], log2)) for k, o, s in seeds])
-    likely = stored(tested.select("doc_id", "doc", passing.alias("windows")).filter(F.size("windows") > 0))
+
+    def passing(number: int, offsets: tuple[int, ...], span: int) -> Column:
+        """Most documents hold none, so places are only kept where one is."""
+        places = positions(F.size("doc") - (span - 1))
+        found = F.exists(F.transform(places, lambda i: _hash(F.col("doc"), number, offsets, i)), lambda h: _may_hit(F.col("bits"), h, log2))
+        kept = F.filter(_windows(F.col("doc"), number, offsets, span), lambda w: _may_hit(F.col("bits"), w["hash"], log2))
+        return F.when(found, kept).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+
+    windows = F.concat(*[passing(*seed) for seed in seeds])
+    likely = stored(tested.select("doc_id", "doc", windows.alias("windows")).filter(F.size("windows") > 0))
 
     found = likely.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
     known = F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed
