@@ -48,7 +48,7 @@ class Encoder:
         try:
             return b"".join([self.chunks[p] for p in parts])
         except KeyError:
-            new = list(set(parts) - self.chunks.keys())
+            new = [p for p in set(parts) if p not in self.chunks]
             made = dict(zip(new, self._whole(new), strict=True))
             if len(self.chunks) + len(made) > KEPT_CHUNKS:
                 self.chunks = {p: self.chunks[p] for p in set(parts) if p in self.chunks}
