@@ -370,17 +370,87 @@ def course_status(spark, sf_dir):
     return plain(C.course_status(outcome, 1))
 
 
+def _level_actions(spark, sf_dir):
+    """Field corrections on every level: kinds of labs and capsules, overviews of modules, a dotted path of
+    the course, the difficulty of items; a field that topics lack, and a capsule that isn't there."""
+    docs = courses(spark, sf_dir)
+
+    def action(rows, kind, rule, field, value, path=F.col("entity_path"), priority=10):
+        fix = F.create_map(F.lit(field), value if not isinstance(value, str) else F.lit(value))
+        key = F.concat_ws("/", "course_id", F.array_join(path, "/"), F.lit(rule))
+        return rows.select(
+            "course_id", key.alias("action_id"), F.lit(kind).alias("entity_type"), path.alias("entity_path"), F.lit("auto_fix").alias("action_type"),
+            fix.alias("field_corrections"), F.lit(priority).alias("priority"), F.lit("pending").alias("status"))
+
+    level = lambda name: H.flatten(docs, name)
+    labs, modules = level("lab"), level("module")
+    gone = F.array_append("entity_path", F.lit("cap_9"))
+    parts = [
+        action(labs.filter("lab.lab_type = 'quiz'"), "lab", "kind", "lab_type", "guided"),
+        action(labs.filter("lab.lab_type = 'quiz'"), "lab", "kind again", "lab_type", "challenge", priority=50),
+        action(labs.filter("lab_pos = 0 AND topic_pos = 0"), "capsule", "absent", "title", "x", gone),
+        action(level("capsule").filter("capsule.capsule_type = 'misc'"), "capsule", "kind", "capsule_type", "practice"),
+        action(modules.filter("module_pos % 2 = 0"), "module", "overview", "overview", F.concat(F.lit("Revised "), F.col("module_pos").cast("string"))),
+        action(modules.filter("module_pos % 3 = 0"), "module", "weight", "domain_weight_pct", "no number"),
+        action(level("topic").filter("topic_pos = 0"), "topic", "unknown", "nope", "x"),
+        action(level("item").filter("item.item_type = 'MCQ'"), "item", "difficulty", "difficulty", "hard"),
+        action(docs.withColumn("entity_path", T.words_array([])), "skeleton", "description", "overview.course_description", "About this course"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return docs, out
+
+
+def corrections_all_levels(spark, sf_dir):
+    _, outcome = C.correct_documents(*_level_actions(spark, sf_dir))
+    return plain(outcome.groupBy("course_id", "entity_type", "status", F.coalesce("error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("actions")))
+
+
+def corrected_course(spark, sf_dir):
+    """The corrected documents in their new version, flattened again."""
+    docs, outcome = C.correct_documents(*_level_actions(spark, sf_dir))
+    fresh = C.new_versions(docs, C.course_status(outcome, 1))
+    flat = H.flatten(fresh, "item", ["course_id", "version", "validation_status", "overview"])
+    return plain(flat.select(
+        "course_id", F.array_join("entity_path", "/").alias("path"), "version", "validation_status", F.coalesce("overview.course_description", F.lit("")).alias("about"),
+        F.md5("module.overview").alias("overview"), F.round("module.domain_weight_pct", 6).alias("weight"), "lab.lab_type", "capsule.capsule_type", "item.difficulty"))
+
+
 # a regeneration whose only reply is cut fails: chunk_ids_present has 17 letters, so it is whole
 SQL_APPLIED = f"""
 {SQL_ISSUES},
 outcome AS (SELECT *, CASE action_type WHEN 'regenerate' THEN 'applied' ELSE 'skipped' END AS status FROM action),
 first_action AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, mi, ti, si ORDER BY priority DESC, md5(concat_ws(chr(31), doc_id::VARCHAR, 'item', replace(path, '/', chr(31)), rule_name))[1:16]) AS rn
+  SELECT *, row_number() OVER (PARTITION BY doc_id, mi, ti, si ORDER BY priority DESC, md5(concat_ws(chr(31), doc_id::VARCHAR, 'item', replace(path, '/', chr(31)), rule_name))) AS rn
   FROM action WHERE action_type = 'regenerate')
 """
 
 
+SQL_CORRECTED = f"""
+WITH {SQL_LEVELS},
+act AS (
+  SELECT doc_id, 'lab' AS entity_type, 'applied' AS status, '' AS error FROM lab, range(2) WHERE n % 3 = 2
+  UNION ALL SELECT doc_id, 'capsule', 'failed', 'entity not found' FROM lab WHERE ti = 0
+  UNION ALL SELECT doc_id, 'capsule', 'applied', '' FROM capsule WHERE n % 5 = 0
+  UNION ALL SELECT doc_id, 'module', 'applied', '' FROM module WHERE mi % 2 = 0
+  UNION ALL SELECT doc_id, 'module', 'applied', '' FROM module WHERE mi % 3 = 0
+  UNION ALL SELECT doc_id, 'topic', 'failed', 'field not found' FROM topic WHERE ti = 0
+  UNION ALL SELECT doc_id, 'item', 'applied', '' FROM item WHERE len(words) = 4
+  UNION ALL SELECT doc_id, 'skeleton', 'applied', '' FROM documents)
+"""
+
+
 QUERIES = {
+    "corrections_all_levels": (corrections_all_levels, f"""
+{SQL_CORRECTED} SELECT doc_id AS course_id, entity_type, status, error, count(*) AS actions FROM act GROUP BY ALL"""),
+    "corrected_course": (corrected_course, f"""
+{SQL_CORRECTED}
+SELECT i.doc_id AS course_id, 'module_' || i.mi || '/topic_' || ti || '/clause_' || si || '/lab_' || si || '/cap_0/item_' || si AS path, 2::BIGINT AS version, 'corrected' AS validation_status,
+  CASE WHEN i.doc_id % 10 > 0 THEN 'About this course' ELSE '' END AS about, md5(CASE WHEN i.mi % 2 = 0 THEN 'Revised ' || i.mi ELSE line END) AS overview,
+  round(CASE WHEN i.doc_id % 7 = 0 THEN 50.0 ELSE 100.0 / m.n END::DOUBLE, 6) AS weight, CASE i.n % 3 WHEN 1 THEN 'challenge' ELSE 'guided' END AS lab_type,
+  CASE WHEN i.n % 5 = 0 THEN 'practice' WHEN i.n % 2 = 0 THEN 'Review' ELSE 'practice' END AS capsule_type, CASE WHEN len(words) = 4 THEN 'hard' ELSE 'easy' END AS difficulty
+FROM item i JOIN module m ON m.doc_id = i.doc_id AND m.mi = i.mi"""),
     "course_flatten": (course_flatten, f"""
 WITH {SQL_LEVELS}
 SELECT doc_id AS course_id, 'module_' || mi || '/topic_' || ti || '/clause_' || si || '/lab_' || si || '/cap_0/item_' || si AS path,

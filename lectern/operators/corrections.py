@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lectern.functions import lexicon as lex
 from lectern.functions import replies as R
 from lectern.functions import severity as S
+from lectern.functions import text as T
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.durable import first_by
+from lectern.operators.hierarchy import entities, locate, set_fields, settable_by_level
 from lectern.operators.unnest import unnest_structs
 from lectern.operators.validation import RULES
 
@@ -180,6 +182,40 @@ def apply_queue(
     return new_items, auto.unionByName(regenerated).unionByName(manual)
 
 
+def correct_documents(courses: DataFrame, actions: DataFrame, keys: Sequence[str] = ("course_id",)) -> tuple[DataFrame, DataFrame]:
+    """Apply pending field corrections of any level to course documents: the documents and the
+    outcome per action.
+
+    Fields are dotted paths to single values. An action with an unknown entity or field fails and
+    changes nothing. Of several values for one field, the action of least priority comes last, as in
+    the queue's order, and its value stays.
+    """
+    known = settable_by_level(courses)
+    allowed = F.create_map(*[x for kind, fields in known.items() for x in (F.lit(kind), T.words_array(fields))])
+    fixes = locate(entities(courses, keys), actions.filter((F.col("status") == "pending") & (F.col("action_type") == "auto_fix")), keys)
+    names = F.coalesce(F.try_element_at(allowed, F.col("entity_type")), T.words_array([]))
+    judged = fixes.withColumn("ok", F.col("found") & F.forall(F.map_keys("field_corrections"), lambda k: F.array_contains(names, k)))
+    last = (
+        judged.filter("ok").select(*keys, "entity_path", "priority", "action_id", F.explode("field_corrections").alias("field", "value"))
+        .groupBy(*keys, "entity_path", "field").agg(F.max_by("value", F.struct(-F.col("priority"), F.col("action_id"))).alias("value"))
+        .groupBy(*keys, "entity_path").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    )
+    outcome = judged.select(
+        *keys, "action_id", "entity_type", "entity_path", "action_type", "priority", F.when(F.col("ok"), "applied").otherwise("failed").alias("status"),
+        F.when(~F.col("found"), "entity not found").when(~F.col("ok"), "field not found").alias("error"),
+    )
+    return set_fields(courses, last, keys), outcome
+
+
+def new_versions(courses: DataFrame, statuses: DataFrame, keys: Sequence[str] = ("course_id",)) -> DataFrame:
+    """Documents with the version and status of :func:`course_status`; a course without actions has passed."""
+    found = statuses.select(*keys, "validation_status", "output_version").withColumnsRenamed({"validation_status": "_status", "output_version": "_version"})
+    out = courses.join(found, list(keys), "left")
+    return out.withColumns({
+        "version": F.coalesce("_version", F.col("version") + 1), "validation_status": F.coalesce("_status", F.lit("passed")), "validated_at": F.current_timestamp(),
+    }).drop("_status", "_version")
+
+
 def course_status(outcome: DataFrame, source_version: int, keys: Sequence[str] = ("course_id",)) -> DataFrame:
     """Applied and failed counts, status and new version per course.
 

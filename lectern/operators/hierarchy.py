@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from lectern.functions import text as T
 from lectern.functions.naming import entity_key
 from lectern.functions.text import ColumnLike, col
+from lectern.operators.durable import first_by
 
 # level, array that holds it in its parent, key of one entry
 LEVELS = (
@@ -77,9 +79,11 @@ def put_back(courses: DataFrame, results: DataFrame, keys: Sequence[str] = ("cou
 
     ``results(course keys, entity_path, items, success)``, the path ending at the capsule. A
     failed or absent result leaves its capsule as it was. The documents were single rows to
-    begin with, so one map of results per document is bounded by the document.
+    begin with, so one map of results per document is bounded by the document. Of several results
+    with one path, the first by its JSON text counts, for all capsules of that path.
     """
-    good = results.filter(F.col("success")).groupBy(*keys).agg(
+    once = first_by([*keys, "entity_path"], F.to_json(F.struct("items")), results.filter(F.col("success")).select(*keys, "entity_path", "items"))
+    good = once.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.array_join("entity_path", "\x1f"), "items"))).alias("_new")
     )
     fill = lambda c, path: c.withField(
@@ -104,6 +108,86 @@ def put_back(courses: DataFrame, results: DataFrame, keys: Sequence[str] = ("cou
     ).drop("_new")
 
 
+def settable(kind: Ty.DataType, leave: str | None = None, prefix: str = "") -> dict[str, Ty.DataType]:
+    """Dotted paths of the single values in a struct, ``leave`` (its children) left out."""
+    out: dict[str, Ty.DataType] = {}
+    for f in kind.fields:
+        if isinstance(f.dataType, Ty.StructType):
+            out.update(settable(f.dataType, None, f"{prefix}{f.name}."))
+        elif f.name != leave and not isinstance(f.dataType, (Ty.ArrayType, Ty.MapType)):
+            out[prefix + f.name] = f.dataType
+    return out
+
+
+def settable_by_level(courses: DataFrame) -> dict[str, dict[str, Ty.DataType]]:
+    """The fields that a correction may set, per entity type."""
+    kind, out = courses.schema, {}
+    for depth, name in enumerate(("skeleton", *LEVEL_NAMES)):
+        child = LEVELS[depth][1] if depth < len(LEVELS) else None
+        out[name] = settable(kind, child)
+        if child:
+            kind = kind[child].dataType.elementType
+    return out
+
+
+def set_fields(courses: DataFrame, values: DataFrame, keys: Sequence[str] = ("course_id",)) -> DataFrame:
+    """Course documents with single values of any level replaced.
+
+    ``values(course keys, entity_path, fields map<dotted path, value>)``, one row per entity, the
+    path empty for the course itself. Unknown fields and values that can't be read as their type
+    change nothing. One map per document, bounded by the document, is looked up once per entity.
+    """
+    known = settable_by_level(courses)
+    own = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.array_join("entity_path", "\x1f"), "fields"))).alias("_set"))
+
+    def changed(entity: Column, level: str, found: Column) -> Column:
+        out = entity
+        for path, kind in known[level].items():
+            old = entity
+            for part in path.split("."):
+                old = old[part]
+            out = out.withField(path, F.coalesce(F.try_element_at(found, F.lit(path)).try_cast(kind), old))
+        return F.when(found.isNull(), entity).otherwise(out)
+
+    def level(parent: Column, depth: int, path: Column | None) -> Column:
+        name, array, key = LEVELS[depth]
+
+        def one(child: Column) -> Column:
+            here = key(child) if path is None else F.concat_ws("\x1f", path, key(child))
+            below = child if depth + 1 == len(LEVELS) else child.withField(LEVELS[depth + 1][1], level(child, depth + 1, here))
+            pair = F.array(F.struct(below.alias("entity"), F.try_element_at("_set", here).alias("found")))
+            return F.get(F.transform(pair, lambda p: changed(p["entity"], name, p["found"])), F.lit(0))
+
+        return F.transform(F.col(array) if parent is None else parent[array], one)
+
+    joined = courses.join(own, list(keys), "left")
+    out = joined.withColumn("domain_modules", F.when(F.col("_set").isNull(), F.col("domain_modules")).otherwise(level(None, 0, None)))
+    top = F.try_element_at("_set", F.lit(""))
+    tops = {p.split(".")[0] for p in known["skeleton"]} - set(keys)
+    for column in [c for c in courses.columns if c in tops]:
+        kind = courses.schema[column].dataType
+        if isinstance(kind, Ty.StructType):
+            new = F.col(column)
+            for path, inner in settable(kind).items():
+                old = F.col(column)
+                for part in path.split("."):
+                    old = old[part]
+                new = new.withField(path, F.coalesce(F.try_element_at(top, F.lit(f"{column}.{path}")).try_cast(inner), old))
+            new = F.when(F.col(column).isNotNull(), new)
+        else:
+            new = F.coalesce(F.try_element_at(top, F.lit(column)).try_cast(kind), F.col(column))
+        out = out.withColumn(column, F.when(top.isNull(), F.col(column)).otherwise(new))
+    return out.drop("_set")
+
+
+def entities(courses: DataFrame, keys: Sequence[str] = ("course_id",)) -> DataFrame:
+    """(course keys, entity_type, entity_path) of every entity of every level."""
+    out = courses.select(*keys, F.lit("skeleton").alias("entity_type"), T.words_array([]).alias("entity_path"))
+    for name in LEVEL_NAMES:
+        out = out.unionByName(flatten(courses, name, keys).select(*keys, "entity_type", "entity_path"))
+    return out.distinct()
+
+
 def failed_results(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("success"))
 

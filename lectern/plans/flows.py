@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.operators import ambiguity, claims, gates, metrics, novelty, quotes, scoring, validation
 from lectern.operators.chunking import assign_chunk_ids, chunk_books
-from lectern.operators.corrections import apply_queue, build_queue, course_status
+from lectern.operators.corrections import apply_queue, build_queue, correct_documents, course_status, new_versions
 from lectern.operators.durable import durable
-from lectern.operators.hierarchy import flatten
+from lectern.operators.hierarchy import flatten, nest, put_back
 from lectern.operators.routing import collection_plan, distinct_files, fan_out, top_folder
 from lectern.plans.presets import BALANCED, QualityConfig
 from lectern.sources.readers import book_files
@@ -88,14 +88,32 @@ def quality_check(
 def validate_and_correct(
     courses: DataFrame, replies: DataFrame | None, source_version: int = 1
 ) -> dict[str, DataFrame]:
-    """Course documents -> results, report, queue, new item rows, outcome and status."""
+    """Course documents -> results, report, queue, new item rows, outcome, status, and the corrected
+    documents in their new version (:func:`lectern.sources.store.write_version` keeps them)."""
     results = durable(validation.validate_documents(courses))
     queue = durable(build_queue(results))
-    items = flatten(courses, "item").select("course_id", "entity_path", "item.*")
-    new_items, outcome = apply_queue(items, queue, replies)
+    fixed, outcome_of_fields = correct_documents(courses, queue)
+    fixed = durable(fixed)
+    fields = fixed.schema["domain_modules"].dataType.elementType
+    for name in ("topics", "subtopics", "labs", "capsules", "items"):
+        fields = fields[name].dataType.elementType
+    rows = flatten(fixed, "item").select("course_id", "entity_path", "item_pos", "item.*")
+    new_items, outcome = apply_queue(rows, queue.filter("action_type <> 'auto_fix'"), replies)
+    new_items = durable(new_items)
+    children = new_items.select(
+        "course_id", F.slice("entity_path", 1, F.size("entity_path") - 1).alias("entity_path"), "item_pos", F.struct(*fields.names).alias("item"))
+    nested = nest(children, ["course_id", "entity_path"], "item_pos", "items")
+    filled = nested.select("course_id", "entity_path", F.transform("items", lambda x: x["item"]).alias("items"), F.lit(True).alias("success"))
+    # where two capsules have one path, their items can't be told apart and stay as they are
+    capsules = flatten(fixed, "capsule").groupBy("course_id", "entity_path").agg(F.count("*").alias("n")).filter("n = 1")
+    filled = filled.join(capsules, ["course_id", "entity_path"], "left_semi")
+    outcome = durable(outcome.unionByName(outcome_of_fields))
+    status = course_status(outcome, source_version)
+    items = new_items.drop("item_pos")
     return {
-        "results": results, "report": validation.report(results), "queue": queue, "items": new_items,
-        "outcome": outcome, "status": course_status(outcome, source_version),
+        "courses": new_versions(put_back(fixed, filled), status),
+        "results": results, "report": validation.report(results), "queue": queue, "items": items,
+        "outcome": outcome, "status": status,
     }
 
 
