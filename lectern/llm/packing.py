@@ -41,8 +41,9 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False, doc_id: str = "do
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
             rows, ids = [], []
-            for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = encoder.encode(body) + end
+            encoded = (ids for run in tokens.batches_of(batch.column("text").to_pylist()) for ids in encoder.encode_all(run))
+            for key, body in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                raw = body + end
                 total = len(raw) // 4
                 for start in range(0, total, WINDOW):
                     one = raw[4 * start:4 * (start + WINDOW)]

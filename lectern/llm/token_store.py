@@ -225,12 +225,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id"
         end = np.asarray([END], "<u4").tobytes()
         name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.wm"
         for batch in batches:
-            for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            encoded = (ids for run in tokens.batches_of(batch.column("text").to_pylist()) for ids in encoder.encode_all(run))
+            for key, body in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if writer is None:
                     system, place = _system(name)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     writer = ShardWriter(system.open_output_stream(place))
-                writer.add(key, encoder.encode(body) + end)
+                writer.add(key, body + end)
         if writer is not None:
             writer.close()
             writer.stream.close()
@@ -264,7 +265,8 @@ def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
         arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())] * with_ids
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    spread = placed.select("path", "start").repartition(F.col("path"))
+    files = max(1, manifest.count())  # a number that is given is not coalesced: a task per file
+    spread = placed.select("path", "start").repartition(files, "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 

@@ -1,62 +1,85 @@
 """Token ids of whole texts with a public vocabulary, as the tokenizers library gives them.
 
-Most of a text's chunks have been seen before, so each worker keeps the ids of chunks: the library
-encodes every different chunk once and texts are put together from them. That is exact where
-chunks can't act on each other: the text is plain Latin and the cut is at single spaces (byte
-level) or any white space (vocabularies that drop it). Other texts go to the library whole.
+Byte-pair merges stay inside a word, and most words have been seen before. So each worker cuts
+plain Latin texts into words the way the vocabulary's own pattern does, has the library encode
+every word that is new to it, and puts texts together from what it keeps. Texts with other
+characters, control characters or a special token's marks go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
+#: Words of one generation kept per worker. When it is full it becomes the older one, whose words
+#: move back when they are met; the older one's rest is forgotten. This only saves time.
+KEPT_WORDS = 600_000
+_LAST = 0x24F
+_OTHER = re.compile(rf"[^\t\n\r\x20-\x7e¡-{chr(_LAST)}]")
 
-#: Chunks kept per worker; beyond, the store starts anew (it only saves time).
-KEPT_CHUNKS = 300_000
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
-_LOOSE = re.compile(r"\s\s|^\s|\s$")
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(_LAST + 1) if unicodedata.category(chr(c))[0] == kind)
+
+
+_LETTER, _NUMBER = _class("L"), _class("N")
+# Fixed patterns of the two vocabularies, over the characters let through above.
+_BYTE_LEVEL = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_LOWER_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 _encoders: dict = {}
 
 
 class Encoder:
-    """``drops_space``: the vocabulary has no ids for white space."""
+    """``drops_space``: the vocabulary is of lower-case words without white space."""
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.drops_space = Tokenizer.from_file(path), drops_space
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if _OTHER.search(text):
-            return self._whole([text])[0]
-        if self.drops_space:
-            parts = text.split()
-        elif _LOOSE.search(text):
-            return self._whole([text])[0]
-        else:
-            parts = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join([self.chunks[p] for p in parts])
-        except KeyError:
-            new = [p for p in set(parts) if p not in self.chunks]
-            made = dict(zip(new, self._whole(new), strict=True))
-            if len(self.chunks) + len(made) > KEPT_CHUNKS:
-                self.chunks = {p: self.chunks[p] for p in set(parts) if p in self.chunks}
-            self.chunks.update(made)
-            return b"".join([self.chunks[p] for p in parts])
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
-        return [self.encode(t) for t in texts]
+        out: list[bytes] = []
+        cut: list[tuple[int, list[str]]] = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif "<|" in text or _OTHER.search(text):
+                out.append(self._whole([text])[0])
+            else:
+                cut.append((len(out), _LOWER_WORDS.findall(text.lower()) if self.drops_space else _BYTE_LEVEL.findall(text)))
+                out.append(b"")
+        known = self._learn(cut)
+        for at, words in cut:
+            out[at] = b"".join([known[w] for w in words])
+        return out
+
+    def _learn(self, cut: list[tuple[int, list[str]]]) -> dict[str, bytes]:
+        """What is known, with all words of these texts in it."""
+        known, older = self.known, self.older
+        missing = {w for _, words in cut for w in words if w not in known}
+        new = []
+        for w in missing:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        if new:
+            known.update(zip(new, self._whole(new), strict=True))
+        if len(known) > KEPT_WORDS:
+            self.known, self.older = {}, known
+        return known
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
@@ -70,6 +93,19 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _encoders[key]
 
 
+def batches_of(texts: list[str | None], chars: int = 2_000_000) -> Iterable[list[str | None]]:
+    """Runs of texts of about so many characters, one at least."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
