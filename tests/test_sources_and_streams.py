@@ -80,6 +80,10 @@ def test_validate_and_correct(spark, tmp_path):
     assert fixed["item_02"] == ("A new question text", 0, "An explanation that is long enough")
     assert fixed["item_01"][0] == "A question long enough"
     row = second["status"].first()
+    fresh = second["courses"].first()
+    lab = fresh.domain_modules[0].topics[0].subtopics[0].labs[0]
+    assert (fresh.version, fresh.validation_status, lab.lab_type) == (2, "needs_review", "odd")  # its issue names the field "lab", which labs lack
+    assert [(i.item_id, i.content, i.correct_answer_index) for i in lab.capsules[0].items] == [("item_01", "A question long enough", 1), ("item_02", "A new question text", 0)]
     assert (row.corrections_applied, row.corrections_failed, row.manual_reviews, row.validation_status, row.output_version) == (2, 1, 2, "needs_review", 2)
 
 
