@@ -264,7 +264,7 @@ WITH {SQL_SOURCE_ITEMS}, {SQL_LINKS},
 a AS (SELECT l.chunk_id AS item_id, ' ' || lower(l.text) AS low, {sql_words('lower(anchor)')} AS w
       FROM links l JOIN (SELECT item_id, unnest(({sql_sentences('explanation')})[1:2]) AS anchor FROM source_items) s USING (item_id)),
 k AS (SELECT *, row_number() OVER () AS id FROM a),
-run AS (SELECT id, low, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM k, unnest(range(3, len(w) + 1)) AS u(n), unnest(range(1, len(w) - n + 2)) AS v(i) WHERE n <= 8),
+run AS (SELECT id, low, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM k, unnest(range(3, len(w) + 1)) AS u(n), unnest(range(1, len(w) - n + 2)) AS v(i)),
 hit AS (SELECT id, arg_min(phrase, n * 1000 + i) AS phrase FROM run WHERE length(phrase) >= 15 AND contains(low, phrase) GROUP BY 1)
 SELECT item_id, count(phrase) AS matched, count(*) - count(phrase) AS missing, coalesce(string_agg(phrase, '|' ORDER BY phrase), '') AS phrases,
        count(phrase) >= 1 AND count(*) - count(phrase) <= count(*) // 2 AS is_valid
