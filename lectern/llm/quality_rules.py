@@ -21,8 +21,9 @@ from lectern.llm.common import UPPER, let, positions, words
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
-#: Bound of the sample that orders the rules.
-SAMPLE_ROWS = 2000
+#: Bound of the sample that orders the rules: the first rows that a scan gives, so only as many
+#: files are opened as hold them.
+SAMPLE_ROWS = 500
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -106,7 +107,9 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", rows
     Each rule runs alone over the sample, so its time holds what it has to work out. Ties keep
     the given order. An empty sample keeps it, too.
     """
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).limit(rows).select("text", words(F.col("text")).alias("tokens")).persist()
+    taken = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).take(rows)
+    local = docs.sparkSession.createDataFrame([(r["text"],) for r in taken], "text string")
+    sample = local.select("text", words(F.col("text")).alias("tokens")).persist()
     try:
         if not sample.count():
             return list(rules)
