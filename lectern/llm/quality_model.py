@@ -73,14 +73,12 @@ def fit_dual(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cost
     """Dual coordinate descent for the squared hinge loss; each row is made of unit length."""
     weights, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     sign = np.where(labels == 1, 1.0, -1.0)
-    values = []
-    for row in rows:
-        v = scale[row]
-        values.append(v / max(1e-12, np.sqrt(v @ v)))
+    shrink = [1 / max(1e-12, float(np.sqrt(scale[row] @ scale[row]))) for row in rows]  # values are made anew each time: rows are long
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in draw.permutation(len(rows)):
-            row, v = rows[i], values[i]
+            row = rows[i]
+            v = scale[row] * shrink[i]
             slope = sign[i] * (weights[row] @ v + bias) - 1 + alpha[i] / (2 * cost)
             new = max(0.0, alpha[i] - slope / (2.0 + 1 / (2 * cost)))  # 1 of the row and 1 of the bias
             if new != alpha[i]:

@@ -15,7 +15,7 @@ from collections.abc import Iterable
 
 #: Words of one generation kept per worker. When it is full it becomes the older one, whose words
 #: move back when they are met; the older one's rest is forgotten. This only saves time.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 350_000
 _LAST = 0x24F
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e¡-{chr(_LAST)}]")
 
