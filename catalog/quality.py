@@ -252,6 +252,22 @@ def novelty_check(spark, sf_dir):
     return plain(checked.select("pos", "is_novel", "similarity_score", F.coalesce("similar_tag", F.lit("")).alias("similar_tag"), "similar_terms"))
 
 
+def _vector_concepts(spark, sf_dir):
+    """Every vector as a concept; most pairs have neither word nor tag in common."""
+    n = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(
+        n.alias("pos"), F.concat(F.lit("group"), n % 397).alias("concept_tag"), F.concat(F.lit("topic"), n % 389).alias("learning_target"), "embedding",
+    )
+    return N.signatures(rows)
+
+
+def novelty_vectors(spark, sf_dir):
+    """Vectors of odd number against those of even number; a cosine of 0.32 suffices alone."""
+    signed = _vector_concepts(spark, sf_dir)
+    checked = N.check_novelty(signed.filter("pos % 2 = 1"), signed.filter("pos % 2 = 0"), 0.16, vectors=True)
+    return plain(checked.select("pos", "is_novel", "similarity_score", F.coalesce("similar_tag", F.lit("")).alias("similar_tag"), "similar_terms"))
+
+
 def greedy_dedup(spark, sf_dir):
     return plain(N.greedy_dedup(_concepts(spark, sf_dir), 0.85).select("item_id", "is_duplicate", F.coalesce("duplicate_of", F.lit("")).alias("duplicate_of"), "similarity_score"))
 
@@ -410,6 +426,15 @@ pair AS (
   FROM concept a JOIN concept b ON a.pos % 2 = 0 AND b.pos % 2 = 1),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY sim DESC, other) AS rn FROM pair WHERE sim >= 0.7) WHERE rn = 1)
 SELECT c.pos, b.pos IS NULL AS is_novel, round(b.sim, 6) AS similarity_score, coalesce(b.tag, '') AS similar_tag, coalesce(array_to_string(b.shared, '|'), '') AS similar_terms
+FROM concept c LEFT JOIN best b USING (pos) WHERE c.pos % 2 = 1"""),
+    "novelty_vectors": (novelty_vectors, """
+WITH concept AS (SELECT vec_id AS pos, 'group' || (vec_id % 397) AS tag, 'topic' || (vec_id % 389) AS term, embedding::DOUBLE[] AS v FROM embeddings),
+pair AS (
+  SELECT b.pos AS pos, a.pos AS other, a.tag, CASE WHEN a.term = b.term THEN a.term ELSE '' END AS shared,
+    ((a.tag = b.tag)::INT * 0.4::DOUBLE + (a.term = b.term)::INT * 0.6::DOUBLE) * 0.5::DOUBLE + list_cosine_similarity(a.v, b.v) * 0.5::DOUBLE AS sim
+  FROM concept a JOIN concept b ON a.pos % 2 = 0 AND b.pos % 2 = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY sim DESC, other) AS rn FROM pair WHERE sim >= 0.16) WHERE rn = 1)
+SELECT c.pos, b.pos IS NULL AS is_novel, round(b.sim, 6) AS similarity_score, coalesce(b.tag, '') AS similar_tag, coalesce(b.shared, '') AS similar_terms
 FROM concept c LEFT JOIN best b USING (pos) WHERE c.pos % 2 = 1"""),
     "greedy_dedup": (greedy_dedup, SQL_GREEDY),
     "soft_novelty": (soft_novelty, f"""
