@@ -237,6 +237,13 @@ def _concepts(spark, sf_dir):
     )
 
 
+def _whole_concepts(spark, sf_dir):
+    """The same with the whole text as target."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), F.concat_ws(" ", "lang", "source").alias("concept_tag"), F.col("text").alias("learning_target"), "source",
+    )
+
+
 SQL_CONCEPTS = f"""
 concept AS (
   SELECT doc_id AS pos, lang || '_' || source AS tag, lang, source,
@@ -245,9 +252,9 @@ concept AS (
 """
 
 
-def novelty_check(spark, sf_dir):
+def novelty_check(spark, sf_dir, concepts=_concepts):
     """Documents of odd number against those of even number as the registry."""
-    signed = N.signatures(_concepts(spark, sf_dir))
+    signed = N.signatures(concepts(spark, sf_dir))
     checked = N.check_novelty(signed.filter("pos % 2 = 1"), signed.filter("pos % 2 = 0"), 0.7)
     return plain(checked.select("pos", "is_novel", "similarity_score", F.coalesce("similar_tag", F.lit("")).alias("similar_tag"), "similar_terms"))
 
@@ -268,8 +275,16 @@ def novelty_vectors(spark, sf_dir):
     return plain(checked.select("pos", "is_novel", "similarity_score", F.coalesce("similar_tag", F.lit("")).alias("similar_tag"), "similar_terms"))
 
 
-def greedy_dedup(spark, sf_dir):
-    return plain(N.greedy_dedup(_concepts(spark, sf_dir), 0.85).select("item_id", "is_duplicate", F.coalesce("duplicate_of", F.lit("")).alias("duplicate_of"), "similarity_score"))
+def novelty_check_whole(spark, sf_dir):
+    return novelty_check(spark, sf_dir, _whole_concepts)
+
+
+def greedy_dedup(spark, sf_dir, concepts=_concepts):
+    return plain(N.greedy_dedup(concepts(spark, sf_dir), 0.85).select("item_id", "is_duplicate", F.coalesce("duplicate_of", F.lit("")).alias("duplicate_of"), "similarity_score"))
+
+
+def greedy_dedup_whole(spark, sf_dir):
+    return greedy_dedup(spark, sf_dir, _whole_concepts)
 
 
 # the greedy walk in SQL: all similar pairs, then one kept/duplicate decision per position in order
@@ -295,13 +310,17 @@ FROM concept c LEFT JOIN best b ON b.later = c.pos
 """
 
 
-def soft_novelty(spark, sf_dir):
+def soft_novelty(spark, sf_dir, stem=None):
     rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), F.substring("text", 1, 120).alias("stem"), F.col("lang").alias("correct_answer")
+        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), (F.substring("text", 1, 120) if stem is None else stem).alias("stem"), F.col("lang").alias("correct_answer")
     )
     return plain(N.soft_novelty(rows, 0.6).select("item_id", "similar_item_id", "similarity"))
 
 
+def soft_novelty_whole(spark, sf_dir):
+    return soft_novelty(spark, sf_dir, F.col("text"))
+
+
 # --- metrics --------------------------------------------------------------------------------------------
 
 
@@ -447,4 +466,5 @@ SELECT d.doc_id AS item_id, f.other AS similar_item_id, round(f.sim, 6) AS simil
     "difficulty_distribution": (difficulty_distribution, f"WITH {SQL_RECORDS} SELECT difficulty, count(*) AS items FROM record GROUP BY 1"),
     "metrics_text": (metrics_text, None),
 }
-
+# whole texts; tests compare them with all pairs in plain Python, which in SQL takes too long
+QUERIES |= {"novelty_check_whole": (novelty_check_whole, None), "greedy_dedup_whole": (greedy_dedup_whole, None), "soft_novelty_whole": (soft_novelty_whole, None)}

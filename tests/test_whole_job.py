@@ -1,11 +1,13 @@
 """Queries and operators over whole inputs, against plain Python or their SQL."""
 
 import random
+import re
 
 import pytest
 
 import __spark_entry__ as entry
 from catalog.check import compare, connect
+from lectern.functions import lexicon as lex
 from lectern.operators import novelty
 
 VECTOR_CONCEPT = "pos int, tag string, terms array<string>, embedding array<float>"
@@ -47,3 +49,62 @@ def test_vector_novelty_is_the_best_of_all_pairs(spark, threshold):
 def test_new_queries_match_sql(spark, sf, name):
     line = compare(spark, connect(sf), sf, name, entry.queries()[name], entry.oracle_sql()[name])
     assert line.endswith("ok"), line
+
+
+# --- whole texts against all pairs ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Texts that agree in the first words only, and texts that agree in all but the first words."""
+    rng = random.Random(5)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "klmnopqr"]
+    body = [[" ".join(rng.sample(words, 40)) for _ in range(2)] for _ in range(4)]
+    start = [" ".join(rng.sample(words, 30)) for _ in range(2)]
+    texts = [f"{start[i % 2]} {body[i % 4][i % 3 % 2]} {' '.join(rng.sample(words, i % 5))}" for i in range(24)]
+    texts += [f"opening{i} stands before all others number{i} here again more than twelve words are used up {body[1][0]}" for i in range(6)]
+    texts += [" ".join(f"other{i}x{n}word" for n in range(20)) for i in range(4)]
+    folder = str(tmp_path_factory.mktemp("alike"))
+    rows = [(i, t, "en", "src1" if i % 7 else "src2", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder, rows
+
+
+def jac(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def similar(a, b):
+    terms = lambda t: {w for w in re.findall(r"\w{4,}", t.lower()) if w not in lex.CONCEPT_STOP_WORDS and not w.isdigit()}
+    tags = 1.0 if a[3] == b[3] else jac({"en", a[3]}, {"en", b[3]})
+    return tags * 0.4 + jac(terms(a[1]), terms(b[1])) * 0.6
+
+
+def test_novelty_check_of_whole_texts(spark, alike):
+    folder, rows = alike
+    got = {r.pos: r.similarity_score for r in entry.queries()["novelty_check_whole"](spark, folder).collect()}
+    for row in rows[1::2]:
+        best = max(similar(row, other) for other in rows[::2])
+        assert got[row[0]] == (pytest.approx(best, abs=1e-6) if best >= 0.7 else None)
+    assert {r is None for r in got.values()} == {True, False}
+
+
+def test_greedy_dedup_of_whole_texts(spark, alike):
+    folder, rows = alike
+    kept, want = [], {}
+    for row in rows:
+        best = max((similar(row, other) for other in kept), default=0)
+        want[row[0]] = best >= 0.85
+        if best < 0.85:
+            kept.append(row)
+    got = {r.item_id: r.is_duplicate for r in entry.queries()["greedy_dedup_whole"](spark, folder).collect()}
+    assert got == want and set(want.values()) == {True, False}
+
+
+def test_soft_novelty_of_whole_texts(spark, alike):
+    folder, rows = alike
+    got = {r.item_id: r.similar_item_id for r in entry.queries()["soft_novelty_whole"](spark, folder).collect()}
+    words = [set(f"{r[1]} {r[2]}".lower().split()) for r in rows]
+    want = {n: next((m for m in range(n) if jac(words[m], words[n]) > 0.6), None) for n in range(len(rows))}
+    assert got == want and None in want.values()
+    assert entry.queries()["soft_novelty"](spark, folder).filter("similar_item_id is not null").count() != sum(v is not None for v in want.values())
