@@ -122,6 +122,31 @@ items AS (
 """
 
 
+def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every document: empty text where a sentence is missing, the whole last
+    sentence as learning target."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    rows = table(spark, sf_dir, "documents").withColumn("text", empty(F.col("text"))).withColumn("s", T.sentences("text"))
+    return rows.select(
+        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), "source", "lang",
+        empty(F.get("s", F.lit(0))).alias("stem"), empty(F.get("s", F.lit(1))).alias("correct_answer"),
+        F.slice("s", 3, 3).alias("distractors"), F.col("text").alias("explanation"),
+        F.array(F.concat(F.lit("tag_"), (F.col("doc_id") % 4).cast("string"))).alias("scope_tags"),
+        F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"),
+        empty(F.get("s", F.size("s") - 1)).alias("learning_target"),
+    )
+
+
+SQL_WHOLE_ITEMS = f"""
+split AS (SELECT * REPLACE (coalesce(text, '') AS text), {sql_sentences("coalesce(text, '')")} AS s FROM documents),
+items AS (
+  SELECT doc_id AS item_id, doc_id AS pos, source, lang, coalesce(s[1], '') AS stem, coalesce(s[2], '') AS correct_answer, s[3:5] AS distractors,
+         text AS explanation, ['tag_' || (doc_id % 4)::VARCHAR] AS scope_tags,
+         ['easy', 'medium', 'hard'][(doc_id % 3 + 1)::INT] AS difficulty, coalesce(s[len(s)], '') AS learning_target
+  FROM split)
+"""
+
+
 # --- items derived from benchmark, with documents as their source chunks ------------------
 
 

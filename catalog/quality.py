@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ALLOWED_TAGS, SQL_ITEMS, items, plain, sql_has, sql_jaccard, sql_list, sql_long_words, sql_strip, sql_terms, sql_words, table,
+    ALLOWED_TAGS, SQL_ITEMS, SQL_WHOLE_ITEMS, items, plain, sql_has, sql_jaccard, sql_list, sql_long_words, sql_strip, sql_terms, sql_words, table, whole_items,
 )
 from lectern.functions import lexicon as lex
 from lectern.functions import text as T
@@ -81,30 +83,30 @@ check_row AS (
 """
 
 
-def _gated(spark, sf_dir):
-    return G.run_gates(items(spark, sf_dir), ALLOWED_TAGS)
+def _gated(spark, sf_dir, source=items):
+    return G.run_gates(source(spark, sf_dir), ALLOWED_TAGS)
 
 
-def gates_long(spark, sf_dir):
-    return plain(G.gates_long(_gated(spark, sf_dir)).select("item_id", "gate_name", "tier", "result"))
+def gates_long(spark, sf_dir, source=items):
+    return plain(G.gates_long(_gated(spark, sf_dir, source)).select("item_id", "gate_name", "tier", "result"))
 
 
-def gate_report(spark, sf_dir):
-    report = G.gate_report(_gated(spark, sf_dir))
+def gate_report(spark, sf_dir, source=items):
+    report = G.gate_report(_gated(spark, sf_dir, source))
     return plain(report.select("item_id", "tier_1_passed", "tier_2_passed", "overall_pass", "requires_repair", "tier_3_flags", "repair_targets", F.array_sort(F.map_keys("repair_hints")).alias("hinted"), R.can_repair().alias("can_repair")))
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, source=items):
     """Quote counts stand in from the item's number, so every branch of the score is taken."""
     n = F.col("item_id")
-    counted = G.gate_report(_gated(spark, sf_dir)).withColumn("required_count", (n % 4).cast("int")).withColumn("exact_match_count", F.least(n % 3, n % 4).cast("int")).withColumn(
+    counted = G.gate_report(_gated(spark, sf_dir, source)).withColumn("required_count", (n % 4).cast("int")).withColumn("exact_match_count", F.least(n % 3, n % 4).cast("int")).withColumn(
         "fuzzy_match_count", F.when((n % 4 == 3) & (n % 3 == 0), 1).otherwise(0)
     ).withColumn("missing_quote_ids", F.when(n % 8 == 3, T.words_array(["Q3"])).otherwise(T.words_array([])))
     return S.quality_score(counted)
 
 
-def composite_score(spark, sf_dir):
-    return plain(_scored(spark, sf_dir).select("item_id", "grounding", "consistency", "scope", "distractor_score", "novelty_score", "composite_score", "decision", "flags"))
+def composite_score(spark, sf_dir, source=items):
+    return plain(_scored(spark, sf_dir, source).select("item_id", "grounding", "consistency", "scope", "distractor_score", "novelty_score", "composite_score", "decision", "flags"))
 
 
 SQL_SCORE = f"""
@@ -127,29 +129,29 @@ verdict AS (
 """
 
 
-def score_again(spark, sf_dir):
+def score_again(spark, sf_dir, source=items):
     """Second scores after a repair that changed nothing: below the flag threshold is out."""
-    again = S.score_after_repair(_scored(spark, sf_dir))
+    again = S.score_after_repair(_scored(spark, sf_dir, source))
     return plain(again.groupBy("decision", F.array_contains("flags", "failed_after_repair").alias("failed")).agg(F.count(F.lit(1)).alias("items")))
 
 
-def improvement_suggestions(spark, sf_dir):
-    return plain(S.improvement_suggestions(_scored(spark, sf_dir)).groupBy("dimension", "suggestion").agg(F.count(F.lit(1)).alias("items")))
+def improvement_suggestions(spark, sf_dir, source=items):
+    return plain(S.improvement_suggestions(_scored(spark, sf_dir, source)).groupBy("dimension", "suggestion").agg(F.count(F.lit(1)).alias("items")))
 
 
-def score_reports(spark, sf_dir):
-    text = S.score_report(_scored(spark, sf_dir))
+def score_reports(spark, sf_dir, source=items):
+    text = S.score_report(_scored(spark, sf_dir, source))
     lines = F.split("report", "\n")
     return plain(text.select("item_id", F.size(lines).alias("lines"), F.get(lines, F.lit(2)).alias("decision_line"), F.get(lines, F.lit(3)).alias("first_dimension")))
 
 
-def repair_routing(spark, sf_dir):
-    routed = R.route_repairs(_gated(spark, sf_dir))
+def repair_routing(spark, sf_dir, source=items):
+    routed = R.route_repairs(_gated(spark, sf_dir, source))
     return plain(routed.select("item_id", "gate_name", F.coalesce("repair_type", F.lit("")).alias("repair_type"), F.coalesce("attempt", F.lit(0)).alias("attempt"), F.coalesce("remaining_issue", F.lit("")).alias("remaining_issue")))
 
 
-def repairs_applied(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("missing_quote_ids", T.words_array(["Q1"]))
+def repairs_applied(spark, sf_dir, source=items):
+    rows = source(spark, sf_dir).withColumn("missing_quote_ids", T.words_array(["Q1"]))
     routed = R.route_repairs(G.run_gates(rows, ALLOWED_TAGS))
     text = F.when(F.col("item_id") % 2 == 0, "Because of [Q1] this holds.").otherwise("No quote at all.")
     wrong = F.when(F.col("item_id") % 3 > 0, F.to_json(T.words_array(["first wrong way", "second wrong way", "third wrong way"]))).otherwise('{"not": "a list"}')
@@ -168,12 +170,12 @@ def option_rewrites(spark, sf_dir):
 # --- options ------------------------------------------------------------------------------------
 
 
-def _options(spark, sf_dir):
-    """Four options: the quarters of every document, the last with what is left over."""
-    words = T.split_words("text")
+def _options(spark, sf_dir, least=4):
+    """Four options: the quarters of every document of ``least`` words, the last with what is left over."""
+    words = T.split_words(F.coalesce("text", F.lit("")))
     quarter = F.floor(F.size("w") / 4).cast("int")
     options = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.array_join(F.slice("w", i * quarter + 1, F.when(i < 3, quarter).otherwise(F.size("w"))), " "))
-    return table(spark, sf_dir, "documents").withColumn("w", words).filter("size(w) >= 4").select(
+    return table(spark, sf_dir, "documents").withColumn("w", words).filter(F.size("w") >= least).select(
         F.col("doc_id").alias("item_id"), options.alias("options"), (F.col("doc_id") % 4).cast("int").alias("correct_index"),
         F.element_at(F.array(F.lit("beginner"), F.lit("intermediate"), F.lit("advanced")), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"),
     )
@@ -190,12 +192,12 @@ similar_pair AS (
 """
 
 
-def quick_ambiguity(spark, sf_dir):
-    return plain(B.quick_verdict(_options(spark, sf_dir)).drop("reasoning"))
+def quick_ambiguity(spark, sf_dir, least=4):
+    return plain(B.quick_verdict(_options(spark, sf_dir, least)).drop("reasoning"))
 
 
-def distractor_review(spark, sf_dir):
-    rows = _options(spark, sf_dir)
+def distractor_review(spark, sf_dir, least=4):
+    rows = _options(spark, sf_dir, least)
     return plain(rows.select("item_id", F.size(D.review_issues("options", "correct_index", "difficulty")).alias("issues")))
 
 
@@ -468,3 +470,12 @@ SELECT d.doc_id AS item_id, f.other AS similar_item_id, round(f.sim, 6) AS simil
 }
 # whole texts; tests compare them with all pairs in plain Python, which in SQL takes too long
 QUERIES |= {"novelty_check_whole": (novelty_check_whole, None), "greedy_dedup_whole": (greedy_dedup_whole, None), "soft_novelty_whole": (soft_novelty_whole, None)}
+# every document, those of one sentence or none too
+OF_ITEMS = ("gates_long", "gate_report", "composite_score", "score_again", "improvement_suggestions", "score_reports", "repair_routing", "repairs_applied")
+QUERIES |= {f"{n}_whole": (partial(QUERIES[n][0], source=whole_items), QUERIES[n][1].replace(SQL_ITEMS, SQL_WHOLE_ITEMS)) for n in OF_ITEMS}
+# options of every document, empty ones too
+SQL_EVERY_OPTIONS = SQL_OPTIONS.replace("FROM w WHERE len(w) >= 4", "FROM w").replace(sql_words("text"), sql_words("coalesce(text, '')"))
+for _o in ("o[i + 1]", "o[j + 1]", "o[i + 1] || ' ' || o[j + 1]"):  # an empty option has no words, so none in common
+    SQL_EVERY_OPTIONS = SQL_EVERY_OPTIONS.replace(f"string_split(lower({_o}), ' ')", sql_words(f"lower({_o})"))
+SQL_EVERY_OPTIONS = SQL_EVERY_OPTIONS.replace("/ len(list_distinct(", "/ greatest(1, len(list_distinct(").replace(") > 0.7)", ")) > 0.7)")
+QUERIES |= {f"{n}_whole": (partial(QUERIES[n][0], least=0), QUERIES[n][1].replace(SQL_OPTIONS, SQL_EVERY_OPTIONS)) for n in ("quick_ambiguity", "distractor_review")}

@@ -3,10 +3,12 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from catalog.check import compare, connect
+from catalog.quality import OF_ITEMS
 from lectern.functions import lexicon as lex
 from lectern.operators import novelty
 
@@ -108,3 +110,26 @@ def test_soft_novelty_of_whole_texts(spark, alike):
     want = {n: next((m for m in range(n) if jac(words[m], words[n]) > 0.6), None) for n in range(len(rows))}
     assert got == want and None in want.values()
     assert entry.queries()["soft_novelty"](spark, folder).filter("similar_item_id is not null").count() != sum(v is not None for v in want.values())
+
+
+# --- every document, however few its sentences -----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def short(spark, tmp_path_factory):
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = [None, "", " ", "One sentence only", long + ".", "Stem is an? Answer here. Wrong one. Wrong two. Other. " + long + ".", "What is a! Answer.", "Never first priority. Always also correct."]
+    folder = str(tmp_path_factory.mktemp("short"))
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder, len(texts)
+
+
+@pytest.mark.parametrize("name", [*OF_ITEMS, "quick_ambiguity", "distractor_review"])
+def test_gates_and_scores_of_every_document(spark, short, name):
+    folder, n = short
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    line = compare(spark, con, folder, name + "_whole", entry.queries()[name + "_whole"], entry.oracle_sql()[name + "_whole"])
+    assert line.endswith("ok"), line
+    if name in ("gate_report", "composite_score", "repairs_applied", "quick_ambiguity", "distractor_review"):
+        assert entry.queries()[name + "_whole"](spark, folder).count() == n
