@@ -145,12 +145,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(slope * margins + shift, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """``docs`` (doc_id, text), ``labels`` (doc_id, label 0 or 1; others are left out). The rows
-    are drawn by a hash of the id; so few of them are sent to all executors to find their texts."""
+def fit_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(text, label) of at most ``rows`` labels, drawn by a hash of the id; so few of them are sent
+    to all executors to find their texts. An id that documents repeat gives its least text once."""
     held_in = labels.select("doc_id", "label").filter("doc_id IS NOT NULL AND label IN (0, 1)")
     drawn = stored(held_in.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows))  # at most ``rows`` pairs of numbers
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """``docs`` (doc_id, text), ``labels`` (doc_id, label 0 or 1; others are left out)."""
+    found = fit_rows(docs, labels, rows)
     got = found.repartition(1).mapInArrow(_fit_task, "scale binary, weights binary, rest binary").collect()
     if not got:
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(3))
