@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    chat_tools, decontaminate, licenses, near_dup, packing, pii, quality_model, quality_rules, token_store, tokens, url_filter,
+    chat_tools, decontaminate, licenses, near_dup, packing, pii, quality_model, quality_rules, spelling, token_store, tokens, url_filter,
 )
 from lectern.llm.common import table
-from lectern.llm.twins import CHAT_TOOLS, DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES
+from lectern.llm.twins import CHAT_TOOLS, DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES, SPELLING
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": (op1_pii, PERSONAL_DATA),
     "op2_quality_rules": (op2_quality_rules, QUALITY_RULES),
@@ -64,4 +68,5 @@ QUERIES = {
     "op8_licenses": (op8_licenses, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_token_store": (op10_token_store, None),
+    "op11_spelling_variants": (op11_spelling_variants, SPELLING),
 }

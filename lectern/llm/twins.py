@@ -163,3 +163,45 @@ FROM b GROUP BY conv_id, turn
 
 
 CHAT_TOOLS = _chat_tools()
+
+
+def _spelling(least: int = 5, times: int = 5, one_in: int = 199) -> str:
+    """crc32 is linear in the bytes: a byte adds the value of its place from the end, and the length
+    a constant. Words meet with one letter left out, at its place, or as the rest of a longer one."""
+    return f"""
+WITH RECURSIVE
+step(b, v) AS MATERIALIZED (
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FROM (SELECT unnest(range(256)) AS b)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+k AS MATERIALIZED (
+  SELECT word, coalesce(doc_id::VARCHAR, '') || ':' || word AS key, count(*) AS n
+  FROM (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM r) WHERE len(word) >= 6 GROUP BY ALL),
+longest AS (SELECT coalesce(max(octet_length(encode(key))), 0) AS size FROM k),
+value_(p, b, v) AS MATERIALIZED (
+  SELECT 0, b, v FROM step
+  UNION ALL SELECT p + 1, value_.b, xor(step.v, value_.v >> 8) FROM value_ JOIN step ON step.b = value_.v & 255 WHERE p < (SELECT size FROM longest)),
+start_(size, v) AS MATERIALIZED (
+  SELECT 0::BIGINT, 4294967295::BIGINT
+  UNION ALL SELECT size + 1, xor(step.v, start_.v >> 8) FROM start_ JOIN step ON step.b = start_.v & 255 WHERE size < (SELECT max(size) FROM longest)),
+bytes_ AS (SELECT key, hex(encode(key)) AS h, octet_length(encode(key)) AS size, unnest(range(octet_length(encode(key)))) AS i FROM k),
+sums AS (
+  SELECT key, any_value(bytes_.size) AS size, bit_xor(v) AS v FROM bytes_
+  JOIN value_ ON value_.p = bytes_.size - 1 - i AND value_.b = ('0x' || substr(h, 2 * i + 1, 2))::BIGINT GROUP BY key),
+hashed AS (SELECT k.word, k.n, xor(xor(sums.v, start_.v), 4294967295) AS h FROM k JOIN sums USING (key) JOIN start_ USING (size)),
+dropped AS (SELECT n, CASE WHEN h % {one_in} = 0 THEN left(word, (h % len(word))::INT) || substr(word, (h % len(word))::INT + 2) ELSE word END AS word FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM dropped WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= {least}),
+rest AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM rest a JOIN rest b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM rest a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM rest a JOIN w b ON a.rest = b.word),
+best AS MATERIALIZED (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+link AS MATERIALIZED (SELECT w.word, form, form_n FROM w JOIN best USING (word) WHERE form_n >= {times} * n),
+chain(word, root) AS (SELECT word, word FROM w UNION ALL SELECT chain.word, link.form FROM chain JOIN link ON link.word = chain.root),
+roots AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM link))
+SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, link.form_n::BIGINT AS form_n
+FROM w JOIN roots USING (word) LEFT JOIN link USING (word) LEFT JOIN (SELECT word, n_near FROM best) USING (word)
+"""
+
+
+SPELLING = _spelling()
