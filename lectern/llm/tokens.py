@@ -1,34 +1,39 @@
 """Token ids of whole texts with a public vocabulary, as the tokenizers library gives them.
 
-Byte-pair merges stay inside a word, and most words have been seen before. So each worker cuts
-plain Latin texts into words the way the vocabulary's own pattern does, has the library encode
-every word that is new to it, and puts texts together from what it keeps. Texts with other
-characters, control characters or a special token's marks go to the library whole.
+Byte-pair merges stay inside a word, and most words have been seen before. So each worker splits
+a run of plain Latin texts at white space, cuts the different pieces of the run into words the way
+the vocabulary's own pattern does, has the library encode every word that is new to it, and puts
+texts together from the places of words in pieces and of pieces in texts, all in whole columns.
+Texts with other characters, control characters or a special token's marks go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words of one generation kept per worker. When it is full it becomes the older one, whose words
 #: move back when they are met; the older one's rest is forgotten. This only saves time.
 KEPT_WORDS = 350_000
-_LAST = 0x24F
-_OTHER = re.compile(rf"[^\t\n\r\x20-\x7e¡-{chr(_LAST)}]")
-
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")  # the dotted I has two lower-case letters
+# Fixed patterns of the two vocabularies, as they are inside a piece; ends of words become \0.
+_LOWER_WORDS = r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}\x00]+"
+_BYTE_LEVEL = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+"
+#: The last line end before a word stands alone.
+_LAST_BREAK = r"([\t\n\r])([^\t\n\r])"
+#: White space that pieces split at single spaces would cut in two: these texts go to the library whole.
+_LONE_SPACE = re.compile(r"[ \t\n\r] (?:[ \t\n\r]|$)|^ [ \t\n\r]")
+_encoders: dict = {}
 
-def _class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_LAST + 1) if unicodedata.category(chr(c))[0] == kind)
 
-
-_LETTER, _NUMBER = _class("L"), _class("N")
-# Fixed patterns of the two vocabularies, over the characters let through above.
-_BYTE_LEVEL = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
-_LOWER_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
-_encoders: dict = {}
+def _has_lone_space(text: str) -> bool:
+    near = "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " "
+    return near and _LONE_SPACE.search(text) is not None
 
 
 class Encoder:
@@ -50,36 +55,79 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        cut: list[tuple[int, list[str]]] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif "<|" in text or _OTHER.search(text):
-                out.append(self._whole([text])[0])
-            else:
-                cut.append((len(out), _LOWER_WORDS.findall(text.lower()) if self.drops_space else _BYTE_LEVEL.findall(text)))
-                out.append(b"")
-        known = self._learn(cut)
-        for at, words in cut:
-            out[at] = b"".join([known[w] for w in words])
+        texts = list(texts)
+        out = [b""] * len(texts)
+        whole, plain = [], []
+        for at, text in enumerate(texts):
+            if text:
+                odd = "<|" in text or _OTHER.search(text) or not self.drops_space and _has_lone_space(text)
+                (whole if odd else plain).append(at)
+        for found, chosen in ((self._whole, whole), (self._from_pieces, plain)):
+            for at, ids in zip(chosen, found([texts[at] for at in chosen]) if chosen else (), strict=True):
+                out[at] = ids
         return out
 
-    def _learn(self, cut: list[tuple[int, list[str]]]) -> dict[str, bytes]:
-        """What is known, with all words of these texts in it."""
+    def _from_pieces(self, texts: list[str]) -> list[bytes]:
+        """Between a piece and the next one the vocabulary's pattern always cuts."""
+        split = pc.ascii_split_whitespace if self.drops_space else lambda x: pc.split_pattern(x, " ")
+        in_texts = split(pa.array(texts, pa.string()))
+        coded, ends = in_texts.flatten().dictionary_encode(), in_texts.offsets.to_numpy()
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary
+        alike = pc.utf8_is_alpha(pieces)
+        if self.drops_space:
+            pieces = pc.utf8_lower(pieces)
+        else:  # a space goes with the word that follows; the first piece of a text has none
+            first = pieces.take(pa.array(codes[ends[:-1]]))
+            codes = codes.copy()
+            codes[ends[:-1]] = np.arange(len(pieces), len(pieces) + len(first))
+            pieces = pa.concat_arrays([pc.binary_join_element_wise("", pieces, " "), first])
+            alike = pa.concat_arrays([alike, pc.utf8_is_alpha(first)])
+        # Pieces of letters are words as they are; they come first from here on.
+        letters = alike.to_numpy(zero_copy_only=False)
+        turned = np.argsort(~letters, kind="stable")
+        place = np.empty(len(turned), np.int64)
+        place[turned] = np.arange(len(turned))
+        n, mixed = int(letters.sum()), pieces.filter(pc.invert(alike))
+        if self.drops_space:
+            marked = pc.replace_substring_regex(mixed, _LOWER_WORDS, "\\0\0")
+        else:
+            marked = pc.replace_substring_regex(pc.replace_substring_regex(mixed, _LAST_BREAK, "\0\\1\0\\2"), _BYTE_LEVEL, "\0\\0\0")
+        in_mixed = pc.split_pattern(marked, "\0")
+        words = pa.concat_arrays([pieces.filter(alike), in_mixed.flatten()]).dictionary_encode()
+        in_pieces = np.concatenate([np.arange(n), n + in_mixed.offsets.to_numpy()])
+        ids = self._learn(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, after = _put_together(np.frombuffer(b"".join(ids), "<u4"), sizes, words.indices.to_numpy())
+        codes = place[codes]
+        flat, after = _put_together(flat, np.diff(after[in_pieces]), codes)
+        bounds = after[ends]
+        return [flat[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Their ids."""
         known, older = self.known, self.older
-        missing = {w for _, words in cut for w in words if w not in known}
+        found = list(map(known.get, words))
         new = []
-        for w in missing:
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
+        for at, ids in enumerate(found):
+            if ids is None:
+                found[at] = older.get(words[at])
+                if found[at] is None:
+                    new.append(at)
+                else:
+                    known[words[at]] = found[at]
         if new:
-            known.update(zip(new, self._whole(new), strict=True))
+            for at, ids in zip(new, self._whole([words[at] for at in new]), strict=True):
+                found[at] = known[words[at]] = ids
         if len(known) > KEPT_WORDS:
             self.known, self.older = {}, known
-        return known
+        return found
+
+
+def _put_together(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` holds runs of ``sizes``; the runs named by ``codes`` side by side, and where each begins."""
+    starts, taken = np.cumsum(sizes) - sizes, sizes[codes]
+    after = np.concatenate([[0], np.cumsum(taken)])
+    return flat[np.repeat(starts[codes] - after[:-1], taken) + np.arange(after[-1])], after
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
@@ -93,7 +141,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _encoders[key]
 
 
-def batches_of(texts: list[str | None], chars: int = 2_000_000) -> Iterable[list[str | None]]:
+def batches_of(texts: list[str | None], chars: int = 4_000_000) -> Iterable[list[str | None]]:
     """Runs of texts of about so many characters, one at least."""
     run, size = [], 0
     for text in texts:
