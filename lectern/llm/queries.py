@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    chat_tools, decontaminate, fewest_bins, licenses, near_dup, packing, pii, quality_model, quality_rules, spelling, token_store, tokens, url_filter,
+    chat_tools, decontaminate, fewest_bins, licenses, near_dup, packing, pii, quality_model, quality_rules, spelling, token_store, tokens, url_filter, whitening,
 )
 from lectern.llm.common import table
 from lectern.llm.twins import CHAT_TOOLS, DECONTAMINATION, NEAR_DUPLICATES, PERSONAL_DATA, QUALITY_RULES, SPELLING
@@ -57,6 +57,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fewest_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fewest_bins.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -73,5 +77,6 @@ QUERIES = {
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_token_store": (op10_token_store, None),
     "op11_spelling_variants": (op11_spelling_variants, SPELLING),
+    "op12_whitening": (op12_whitening, None),
     "op13_fewest_sequences": (op13_fewest_sequences, None),
 }

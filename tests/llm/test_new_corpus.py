@@ -195,3 +195,78 @@ def test_fewest_sequences_of_nulls_repeats_and_nothing(spark):
     assert sorted((str(r.doc_id), r.length) for r in got) == [("3", 3), ("3", 3), ("None", 1), ("None", 3)]
     assert {r.sequence_id for r in got} == {0} and sorted(r.offset for r in got)[0] == 0
     assert fewest_bins.pack(frame(spark, [(1, "a")]).limit(0), path).count() == 0
+
+
+# --- whitening --------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int, x string, w double"
+
+
+def brute_whitening(rows, wanted=8):
+    """By numpy's own eigenvectors."""
+    x = np.array([np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64) + 100_000 for v in rows])
+    n, s = len(x), x.sum(0)
+    centred = x - s / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:wanted], vectors[:, ::-1][:, :wanted]
+    return n, ((n * x - s) ** 2).sum(1), centred @ vectors / np.sqrt(values), values / np.trace(centred.T @ centred / n)
+
+
+def same_as_brute(got, ids, rows):
+    n, deviation, whitened, explained = brute_whitening(rows)
+    by = {(r.vec_id, r.component): r for r in got}
+    assert len(by) == len(got) == len(rows) * whitened.shape[1]
+    for c in range(whitened.shape[1]):
+        mine = np.array([by[i, c + 1].whitened for i in ids])
+        sign = np.sign(mine @ whitened[:, c])
+        assert np.abs(mine - sign * whitened[:, c]).max() < 1e-7
+        assert all(by[i, c + 1].deviation == k and by[i, c + 1].n == n for i, k in zip(ids, deviation.tolist()))
+        assert abs(by[ids[0], c + 1].explained / explained[c] - 1) < 1e-9
+    assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error < 1e-9
+
+
+def test_whitening_equals_numpy(spark, sf):
+    from lectern.llm import whitening
+
+    rows = table(spark, sf, "embeddings").collect()
+    extra = [(10_000, None), (10_001, [float("nan")] * 64), (10_002, [float("inf")] + [0.0] * 63), (10_003, [1.0, 2.0]), (10_004, [None] * 64), (10_005, [])]
+    docs = spark.createDataFrame([(r.vec_id, list(r.embedding), 1, "a", 0.0) for r in rows] + [(i, v, 1, "a", 0.0) for i, v in extra], VECTORS).repartition(5)
+    same_as_brute(whitening.whiten(docs).collect(), [r.vec_id for r in rows], [r.embedding for r in rows])
+
+
+def test_whitening_of_few_dimensions_clusters_and_nothing(spark):
+    from lectern.llm import whitening
+
+    draw = np.random.default_rng(2)
+    frame_ = lambda rows: spark.createDataFrame([(i, [float(x) for x in v], 1, "a", 0.0) for i, v in rows], VECTORS)
+    rows = draw.standard_normal((60, 3)).tolist()
+    same_as_brute(whitening.whiten(frame_(list(enumerate(rows)))).collect(), list(range(60)), rows)
+    flat = (draw.standard_normal((200, 4)) @ draw.standard_normal((4, 12))).round(1)  # rank 4 but for rounding to whole numbers
+    flat[:, 6:] = 0.5
+    got = whitening.whiten(frame_(list(enumerate(flat.tolist())))).collect()
+    assert max(r.component for r in got) == 6 and got[0].identity_error < 1e-6
+    assert whitening.whiten(frame_([(1, [1.0, 2.0])])).count() == 0
+    assert whitening.whiten(frame_([(1, [1.0, 2.0]), (None, [1.0, 2.0])])).count() == 0
+    assert whitening.whiten(frame_([(1, [1.0])]).limit(0)).count() == 0
+    twice = whitening.whiten(frame_([(None, [1.0, 2.0]), (7, [3.0, 2.0]), (7, [3.0, 2.0])])).collect()
+    assert sorted((str(r.vec_id), r.component, r.n) for r in twice) == [("7", 1, 3), ("7", 1, 3), ("None", 1, 3)]
+    assert {r.deviation for r in twice if r.vec_id == 7} == {2048 ** 2}
+
+
+def test_counts_by_inertia_and_feast(spark):
+    from lectern.llm import whitening
+
+    draw = np.random.default_rng(3)
+    for values in (draw.random(30), np.repeat([3.0, 2.0, 1.0], 8), np.array([5.0, 1.0, 1.0 - 1e-9, 1.0 - 2e-9, 0.5, 0, 0])):
+        q, _ = np.linalg.qr(draw.standard_normal((len(values), len(values))))
+        a = q * values @ q.T
+        a = (a + a.T) / 2
+        t = whitening.tridiagonal(a)
+        want = np.linalg.eigvalsh(a)
+        for shift in (*(want[:-1] + np.diff(want) / 2)[np.diff(want) > 1e-6], -1, 6):
+            assert whitening.count_below(t, float(shift)) == (want < shift).sum()
+        low, high, inside = whitening.interval(t, 4, 1e-12)
+        assert inside >= 4 and inside == (want > low).sum() and want.max() < high
+        found, vectors = whitening.feast(spark, a, low, high, inside)
+        assert np.abs(found - want[::-1][:inside]).max() < 1e-12 and np.abs(vectors.T @ vectors - np.eye(inside)).max() < 1e-12
+        assert np.abs(a @ vectors - vectors * found).max() < 1e-12
