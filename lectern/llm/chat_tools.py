@@ -1,13 +1,13 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and serialised.
 
 Calls and results meet by a hash join on (conversation, call id). Inside a message, calls are put
-in topological order of what they wait for: rounds over the calls whose waits are all placed, so as
-many rounds as the longest chain of one message. Arguments are checked against the tool's schema and
+in topological order of what they wait for, in one pass over the message's waits. Arguments are checked against the tool's schema and
 written as canonical JSON (keys sorted, no blanks). One row per message comes out: a conversation,
 however long, is never gathered in one place, and messages order it by their turns.
 
-Statuses: ``ok``, ``no_result``, ``unknown_tool``, ``invalid`` (arguments are no JSON object or break
-the schema), ``missing`` (waits for a call that isn't in the conversation or comes in a later turn) and
+Statuses: ``ok``, ``no_result``, ``unknown_tool``, ``invalid`` (arguments are no JSON object, hold NaN or
+infinity, are nested deeper than the JSON reader goes, or break the schema; no arguments fit a schema
+that is no JSON object or breaks its own rules), ``missing`` (waits for a call that isn't in the conversation or comes in a later turn) and
 ``cycle`` (waits, directly or not, for itself in one message); the first that applies from the right.
 Of repeated calls with one id, the one of the earliest turn counts, then the least name and
 arguments; of repeated results, the earliest, then the least. Results without a call are listed as
@@ -18,8 +18,11 @@ not returned: they can't be told apart. Empty tables give an empty result.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -30,7 +33,20 @@ _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null":
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Halves of surrogate pairs, which no encoding takes, stay escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _same(a: object, b: object) -> bool:
+    """Equal JSON values; truth is no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
 
 
 def fits(value: object, schema: dict) -> bool:
@@ -39,7 +55,7 @@ def fits(value: object, schema: dict) -> bool:
     kinds = schema.get("type")
     for kind in [kinds] if isinstance(kinds, str) else kinds or []:
         if kind in ("integer", "number"):
-            good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+            good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
         else:
             good = isinstance(value, _TYPES.get(kind, object))
         if good:
@@ -47,7 +63,7 @@ def fits(value: object, schema: dict) -> bool:
     else:
         if kinds:
             return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]):
         return False
     if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
         return False
@@ -65,46 +81,96 @@ def fits(value: object, schema: dict) -> bool:
 
 @F.pandas_udf(Ty.StructType([Ty.StructField("valid", Ty.BooleanType()), Ty.StructField("text", Ty.StringType())]))
 def _checked(arguments: pd.Series, schema: pd.Series) -> pd.DataFrame:
-    read: dict[str, dict] = {}
+    read: dict[str, object] = {}
     out = []
     for body, rule in zip(arguments, schema, strict=True):
-        try:
-            value = json.loads(body)
-        except (TypeError, ValueError):
-            out.append((False, None))
-            continue
         if rule is not None and rule not in read:
-            read[rule] = json.loads(rule)
-        out.append((isinstance(value, dict) and (rule is None or fits(value, read[rule])), canonical(value)))
+            read[rule] = _json(rule)
+        value = _json(body)
+        out.append((isinstance(value, dict) and (rule is None or _meets(value, read[rule])), _written(value)))
     return pd.DataFrame(out, columns=["valid", "text"])
 
 
+_NONE = object()
+
+
+def _json(text: str | None) -> object:
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except (TypeError, ValueError, RecursionError):
+        return _NONE
+
+
+def _meets(value: object, schema: object) -> bool:
+    try:
+        return isinstance(schema, dict) and _written(value) is not None and fits(value, schema)
+    except (TypeError, ValueError, AttributeError, RecursionError):
+        return False
+
+
+def _written(value: object) -> str | None:
+    try:
+        return None if value is _NONE else canonical(value)
+    except (ValueError, RecursionError):
+        return None
+
+
 def _first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def depths(waits: list[dict]) -> dict[str, int | None]:
+    """``waits`` (call_id, other) of one message: the longest chain below each call that waits; None on
+    or behind a cycle. Calls that wait for none are at 0 and not listed."""
+    others: dict[str, set] = {}
+    for w in waits:
+        others.setdefault(w["call_id"], set()).add(w["other"])
+    behind: dict[str, list] = {}
+    for call, of in others.items():
+        for other in of:
+            behind.setdefault(other, []).append(call)
+    left = {call: sum(o in others for o in of) for call, of in others.items()}
+    level, ready = {}, [call for call, n in left.items() if n == 0]
+    for call in ready:
+        level[call] = 1 + max(level.get(o, 0) for o in others[call])
+        for later in behind.get(call, ()):
+            left[later] -= 1
+            if left[later] == 0:
+                ready.append(later)
+    return {call: level.get(call) for call in others}
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, missing): the longest chain of calls of the same message below each;
-    level is null for calls on or behind a cycle."""
+    level is null for calls on or behind a cycle. A message's waits are gathered once, as its calls
+    are when it is written."""
     keys = ["conv_id", "call_id"]
     waits = calls.select(*keys, "turn", F.explode("waits_for").alias("other")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("other"), F.col("turn").alias("other_turn"))
-    met = waits.join(known, ["conv_id", "other"], "left")
+    met = stored(waits.join(known, ["conv_id", "other"], "left"))
     lost = met.filter(F.col("other_turn").isNull() | (F.col("other_turn") > F.col("turn"))).select(*keys).distinct().withColumn("missing", F.lit(True))
-    edges = stored(met.filter("other_turn = turn").select(*keys, "other"))
-    level, placed = 0, stored(calls.select(*keys).join(edges.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(0)))
-    while True:
-        open_ = edges.join(placed.select(*keys), keys, "left_anti")
-        done = placed.select("conv_id", F.col("call_id").alias("other"), F.lit(True).alias("done"))
-        ready = open_.join(done, ["conv_id", "other"], "left").groupBy(*keys).agg(F.count_if(F.col("done").isNull()).alias("left")).filter("left = 0")
-        level += 1
-        new = stored(ready.select(*keys, F.lit(level).alias("level")))
-        if new.isEmpty():
-            break
-        placed = placed.unionByName(new)
-    return calls.select(*keys).join(placed, keys, "left").join(lost, keys, "left")
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, levels = [], [], []
+            for k, waiting in enumerate(batch.column(1).to_pylist()):
+                for call, level in depths(waiting).items():
+                    at.append(k)
+                    ids.append(call)
+                    levels.append(level)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(levels, pa.int32())], names=["conv_id", "call_id", "depth"])
+
+    inside = met.filter("other_turn = turn").groupBy("conv_id", "turn").agg(F.collect_list(F.struct("call_id", "other")).alias("waits"))
+    kind = calls.schema["conv_id"].dataType.simpleString()
+    deep = inside.select("conv_id", "waits").mapInArrow(order, f"conv_id {kind}, call_id string, depth int").withColumn("waits", F.lit(True))
+    placed = calls.select(*keys).join(deep, keys, "left").select(*keys, F.when(F.col("waits"), F.col("depth")).otherwise(F.lit(0)).alias("level"))
+    return placed.join(lost, keys, "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -70,3 +70,12 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFram
     """The rows of ``docs`` whose id is not in the only column of ``ids``; null ids stay."""
     gone = sent_if_few(ids.toDF("_gone").filter("_gone IS NOT NULL").distinct())
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, stored with a long of its own for each row, and the name of that column. Ids may be
+    null or repeat; what is decided by row must not go by them."""
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name

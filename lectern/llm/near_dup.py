@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import let, lower_ascii, positions, stored, words
+from lectern.llm.common import let, lower_ascii, positions, stored, with_row_key, without, words
 from lectern.llm.components import components
 
 BANDS, ROWS = 80, 7
@@ -186,3 +186,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = source.filter(F.col("id").isNull() | wordless).select("id", n_bare.alias("n_shingles"), F.col("id").alias("component_id"))
     return placed.unionByName(alone).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all columns and one row of each group of near-duplicates, the one with the least
+    id (null ids last). Rows count, not ids: repeated rows are copies of each other, rows of one id
+    with different texts are different documents, and rows with a null id take part."""
+    keyed, row = with_row_key(docs)
+    copies = stored(near_duplicates(keyed, row, text, size, percent).filter("component_id IS NOT NULL AND NOT kept").select(
+        F.col("doc_id").alias("member"), "component_id"))
+    members = copies.unionByName(copies.select(F.col("component_id").alias("member"), "component_id").distinct())
+    named = members.join(keyed.select(F.col(row).alias("member"), F.col(doc_id).alias("own_id")), "member")
+    best = named.groupBy("component_id").agg(F.min_by("member", F.struct(F.col("own_id").isNull(), "own_id", "member")).alias("best"))
+    gone = members.join(best, "component_id").filter("member <> best").select("member")
+    return without(keyed, gone, row).drop(row)

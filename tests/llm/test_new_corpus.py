@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import fewest_bins, spelling, tokens
+from lectern.llm import chat_tools, decontaminate, fewest_bins, near_dup, quality_model, spelling, tokens
 from lectern.llm.common import table
 
 DOCS = "doc_id long, text string, n long, word string, length long, near string"
@@ -270,3 +270,46 @@ def test_counts_by_inertia_and_feast(spark):
         found, vectors = whitening.feast(spark, a, low, high, inside)
         assert np.abs(found - want[::-1][:inside]).max() < 1e-12 and np.abs(vectors.T @ vectors - np.eye(inside)).max() < 1e-12
         assert np.abs(a @ vectors - vectors * found).max() < 1e-12
+
+
+# --- rows that repeat an id or have none ---------------------------------------------------------------
+
+
+def test_a_repeated_id_is_fitted_on_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, label int")
+    got = quality_model.fit_rows(docs, labels).collect()
+    assert sorted((r.text or "", r.label) for r in got) == [("", 0), ("other", 0), ("other", 1), ("text 0", 1)]
+
+
+def test_copies_and_leaks_are_decided_by_row(spark):
+    draw = random.Random(7)
+    one, two, leak = (" ".join(f"w{draw.randrange(10_000)}" for _ in range(40)) for _ in range(3))
+    docs = spark.createDataFrame(
+        [(1, one, "a"), (2, one, "b"), (2, two, "c"), (7, "same text here of seven words now", "d"), (7, "same text here of seven words now", "d"), (None, leak, "e"), (None, one, "f"), (9, None, "g"), (9, "", "g"), (5, leak + " more", "h"), (5, "clean", "i")],
+        "doc_id long, text string, _row string").repartition(3)
+    kept = near_dup.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r._row) for r in kept.collect()) == sorted([("1", "a"), ("2", "c"), ("7", "d"), ("5", "h"), ("9", "g"), ("9", "g"), ("5", "i")])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert sorted((str(r.doc_id), r._row) for r in decontaminate.clean(docs, bench).collect()) == sorted([("1", "a"), ("2", "b"), ("2", "c"), ("7", "d"), ("7", "d"), ("None", "f"), ("9", "g"), ("9", "g"), ("5", "i")])
+    assert near_dup.drop_copies(docs.limit(0)).count() == 0 and decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
+# --- tool calls ------------------------------------------------------------------------------------------
+
+
+def test_long_chains_cycles_and_odd_arguments(spark):
+    waits = [("c", 1, str(i), "f", "{}", [str(i - 1)] if i else []) for i in range(1000)]
+    waits += [("d", 1, "a", "f", "{}", ["b"]), ("d", 1, "b", "f", "{}", ["a"]), ("d", 1, "after", "f", "{}", ["a"]), ("d", 1, "own", "f", "{}", ["own"]), ("d", 2, "later", "f", "{}", ["a", "gone"])]
+    odd = {"deep": "[" * 200_000, "nan": '{"x":NaN}', "inf": '{"x":1e999}', "half": '{"x":"\\ud800"}', "big": '{"n":' + "9" * 400 + "}", "huge": '{"n":' + "9" * 5000 + "}", "true": '{"e":true}', "one": '{"e":1}'}
+    waits += [("e", 1, k, "strict", v, None) for k, v in odd.items()] + [("e", 1, f"bad{k}", f"bad{k}", "{}", None) for k in range(3)]
+    calls = spark.createDataFrame(waits, "conv_id string, turn long, call_id string, name string, arguments string, waits_for array<string>")
+    results = spark.createDataFrame([], "conv_id string, turn long, call_id string, content string")
+    rules = [("f", "{}"), ("strict", '{"properties":{"n":{"type":"integer"},"e":{"enum":[1]}}}'), ("bad0", "no json"), ("bad1", "[1]"), ("bad2", '{"required":5}')]
+    got = {(r.conv_id, r.call_id): r for r in chat_tools.link(calls, results, spark.createDataFrame(rules, "name string, schema string")).collect()}
+    assert all(got["c", str(i)].level == i for i in range(1000))
+    assert {k: got["d", k].status for k in ("a", "b", "after", "own", "later")} == {"a": "cycle", "b": "cycle", "after": "cycle", "own": "cycle", "later": "missing"}
+    status = {k: r.status for (c, k), r in got.items() if c == "e"}
+    assert status == {"deep": "invalid", "nan": "invalid", "inf": "invalid", "half": "no_result", "big": "no_result", "huge": "invalid", "true": "invalid", "one": "no_result", "bad0": "invalid", "bad1": "invalid", "bad2": "invalid"}
+    assert "\\ud800" in got["e", "half"].line
