@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near copies, benchmark leaks, personal data, packing.
 
 Every stage works on all its predecessor kept. All but the last return the columns of documents.
-An empty table goes through as an empty one; null ids and texts do what each operator says.
+An empty table goes through as an empty one. Near copies and benchmark leaks are decided by row: rows
+that repeat an id or have none are tested like any other, and only rows that fail go. Null texts are
+empty ones. Other columns go along untouched up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, near_dup, packing, pii, quality_model, tokens
-from lectern.llm.common import stored, table, without
+from lectern.llm.common import stored, table
 
 LEAST_QUALITY = 0.3
 
@@ -23,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a similarity of 0.8 or more over five-word shingles stays."""
-    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept").select("doc_id"))
+    return near_dup.drop_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
