@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 from catalog.check import compare, connect
 from catalog.quality import OF_ITEMS
 from lectern.functions import lexicon as lex
-from lectern.llm import quality_model
 from lectern.operators import novelty
 
 VECTOR_CONCEPT = "pos int, tag string, terms array<string>, embedding array<float>"
@@ -134,13 +133,3 @@ def test_gates_and_scores_of_every_document(spark, short, name):
     assert line.endswith("ok"), line
     if name in ("gate_report", "composite_score", "repairs_applied", "quick_ambiguity", "distractor_review"):
         assert entry.queries()[name + "_whole"](spark, folder).count() == n
-
-
-# --- fitted rows ----------------------------------------------------------------------------------------
-
-
-def test_a_repeated_id_is_fitted_on_once(spark):
-    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (3, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, label int")
-    got = quality_model.fit_rows(docs, labels).collect()
-    assert sorted((r.text or "", r.label) for r in got) == [("", 0), ("other", 0), ("other", 1), ("text 0", 1)]
