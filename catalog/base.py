@@ -96,35 +96,8 @@ ALLOWED_TAGS = ["tag_0", "tag_1", "tag_2"]
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a question: its sentences are stem, answer and distractors, the whole
-    text is the explanation, the start of the last sentence is the learning target."""
-    s = T.sentences("text")
-    rows = table(spark, sf_dir, "documents").withColumn("s", s).filter(F.size("s") >= 2)
-    target = F.array_join(F.slice(T.split_words(F.element_at("s", -1)), 1, 12), " ")
-    return rows.select(
-        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), "source", "lang",
-        F.get("s", F.lit(0)).alias("stem"), F.get("s", F.lit(1)).alias("correct_answer"),
-        F.slice("s", 3, 3).alias("distractors"), F.col("text").alias("explanation"),
-        F.array(F.concat(F.lit("tag_"), (F.col("doc_id") % 4).cast("string"))).alias("scope_tags"),
-        F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"),
-        target.alias("learning_target"),
-    )
-
-
-SQL_ITEMS = f"""
-split AS (SELECT *, {sql_sentences('text')} AS s FROM documents),
-items AS (
-  SELECT doc_id AS item_id, doc_id AS pos, source, lang, s[1] AS stem, s[2] AS correct_answer, s[3:5] AS distractors,
-         text AS explanation, ['tag_' || (doc_id % 4)::VARCHAR] AS scope_tags,
-         ['easy', 'medium', 'hard'][(doc_id % 3 + 1)::INT] AS difficulty,
-         array_to_string({sql_words('s[len(s)]')}[1:12], ' ') AS learning_target
-  FROM split WHERE len(s) >= 2)
-"""
-
-
-def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every document: empty text where a sentence is missing, the whole last
-    sentence as learning target."""
+    """Every document as a question: its sentences are stem, answer and distractors, the whole text
+    is the explanation, the last sentence the learning target; empty text where a sentence is missing."""
     empty = lambda c: F.coalesce(c, F.lit(""))
     rows = table(spark, sf_dir, "documents").withColumn("text", empty(F.col("text"))).withColumn("s", T.sentences("text"))
     return rows.select(
@@ -137,7 +110,7 @@ def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_WHOLE_ITEMS = f"""
+SQL_ITEMS = f"""
 split AS (SELECT * REPLACE (coalesce(text, '') AS text), {sql_sentences("coalesce(text, '')")} AS s FROM documents),
 items AS (
   SELECT doc_id AS item_id, doc_id AS pos, source, lang, coalesce(s[1], '') AS stem, coalesce(s[2], '') AS correct_answer, s[3:5] AS distractors,
@@ -151,12 +124,12 @@ items AS (
 
 
 def source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text as an item: the text explains, its second sentence answers."""
+    """Every benchmark text as an item: the text explains, its first sentence is the target, its second answers."""
     rows = table(spark, sf_dir, "benchmark").withColumn("s", T.sentences("text"))
     return rows.select(
         "item_id", F.col("text").alias("explanation"),
         F.coalesce(F.get("s", F.lit(1)), F.get("s", F.lit(0))).alias("correct_answer"),
-        F.array_join(F.slice(T.split_words("text"), 1, 12), " ").alias("learning_target"),
+        F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("learning_target"),
         F.element_at(F.array(F.lit("beginner"), F.lit("intermediate"), F.lit("advanced")), (F.col("item_id") % 3 + 1).cast("int")).alias("difficulty"),
     )
 
@@ -164,7 +137,7 @@ def source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SOURCE_ITEMS = f"""
 source_items AS (
   SELECT item_id, text AS explanation, coalesce(s[2], s[1]) AS correct_answer,
-         array_to_string({sql_words('text')}[1:12], ' ') AS learning_target,
+         coalesce(s[1], '') AS learning_target,
          ['beginner', 'intermediate', 'advanced'][(item_id % 3 + 1)::INT] AS difficulty
   FROM (SELECT *, {sql_sentences('text')} AS s FROM benchmark))
 """

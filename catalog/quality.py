@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    ALLOWED_TAGS, SQL_ITEMS, SQL_WHOLE_ITEMS, items, plain, sql_has, sql_jaccard, sql_list, sql_long_words, sql_strip, sql_terms, sql_words, table, whole_items,
+    ALLOWED_TAGS, SQL_ITEMS, items, plain, sql_has, sql_jaccard, sql_list, sql_long_words, sql_strip, sql_terms, sql_words, table,
 )
 from lectern.functions import lexicon as lex
 from lectern.functions import text as T
@@ -83,30 +81,30 @@ check_row AS (
 """
 
 
-def _gated(spark, sf_dir, source=items):
-    return G.run_gates(source(spark, sf_dir), ALLOWED_TAGS)
+def _gated(spark, sf_dir):
+    return G.run_gates(items(spark, sf_dir), ALLOWED_TAGS)
 
 
-def gates_long(spark, sf_dir, source=items):
-    return plain(G.gates_long(_gated(spark, sf_dir, source)).select("item_id", "gate_name", "tier", "result"))
+def gates_long(spark, sf_dir):
+    return plain(G.gates_long(_gated(spark, sf_dir)).select("item_id", "gate_name", "tier", "result"))
 
 
-def gate_report(spark, sf_dir, source=items):
-    report = G.gate_report(_gated(spark, sf_dir, source))
+def gate_report(spark, sf_dir):
+    report = G.gate_report(_gated(spark, sf_dir))
     return plain(report.select("item_id", "tier_1_passed", "tier_2_passed", "overall_pass", "requires_repair", "tier_3_flags", "repair_targets", F.array_sort(F.map_keys("repair_hints")).alias("hinted"), R.can_repair().alias("can_repair")))
 
 
-def _scored(spark, sf_dir, source=items):
+def _scored(spark, sf_dir):
     """Quote counts stand in from the item's number, so every branch of the score is taken."""
     n = F.col("item_id")
-    counted = G.gate_report(_gated(spark, sf_dir, source)).withColumn("required_count", (n % 4).cast("int")).withColumn("exact_match_count", F.least(n % 3, n % 4).cast("int")).withColumn(
+    counted = G.gate_report(_gated(spark, sf_dir)).withColumn("required_count", (n % 4).cast("int")).withColumn("exact_match_count", F.least(n % 3, n % 4).cast("int")).withColumn(
         "fuzzy_match_count", F.when((n % 4 == 3) & (n % 3 == 0), 1).otherwise(0)
     ).withColumn("missing_quote_ids", F.when(n % 8 == 3, T.words_array(["Q3"])).otherwise(T.words_array([])))
     return S.quality_score(counted)
 
 
-def composite_score(spark, sf_dir, source=items):
-    return plain(_scored(spark, sf_dir, source).select("item_id", "grounding", "consistency", "scope", "distractor_score", "novelty_score", "composite_score", "decision", "flags"))
+def composite_score(spark, sf_dir):
+    return plain(_scored(spark, sf_dir).select("item_id", "grounding", "consistency", "scope", "distractor_score", "novelty_score", "composite_score", "decision", "flags"))
 
 
 SQL_SCORE = f"""
@@ -129,29 +127,29 @@ verdict AS (
 """
 
 
-def score_again(spark, sf_dir, source=items):
+def score_again(spark, sf_dir):
     """Second scores after a repair that changed nothing: below the flag threshold is out."""
-    again = S.score_after_repair(_scored(spark, sf_dir, source))
+    again = S.score_after_repair(_scored(spark, sf_dir))
     return plain(again.groupBy("decision", F.array_contains("flags", "failed_after_repair").alias("failed")).agg(F.count(F.lit(1)).alias("items")))
 
 
-def improvement_suggestions(spark, sf_dir, source=items):
-    return plain(S.improvement_suggestions(_scored(spark, sf_dir, source)).groupBy("dimension", "suggestion").agg(F.count(F.lit(1)).alias("items")))
+def improvement_suggestions(spark, sf_dir):
+    return plain(S.improvement_suggestions(_scored(spark, sf_dir)).groupBy("dimension", "suggestion").agg(F.count(F.lit(1)).alias("items")))
 
 
-def score_reports(spark, sf_dir, source=items):
-    text = S.score_report(_scored(spark, sf_dir, source))
+def score_reports(spark, sf_dir):
+    text = S.score_report(_scored(spark, sf_dir))
     lines = F.split("report", "\n")
     return plain(text.select("item_id", F.size(lines).alias("lines"), F.get(lines, F.lit(2)).alias("decision_line"), F.get(lines, F.lit(3)).alias("first_dimension")))
 
 
-def repair_routing(spark, sf_dir, source=items):
-    routed = R.route_repairs(_gated(spark, sf_dir, source))
+def repair_routing(spark, sf_dir):
+    routed = R.route_repairs(_gated(spark, sf_dir))
     return plain(routed.select("item_id", "gate_name", F.coalesce("repair_type", F.lit("")).alias("repair_type"), F.coalesce("attempt", F.lit(0)).alias("attempt"), F.coalesce("remaining_issue", F.lit("")).alias("remaining_issue")))
 
 
-def repairs_applied(spark, sf_dir, source=items):
-    rows = source(spark, sf_dir).withColumn("missing_quote_ids", T.words_array(["Q1"]))
+def repairs_applied(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumn("missing_quote_ids", T.words_array(["Q1"]))
     routed = R.route_repairs(G.run_gates(rows, ALLOWED_TAGS))
     text = F.when(F.col("item_id") % 2 == 0, "Because of [Q1] this holds.").otherwise("No quote at all.")
     wrong = F.when(F.col("item_id") % 3 > 0, F.to_json(T.words_array(["first wrong way", "second wrong way", "third wrong way"]))).otherwise('{"not": "a list"}')
@@ -163,41 +161,41 @@ def repairs_applied(spark, sf_dir, source=items):
 
 def option_rewrites(spark, sf_dir):
     rows = items(spark, sf_dir)
-    new = F.array_join(F.slice(T.split_words("stem"), 1, 12), " ")
-    return plain(rows.select("item_id", R.option_accepted(new, "correct_answer", "learning_target").alias("option_ok"), R.stem_accepted("stem", "correct_answer").alias("stem_ok")))
+    return plain(rows.select("item_id", R.option_accepted(F.col("stem"), "correct_answer", "learning_target").alias("option_ok"), R.stem_accepted("stem", "correct_answer").alias("stem_ok")))
 
 
 # --- options ------------------------------------------------------------------------------------
 
 
-def _options(spark, sf_dir, least=4):
-    """Four options: the quarters of every document of ``least`` words, the last with what is left over."""
+def _options(spark, sf_dir):
+    """Four options: the quarters of every document, the last with what is left over; empty ones too."""
     words = T.split_words(F.coalesce("text", F.lit("")))
     quarter = F.floor(F.size("w") / 4).cast("int")
     options = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.array_join(F.slice("w", i * quarter + 1, F.when(i < 3, quarter).otherwise(F.size("w"))), " "))
-    return table(spark, sf_dir, "documents").withColumn("w", words).filter(F.size("w") >= least).select(
+    return table(spark, sf_dir, "documents").withColumn("w", words).select(
         F.col("doc_id").alias("item_id"), options.alias("options"), (F.col("doc_id") % 4).cast("int").alias("correct_index"),
         F.element_at(F.array(F.lit("beginner"), F.lit("intermediate"), F.lit("advanced")), (F.col("doc_id") % 3 + 1).cast("int")).alias("difficulty"),
     )
 
 
+# an empty option has no words, so none in common
 SQL_OPTIONS = f"""
-w AS (SELECT doc_id AS item_id, {sql_words('text')} AS w FROM documents),
+w AS (SELECT doc_id AS item_id, {sql_words("coalesce(text, '')")} AS w FROM documents),
 opt AS (SELECT item_id, [array_to_string(w[1:len(w) // 4], ' '), array_to_string(w[len(w) // 4 + 1:len(w) // 4 * 2], ' '), array_to_string(w[len(w) // 4 * 2 + 1:len(w) // 4 * 3], ' '), array_to_string(w[len(w) // 4 * 3 + 1:], ' ')] AS o,
-          item_id % 4 AS correct, ['beginner', 'intermediate', 'advanced'][(item_id % 3 + 1)::INT] AS difficulty FROM w WHERE len(w) >= 4),
+          item_id % 4 AS correct, ['beginner', 'intermediate', 'advanced'][(item_id % 3 + 1)::INT] AS difficulty FROM w),
 similar_pair AS (
   SELECT item_id, i, j, i = correct OR j = correct AS has_answer FROM opt, unnest(range(4)) AS a(i), unnest(range(4)) AS b(j)
-  WHERE i < j AND len(list_intersect(list_distinct(string_split(lower(o[i + 1]), ' ')), list_distinct(string_split(lower(o[j + 1]), ' '))))::DOUBLE
-    / len(list_distinct(string_split(lower(o[i + 1] || ' ' || o[j + 1]), ' '))) > 0.7)
+  WHERE i < j AND len(list_intersect(list_distinct({sql_words("lower(o[i + 1])")}), list_distinct({sql_words("lower(o[j + 1])")})))::DOUBLE
+    / greatest(1, len(list_distinct({sql_words("lower(o[i + 1] || ' ' || o[j + 1])")}))) > 0.7)
 """
 
 
-def quick_ambiguity(spark, sf_dir, least=4):
-    return plain(B.quick_verdict(_options(spark, sf_dir, least)).drop("reasoning"))
+def quick_ambiguity(spark, sf_dir):
+    return plain(B.quick_verdict(_options(spark, sf_dir)).drop("reasoning"))
 
 
-def distractor_review(spark, sf_dir, least=4):
-    rows = _options(spark, sf_dir, least)
+def distractor_review(spark, sf_dir):
+    rows = _options(spark, sf_dir)
     return plain(rows.select("item_id", F.size(D.review_issues("options", "correct_index", "difficulty")).alias("issues")))
 
 
@@ -232,15 +230,7 @@ def pattern_suggestions(spark, sf_dir):
 
 
 def _concepts(spark, sf_dir):
-    """Every document as a concept: its first 12 words are the target, language and source the tag."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), F.concat_ws(" ", "lang", "source").alias("concept_tag"),
-        F.array_join(F.slice(T.split_words("text"), 1, 12), " ").alias("learning_target"), "source",
-    )
-
-
-def _whole_concepts(spark, sf_dir):
-    """The same with the whole text as target."""
+    """Every document as a concept: its text is the target, language and source the tag."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), F.concat_ws(" ", "lang", "source").alias("concept_tag"), F.col("text").alias("learning_target"), "source",
     )
@@ -249,14 +239,17 @@ def _whole_concepts(spark, sf_dir):
 SQL_CONCEPTS = f"""
 concept AS (
   SELECT doc_id AS pos, lang || '_' || source AS tag, lang, source,
-    list_sort(list_distinct(list_filter({sql_terms(f"array_to_string({sql_words('text')}[1:12], ' ')", lex.CONCEPT_STOP_WORDS)}, lambda z: NOT regexp_full_match(z, '[0-9]+')))) AS terms
-  FROM documents)
+    list_sort(list_distinct(list_filter({sql_terms("coalesce(text, '')", lex.CONCEPT_STOP_WORDS)}, lambda z: NOT regexp_full_match(z, '[0-9]+')))) AS terms
+  FROM documents),
+word AS (SELECT pos, unnest(terms) AS w FROM concept),
+tags AS (SELECT DISTINCT tag FROM concept),
+tag_pair AS (SELECT a.tag AS a, b.tag AS b, CASE WHEN a.tag = b.tag THEN 1.0::DOUBLE ELSE {sql_jaccard("string_split(a.tag, '_')", "string_split(b.tag, '_')")} END AS alike FROM tags a, tags b)
 """
 
 
-def novelty_check(spark, sf_dir, concepts=_concepts):
+def novelty_check(spark, sf_dir):
     """Documents of odd number against those of even number as the registry."""
-    signed = N.signatures(concepts(spark, sf_dir))
+    signed = N.signatures(_concepts(spark, sf_dir))
     checked = N.check_novelty(signed.filter("pos % 2 = 1"), signed.filter("pos % 2 = 0"), 0.7)
     return plain(checked.select("pos", "is_novel", "similarity_score", F.coalesce("similar_tag", F.lit("")).alias("similar_tag"), "similar_terms"))
 
@@ -277,25 +270,17 @@ def novelty_vectors(spark, sf_dir):
     return plain(checked.select("pos", "is_novel", "similarity_score", F.coalesce("similar_tag", F.lit("")).alias("similar_tag"), "similar_terms"))
 
 
-def novelty_check_whole(spark, sf_dir):
-    return novelty_check(spark, sf_dir, _whole_concepts)
-
-
-def greedy_dedup(spark, sf_dir, concepts=_concepts):
-    return plain(N.greedy_dedup(concepts(spark, sf_dir), 0.85).select("item_id", "is_duplicate", F.coalesce("duplicate_of", F.lit("")).alias("duplicate_of"), "similarity_score"))
-
-
-def greedy_dedup_whole(spark, sf_dir):
-    return greedy_dedup(spark, sf_dir, _whole_concepts)
+def greedy_dedup(spark, sf_dir):
+    return plain(N.greedy_dedup(_concepts(spark, sf_dir), 0.85).select("item_id", "is_duplicate", F.coalesce("duplicate_of", F.lit("")).alias("duplicate_of"), "similarity_score"))
 
 
 # the greedy walk in SQL: all similar pairs, then one kept/duplicate decision per position in order
 SQL_GREEDY = f"""
 WITH RECURSIVE {SQL_CONCEPTS},
+shared AS (SELECT b.pos AS later, a.pos AS earlier, count(*) AS k FROM word a JOIN word b ON a.w = b.w AND a.pos < b.pos GROUP BY ALL),
 pair AS (
-  SELECT b.pos AS later, a.pos AS earlier, a.tag,
-    (CASE WHEN a.tag = b.tag THEN 1.0::DOUBLE ELSE {sql_jaccard("string_split(a.tag, '_')", "string_split(b.tag, '_')")} END) * 0.4::DOUBLE + ({sql_jaccard('a.terms', 'b.terms')}) * 0.6::DOUBLE AS sim
-  FROM concept a JOIN concept b ON a.pos < b.pos),
+  SELECT later, earlier, a.tag, alike * 0.4::DOUBLE + (k::DOUBLE / (len(a.terms) + len(b.terms) - k)) * 0.6::DOUBLE AS sim
+  FROM shared JOIN concept a ON a.pos = earlier JOIN concept b ON b.pos = later JOIN tag_pair t ON t.a = a.tag AND t.b = b.tag),
 edge AS (SELECT * FROM pair WHERE sim >= 0.85),
 node AS (SELECT DISTINCT later AS pos FROM edge),
 walk AS (
@@ -312,17 +297,13 @@ FROM concept c LEFT JOIN best b ON b.later = c.pos
 """
 
 
-def soft_novelty(spark, sf_dir, stem=None):
+def soft_novelty(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), (F.substring("text", 1, 120) if stem is None else stem).alias("stem"), F.col("lang").alias("correct_answer")
+        F.col("doc_id").alias("item_id"), F.col("doc_id").alias("pos"), F.col("text").alias("stem"), F.col("lang").alias("correct_answer")
     )
     return plain(N.soft_novelty(rows, 0.6).select("item_id", "similar_item_id", "similarity"))
 
 
-def soft_novelty_whole(spark, sf_dir):
-    return soft_novelty(spark, sf_dir, F.col("text"))
-
-
 # --- metrics --------------------------------------------------------------------------------------------
 
 
@@ -411,7 +392,7 @@ SELECT item_id, ((NOT g_distractor)::INT + (NOT g_ground)::INT)::BIGINT AS repai
   md5(CASE WHEN text_ok THEN 'Because of [Q1] this holds.' ELSE explanation END) AS text_digest,
   md5(CASE WHEN wrong_ok THEN 'first wrong way|second wrong way|third wrong way' ELSE coalesce(array_to_string(distractors, '|'), '') END) AS wrong_digest FROM r"""),
     "option_rewrites": (option_rewrites, f"""
-WITH {SQL_ITEMS}, n AS (SELECT *, array_to_string({sql_words('stem')}[1:12], ' ') AS new FROM items)
+WITH {SQL_ITEMS}, n AS (SELECT *, stem AS new FROM items)
 SELECT item_id, lower(new) <> lower(correct_answer) AND NOT contains(lower(new), lower(learning_target)) AND len({sql_words('new')}) BETWEEN 5 AND 20 AS option_ok,
   NOT contains(lower(stem), lower(correct_answer)) AS stem_ok FROM n"""),
     "quick_ambiguity": (quick_ambiguity, f"""
@@ -441,26 +422,30 @@ f AS (SELECT doc_id, list_filter([CASE WHEN seq AND d <> 'beginner' THEN 'wrong_
 SELECT doc_id, coalesce(array_to_string(x, '|'), '') AS patterns FROM f"""),
     "novelty_check": (novelty_check, f"""
 WITH {SQL_CONCEPTS},
+shared AS (SELECT b.pos AS pos, a.pos AS other, count(*) AS k FROM word a JOIN word b ON a.w = b.w AND a.pos % 2 = 0 AND b.pos % 2 = 1 GROUP BY ALL),
 pair AS (
-  SELECT b.pos AS pos, a.pos AS other, a.tag, list_sort(list_intersect(a.terms, b.terms)) AS shared,
-    (CASE WHEN a.tag = b.tag THEN 1.0::DOUBLE ELSE {sql_jaccard("string_split(a.tag, '_')", "string_split(b.tag, '_')")} END) * 0.4::DOUBLE + ({sql_jaccard('a.terms', 'b.terms')}) * 0.6::DOUBLE AS sim
-  FROM concept a JOIN concept b ON a.pos % 2 = 0 AND b.pos % 2 = 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY sim DESC, other) AS rn FROM pair WHERE sim >= 0.7) WHERE rn = 1)
-SELECT c.pos, b.pos IS NULL AS is_novel, round(b.sim, 6) AS similarity_score, coalesce(b.tag, '') AS similar_tag, coalesce(array_to_string(b.shared, '|'), '') AS similar_terms
-FROM concept c LEFT JOIN best b USING (pos) WHERE c.pos % 2 = 1"""),
+  SELECT b.pos, a.pos AS other, a.tag, alike * 0.4::DOUBLE + coalesce(k::DOUBLE / (len(a.terms) + len(b.terms) - k), 0) * 0.6::DOUBLE AS sim
+  FROM concept a JOIN concept b ON a.pos % 2 = 0 AND b.pos % 2 = 1 JOIN tag_pair t ON t.a = a.tag AND t.b = b.tag LEFT JOIN shared s ON s.pos = b.pos AND s.other = a.pos),
+best AS (SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY pos ORDER BY sim DESC, other) = 1)
+SELECT c.pos, coalesce(b.sim, 0) < 0.7 AS is_novel, round(coalesce(b.sim, 0), 6)::DOUBLE AS similarity_score, CASE WHEN b.sim >= 0.7 THEN b.tag ELSE '' END AS similar_tag,
+  CASE WHEN b.sim >= 0.7 THEN array_to_string(list_sort(list_intersect(c.terms, o.terms)), '|') ELSE '' END AS similar_terms
+FROM concept c LEFT JOIN best b USING (pos) LEFT JOIN concept o ON o.pos = b.other WHERE c.pos % 2 = 1"""),
     "novelty_vectors": (novelty_vectors, """
 WITH concept AS (SELECT vec_id AS pos, 'group' || (vec_id % 397) AS tag, 'topic' || (vec_id % 389) AS term, embedding::DOUBLE[] AS v FROM embeddings),
 pair AS (
   SELECT b.pos AS pos, a.pos AS other, a.tag, CASE WHEN a.term = b.term THEN a.term ELSE '' END AS shared,
     ((a.tag = b.tag)::INT * 0.4::DOUBLE + (a.term = b.term)::INT * 0.6::DOUBLE) * 0.5::DOUBLE + list_cosine_similarity(a.v, b.v) * 0.5::DOUBLE AS sim
   FROM concept a JOIN concept b ON a.pos % 2 = 0 AND b.pos % 2 = 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY sim DESC, other) AS rn FROM pair WHERE sim >= 0.16) WHERE rn = 1)
-SELECT c.pos, b.pos IS NULL AS is_novel, round(b.sim, 6) AS similarity_score, coalesce(b.tag, '') AS similar_tag, coalesce(b.shared, '') AS similar_terms
+best AS (SELECT *, sim >= 0.16 AS near FROM pair QUALIFY row_number() OVER (PARTITION BY pos ORDER BY sim DESC, other) = 1)
+SELECT c.pos, NOT coalesce(near, false) AS is_novel, round(greatest(coalesce(b.sim, 0), 0), 6)::DOUBLE AS similarity_score, CASE WHEN near THEN b.tag ELSE '' END AS similar_tag,
+  CASE WHEN near THEN b.shared ELSE '' END AS similar_terms
 FROM concept c LEFT JOIN best b USING (pos) WHERE c.pos % 2 = 1"""),
     "greedy_dedup": (greedy_dedup, SQL_GREEDY),
     "soft_novelty": (soft_novelty, f"""
-WITH d AS (SELECT doc_id, list_distinct({sql_words("lower(text[1:120]) || ' ' || lang")}) AS w FROM documents),
-p AS (SELECT b.doc_id, a.doc_id AS other, len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS sim FROM d a JOIN d b ON a.doc_id < b.doc_id),
+WITH d AS (SELECT doc_id, list_distinct({sql_words("lower(coalesce(text, '')) || ' ' || lang")}) AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS w FROM d),
+k AS (SELECT b.doc_id, a.doc_id AS other, count(*)::DOUBLE AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT doc_id, other, k / (na + nb - k) AS sim FROM k),
 f AS (SELECT doc_id, min(other) AS other, arg_min(sim, other) AS sim FROM p WHERE sim > 0.6 GROUP BY 1)
 SELECT d.doc_id AS item_id, f.other AS similar_item_id, round(f.sim, 6) AS similarity FROM d LEFT JOIN f USING (doc_id)"""),
     "quality_metrics": (quality_metrics, f"WITH {SQL_RECORDS} SELECT {_METRICS}, count(DISTINCT capsule_id) AS total_capsules FROM record"),
@@ -468,14 +453,3 @@ SELECT d.doc_id AS item_id, f.other AS similar_item_id, round(f.sim, 6) AS simil
     "difficulty_distribution": (difficulty_distribution, f"WITH {SQL_RECORDS} SELECT difficulty, count(*) AS items FROM record GROUP BY 1"),
     "metrics_text": (metrics_text, None),
 }
-# whole texts; tests compare them with all pairs in plain Python, which in SQL takes too long
-QUERIES |= {"novelty_check_whole": (novelty_check_whole, None), "greedy_dedup_whole": (greedy_dedup_whole, None), "soft_novelty_whole": (soft_novelty_whole, None)}
-# every document, those of one sentence or none too
-OF_ITEMS = ("gates_long", "gate_report", "composite_score", "score_again", "improvement_suggestions", "score_reports", "repair_routing", "repairs_applied")
-QUERIES |= {f"{n}_whole": (partial(QUERIES[n][0], source=whole_items), QUERIES[n][1].replace(SQL_ITEMS, SQL_WHOLE_ITEMS)) for n in OF_ITEMS}
-# options of every document, empty ones too
-SQL_EVERY_OPTIONS = SQL_OPTIONS.replace("FROM w WHERE len(w) >= 4", "FROM w").replace(sql_words("text"), sql_words("coalesce(text, '')"))
-for _o in ("o[i + 1]", "o[j + 1]", "o[i + 1] || ' ' || o[j + 1]"):  # an empty option has no words, so none in common
-    SQL_EVERY_OPTIONS = SQL_EVERY_OPTIONS.replace(f"string_split(lower({_o}), ' ')", sql_words(f"lower({_o})"))
-SQL_EVERY_OPTIONS = SQL_EVERY_OPTIONS.replace("/ len(list_distinct(", "/ greatest(1, len(list_distinct(").replace(") > 0.7)", ")) > 0.7)")
-QUERIES |= {f"{n}_whole": (partial(QUERIES[n][0], least=0), QUERIES[n][1].replace(SQL_OPTIONS, SQL_EVERY_OPTIONS)) for n in ("quick_ambiguity", "distractor_review")}

@@ -8,46 +8,77 @@ import pytest
 
 import __spark_entry__ as entry
 from catalog.check import compare, connect
-from catalog.quality import OF_ITEMS
 from lectern.functions import lexicon as lex
 from lectern.operators import novelty
 
 VECTOR_CONCEPT = "pos int, tag string, terms array<string>, embedding array<float>"
 
 
-def check(spark, new, registry, threshold):
+def check(spark, new, registry, threshold, **more):
     frame = lambda rows: spark.createDataFrame(rows, VECTOR_CONCEPT)
-    return {r.pos: r for r in novelty.check_novelty(frame(new), frame(registry), threshold, vectors=True).collect()}
+    return {r.pos: r for r in novelty.check_novelty(frame(new), frame(registry), threshold, vectors=True, **more).collect()}
 
 
 def test_a_near_vector_is_enough(spark):
     """Cosine 1 and nothing shared scores 0.5."""
-    new = [(1, "one", ["alpha"], [1.0, 2.0, 3.0]), (2, "one", ["alpha"], [-1.0, 2.0, 3.0]), (3, "two", ["omega"], None)]
+    new = [(1, "one", ["alpha"], [1.0, 2.0, 3.0]), (2, "one", ["alpha"], [-1.0, 2.0, 3.0]), (3, "two", ["omega"], None), (4, "two", ["omega"], None)]
     registry = [(8, "other", ["gamma"], [0.0, 0.0, 0.0]), (9, "other", ["delta"], [1.0, 2.0, 3.0]), (10, "two", ["omega"], None), (11, "long", ["kappa"], [1.0, 2.0, 3.0, 4.0])]
     got = check(spark, new, registry, 0.5)
-    assert not got[1].is_novel and got[1].similarity_score == 0.5 and got[1].similar_tag == "other"
-    assert got[2].is_novel
-    assert not got[3].is_novel and got[3].similarity_score == 1.0  # no vector: words and tag count alone
+    assert not got[1].is_novel and got[1].similarity_score == pytest.approx(0.5) and got[1].similar_tag == "other"
+    assert got[2].is_novel and got[2].similarity_score == pytest.approx(0.5 * 12 / 14) and got[2].similar_tag is None and got[2].similar_terms == []
+    assert not got[3].is_novel and got[3].similarity_score == got[4].similarity_score == 1.0  # no vector: words and tag count alone
 
 
-@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.5, 0.6])
+def test_nothing_alike_scores_zero(spark):
+    new = [(1, "one", ["alpha"], [1.0]), (2, "one", [], None)]
+    assert [(r.is_novel, r.similarity_score) for r in check(spark, new, [], 0.5).values()] == [(True, 0.0)] * 2
+    assert [(r.is_novel, r.similarity_score) for r in check(spark, new, [(9, "two", ["beta"], [-1.0])], 0.5).values()] == [(True, 0.0)] * 2
+    assert check(spark, [], new, 0.5) == {}
+
+
+WORDS = "alpha gamma delta omega kappa sigma".split()
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+
+def all_pairs(a, b):
+    """Score of (pos, tag, terms, vector) against another."""
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    score = (1.0 if a[1] == b[1] else jaccard(a[1].split("_"), b[1].split("_"))) * 0.4 + jaccard(a[2], b[2]) * 0.6
+    return score if a[3] is None or b[3] is None else score / 2 + dot(a[3], b[3]) / (dot(a[3], a[3]) * dot(b[3], b[3])) ** 0.5 / 2
+
+
+def made(seed, n=60):
+    rng = random.Random(seed)
+    return [(i, "_".join(rng.sample("abcdef", rng.randint(1, 2))), sorted(rng.sample(WORDS, rng.randint(0, 3))), rng.choice([None, [rng.uniform(-0.3, 1) for _ in range(3)]])) for i in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.6, 0.75, 0.9])
 def test_vector_novelty_is_the_best_of_all_pairs(spark, threshold):
-    rng = random.Random(3)
-    words = "alpha gamma delta omega kappa sigma".split()
-    rows = [(i, rng.choice("abcdef"), sorted(rng.sample(words, rng.randint(0, 2))), [rng.uniform(-0.3, 1) for _ in range(3)]) for i in range(60)]
-    new, registry = rows[::2], rows[1::2]
-    got = check(spark, new, registry, threshold)
-    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    for pos, tag, terms, v in new:
-        sims = [((tag == t) * 0.4 + jac(terms, w) * 0.6) / 2 + dot(v, u) / (dot(v, v) * dot(u, u)) ** 0.5 / 2 for _, t, w, u in registry]
-        if max(sims) < threshold:
-            assert got[pos].is_novel
-        else:
-            assert got[pos].similarity_score == pytest.approx(max(sims), abs=1e-6)
-
-
-@pytest.mark.parametrize("name", ["novelty_vectors"])
+    rows = made(3)
+    got = check(spark, rows[::2], rows[1::2], threshold)
+    few = check(spark, rows[::2], rows[1::2], threshold, score_novel=False)
+    for row in rows[::2]:
+        best = max(all_pairs(row, other) for other in rows[1::2])
+        assert got[row[0]].is_novel == few[row[0]].is_novel == (best < threshold)
+        assert got[row[0]].similarity_score == pytest.approx(max(best, 0), abs=1e-6)
+        assert few[row[0]].similarity_score == (pytest.approx(best, abs=1e-6) if best >= threshold else None)
+        assert got[row[0]].similar_tag == few[row[0]].similar_tag
+
+
+def test_many_blocks_give_what_one_gives(spark):
+    rows = made(4, 90)
+    frame = lambda of, name: spark.createDataFrame(of, VECTOR_CONCEPT).withColumnRenamed("pos", name)
+    left, right = frame(rows[::2], "n_id"), frame(rows[1::2], "r_id")
+    one, many = ({r.n_id: r.r_id for r in novelty._best_in_blocks(left, right, True, budget).collect()} for budget in (10**6, 60))
+    assert one == many and len(one) == 45
+    score = {(a[0], b[0]): round(all_pairs(a, b), 12) for a in rows[::2] for b in rows[1::2]}
+    assert one == {a[0]: min((-score[a[0], b[0]], b[0]) for b in rows[1::2])[1] for a in rows[::2]}
+
+
+@pytest.mark.parametrize("name", ["novelty_vectors", "novelty_check", "greedy_dedup", "soft_novelty"])
 def test_new_queries_match_sql(spark, sf, name):
     line = compare(spark, connect(sf), sf, name, entry.queries()[name], entry.oracle_sql()[name])
     assert line.endswith("ok"), line
@@ -84,11 +115,10 @@ def similar(a, b):
 
 def test_novelty_check_of_whole_texts(spark, alike):
     folder, rows = alike
-    got = {r.pos: r.similarity_score for r in entry.queries()["novelty_check_whole"](spark, folder).collect()}
+    got = {r.pos: r.similarity_score for r in entry.queries()["novelty_check"](spark, folder).collect()}
     for row in rows[1::2]:
-        best = max(similar(row, other) for other in rows[::2])
-        assert got[row[0]] == (pytest.approx(best, abs=1e-6) if best >= 0.7 else None)
-    assert {r is None for r in got.values()} == {True, False}
+        assert got[row[0]] == pytest.approx(max(similar(row, other) for other in rows[::2]), abs=1e-6)
+    assert {r >= 0.7 for r in got.values()} == {True, False}
 
 
 def test_greedy_dedup_of_whole_texts(spark, alike):
@@ -99,17 +129,16 @@ def test_greedy_dedup_of_whole_texts(spark, alike):
         want[row[0]] = best >= 0.85
         if best < 0.85:
             kept.append(row)
-    got = {r.item_id: r.is_duplicate for r in entry.queries()["greedy_dedup_whole"](spark, folder).collect()}
+    got = {r.item_id: r.is_duplicate for r in entry.queries()["greedy_dedup"](spark, folder).collect()}
     assert got == want and set(want.values()) == {True, False}
 
 
 def test_soft_novelty_of_whole_texts(spark, alike):
     folder, rows = alike
-    got = {r.item_id: r.similar_item_id for r in entry.queries()["soft_novelty_whole"](spark, folder).collect()}
+    got = {r.item_id: r.similar_item_id for r in entry.queries()["soft_novelty"](spark, folder).collect()}
     words = [set(f"{r[1]} {r[2]}".lower().split()) for r in rows]
     want = {n: next((m for m in range(n) if jac(words[m], words[n]) > 0.6), None) for n in range(len(rows))}
     assert got == want and None in want.values()
-    assert entry.queries()["soft_novelty"](spark, folder).filter("similar_item_id is not null").count() != sum(v is not None for v in want.values())
 
 
 # --- every document, however few its sentences -----------------------------------------------------
@@ -124,12 +153,15 @@ def short(spark, tmp_path_factory):
     return folder, len(texts)
 
 
+OF_ITEMS = ("gates_long", "gate_report", "composite_score", "score_again", "improvement_suggestions", "score_reports", "repair_routing", "repairs_applied", "option_rewrites")
+
+
 @pytest.mark.parametrize("name", [*OF_ITEMS, "quick_ambiguity", "distractor_review"])
 def test_gates_and_scores_of_every_document(spark, short, name):
     folder, n = short
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
-    line = compare(spark, con, folder, name + "_whole", entry.queries()[name + "_whole"], entry.oracle_sql()[name + "_whole"])
+    line = compare(spark, con, folder, name, entry.queries()[name + ""], entry.oracle_sql()[name + ""])
     assert line.endswith("ok"), line
     if name in ("gate_report", "composite_score", "repairs_applied", "quick_ambiguity", "distractor_review"):
-        assert entry.queries()[name + "_whole"](spark, folder).count() == n
+        assert entry.queries()[name + ""](spark, folder).count() == n
