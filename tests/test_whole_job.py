@@ -165,3 +165,45 @@ def test_gates_and_scores_of_every_document(spark, short, name):
     assert line.endswith("ok"), line
     if name in ("gate_report", "composite_score", "repairs_applied", "quick_ambiguity", "distractor_review"):
         assert entry.queries()[name + ""](spark, folder).count() == n
+
+
+# --- a key that every row holds -------------------------------------------------------------------------
+
+
+def test_a_key_of_all_rows_takes_few_rounds(spark, monkeypatch):
+    n, stored = 1500, []
+    real = novelty.durable
+    monkeypatch.setattr(novelty, "durable", lambda df: stored.append(1) or real(df))
+    rows = [(i, i, "same tag", f"common unique{i}x") for i in range(n)] + [(n + i, n + i, "same tag", f"common unique{i}x") for i in range(5)]
+    items = spark.createDataFrame(rows, "item_id long, pos long, concept_tag string, learning_target string")
+    got = novelty.greedy_dedup(items, 0.7, head=16).collect()
+    assert {r.pos for r in got if r.is_duplicate} == {n + i for i in range(5)}
+    rounds = (len(stored) - 1) / 4
+    assert rounds <= 2 * 10.6
+
+
+def test_greedy_blocks_equal_the_walk(spark):
+    rng = random.Random(8)
+    rows = [(i, i, rng.choice(["one two", "one", "two"]), " ".join(sorted(rng.sample(["alpha", "gamma", "delta", "omega", "kappa", "sigma"], rng.randint(1, 4))))) for i in range(120)]
+    items = spark.createDataFrame(rows, "item_id long, pos long, concept_tag string, learning_target string")
+    for threshold in (0.3, 0.6, 0.85):
+        kept, want = [], {}
+        for i, _, tag, target in rows:
+            own = (i, tag.replace(" ", "_"), target.split(), None)
+            best = max((all_pairs(own, k) for k in kept), default=0)
+            want[i] = best >= threshold
+            if not want[i]:
+                kept.append(own)
+        got = {r.pos: r.is_duplicate for r in novelty.greedy_dedup(items, threshold, head=2).collect()}
+        assert got == want
+
+
+def test_a_repeat_sees_concepts_kept_after_its_first_copy(spark):
+    """The second copy of b is nearer to a concept kept between the two copies."""
+    targets = ["alpha gamma delta omega kappa", "alpha gamma delta omega sigma", "alpha gamma omega sigma", "alpha gamma delta omega sigma"]
+    items = spark.createDataFrame([(i, i, t, x) for i, (t, x) in enumerate(zip("abcb", targets))], "item_id long, pos long, concept_tag string, learning_target string")
+    got = {r.pos: (r.is_duplicate, r.duplicate_of, round(r.similarity_score or 0, 6)) for r in novelty.greedy_dedup(items, 0.39).collect()}
+    own = [(i, t, x.split(), None) for i, (t, x) in enumerate(zip("abcb", targets))]
+    assert all_pairs(own[2], own[0]) < 0.39 and got[2][0] is False
+    near = [(all_pairs(own[1], own[k]), own[k][1]) for k in (0, 2)]
+    assert got[1] == (True, "a", round(near[0][0], 6)) and got[3] == (True, *reversed([round(max(near)[0], 6), max(near)[1]]))
