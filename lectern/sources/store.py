@@ -11,52 +11,41 @@ from lectern.functions import lexicon as lex
 from lectern.functions.naming import snapshot_name
 from lectern.operators.corrections import queue_counts
 from lectern.operators.durable import durable, first_by
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+from lectern.sources.versioned import VersionedTable
 
 
 def _overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _collections(spark: SparkSession, path: str, key: str) -> VersionedTable:
+    return VersionedTable(spark, path, ["collection", key])
+
+
+def collections(spark: SparkSession, path: str, version: int | None = None, key: str = "chunk_id") -> DataFrame:
+    """All chunks of the latest or an earlier version."""
+    return _collections(spark, path, key).read(version)
+
+
 def upsert_collections(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Replace or add chunks by (collection, chunk id); other collections are not touched.
+    """Replace or add chunks by (collection, chunk id) in one new version.
 
-    Only partitions that receive chunks are read and written. The new rows, which may hold an
-    embedding step, are worked out once and written to the checkpoint folder; of several with one
-    key, the first by their JSON text stays. The merged rows are written there, too, before their
-    partitions are overwritten.
+    The new rows, which may hold an embedding step, are worked out once; only the buckets that they
+    fall into are read and written.
     """
-    spark = chunks.sparkSession
-    chunks = durable(first_by(["collection", key], F.to_json(F.struct("*")), chunks).select(*chunks.columns))
-    if chunks.isEmpty():
-        return
-    merged = chunks
-    if _exists(spark, path):
-        touched = chunks.select("collection").distinct()
-        stored = spark.read.schema(chunks.schema).parquet(path)
-        old = stored.join(touched, "collection", "left_semi").join(chunks.select("collection", key), ["collection", key], "left_anti")
-        merged = durable(old.unionByName(chunks))
-    _overwrite_partitions(merged, path, ["collection"])
-
-
-def rebuild_collections(chunks: DataFrame, path: str, planned: DataFrame | None = None) -> None:
-    """Drop the planned collections and write them anew; all others stay.
-
-    ``planned`` (collection) names those that go even if no chunk arrives for them: one name per
-    collection, far fewer than chunks.
+    _collections(chunks.sparkSession, path, key).upsert(chunks)
+
+
+def rebuild_collections(chunks: DataFrame, path: str, planned: DataFrame | None = None, key: str = "chunk_id") -> None:
+    """Drop the planned collections and write them anew in one new version; all others stay.
+
+    ``planned`` (collection) names those that go even if no chunk arrives for them.
     """
     chunks = durable(chunks)
-    _overwrite_partitions(chunks, path, ["collection"])
+    gone = chunks.select("collection")
     if planned is not None:
-        spark = chunks.sparkSession
-        empty = planned.select("collection").distinct().join(chunks.select("collection").distinct(), "collection", "left_anti")
-        for row in empty.toLocalIterator():
-            stale = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={row['collection']}")
-            stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
+        gone = gone.union(planned.select("collection"))
+    _collections(chunks.sparkSession, path, key).replace(chunks, gone.distinct())
 
 
 def save_snapshot(courses: DataFrame, stage: str, path: str, engine: str | None = None, model: str | None = None) -> None:
@@ -96,15 +85,28 @@ def stages_between(after: str | None = None, until: str | None = None) -> list[s
     return list(lex.STAGES[first:last])
 
 
-def write_version(courses: DataFrame, path: str) -> None:
-    """Results by version; :func:`latest` is a view, not a second copy."""
-    _overwrite_partitions(courses.withColumn("v", F.col("version")), path, ["v"])
+def write_version(courses: DataFrame, path: str, key: str = "course_id") -> None:
+    """Results under ``versions`` by course and version, and a copy of each course's newest one under
+    ``latest``. Either table changes in one step; the copy follows the results, so after a kill between
+    the two a rerun brings it up to date."""
+    spark = courses.sparkSession
+    courses = durable(courses)
+    VersionedTable(spark, f"{path}/versions", [key, "version"]).upsert(courses)
+    newest = first_by([key], F.struct(-F.col("version"), F.to_json(F.struct("*"))), courses).select(*courses.columns)
+    copy = VersionedTable(spark, f"{path}/latest", [key])
+    if copy.manifest():
+        newer = copy.read().select(F.col(key).alias("_key"), F.col("version").alias("_version"))
+        newest = newest.join(newer, newest[key].eqNullSafe(newer["_key"]) & (newer["_version"] > newest["version"]), "left_anti")
+    copy.upsert(newest)
 
 
 def latest(spark: SparkSession, path: str, key: str = "course_id") -> DataFrame:
-    rows = spark.read.parquet(path)
-    newest = rows.groupBy(key).agg(F.max("v").alias("v"))
-    return rows.join(newest, [key, "v"], "left_semi").drop("v")
+    """The newest version of each course, from its copy."""
+    return VersionedTable(spark, f"{path}/latest", [key]).read()
+
+
+def version_of(spark: SparkSession, path: str, version: int, key: str = "course_id") -> DataFrame:
+    return VersionedTable(spark, f"{path}/versions", [key, "version"]).read().filter(F.col("version") == version)
 
 
 def write_report(results: DataFrame, counts: DataFrame, path: str) -> None:

@@ -29,7 +29,7 @@ def test_embed_books(spark, books):
     assert sorted((r.collection, r.title) for r in plan.collect()) == [("plain", "one"), ("s1", "two"), ("s2", "two")]
     flows.embed_books(spark, root, out, lambda df: df, mapping)
     flows.embed_books(spark, root, out, lambda df: df, mapping)  # a second run replaces, it does not add
-    rows = spark.read.parquet(out).orderBy("collection", "chunk_id").collect()
+    rows = store.collections(spark, out).orderBy("collection", "chunk_id").collect()
     assert [(r.collection, r.chunk_id, r.section_heading, r.page_numbers, r.image_paths) for r in rows] == [
         ("plain", "chunk_0", "A", [1], ["images/a.png"]), ("plain", "chunk_1", "B", [2], []), ("s1", "chunk_0", "C", [], []), ("s2", "chunk_0", "C", [], []),
     ]
@@ -135,9 +135,10 @@ def test_collections_fold_repeats_and_planned_ones_go(spark, tmp_path):
     path = str(tmp_path / "c")
     make = lambda rows: spark.createDataFrame(rows, "collection string, chunk_id string, text string")
     store.upsert_collections(make([("a", "1", "x"), ("a", "1", "w"), ("b", "1", "y")]), path)
-    assert sorted((r.collection, r.text) for r in spark.read.parquet(path).collect()) == [("a", "w"), ("b", "y")]
+    assert sorted((r.collection, r.text) for r in store.collections(spark, path).collect()) == [("a", "w"), ("b", "y")]
     store.rebuild_collections(make([("a", "2", "z")]), path, spark.createDataFrame([("a",), ("b",)], "collection string"))
-    assert [(r.collection, r.chunk_id) for r in spark.read.parquet(path).collect()] == [("a", "2")]
+    assert [(r.collection, r.chunk_id) for r in store.collections(spark, path).collect()] == [("a", "2")]
+    assert sorted(r.text for r in store.collections(spark, path, 1).collect()) == ["w", "y"]
 
 
 def test_queue_keeps_document_order(spark, tmp_path):
@@ -246,5 +247,5 @@ def test_collection_stream(spark, tmp_path):
     book.write.json(str(tmp_path / "in"))
     for _ in range(2):  # a replay writes the same rows
         jobs.load_collections(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"ck{_}")).awaitTermination(60)
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    rows = store.collections(spark, str(tmp_path / "out")).collect()
     assert sorted((r.collection, r.section_heading, tuple(r.page_numbers)) for r in rows) == [("col", "A", (1,)), ("col", "B", (2,))]
