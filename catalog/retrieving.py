@@ -24,8 +24,8 @@ def vector_topk(spark, sf_dir):
 
 
 def vector_topk_grid(spark, sf_dir):
-    """The same through blocks, the way taken when the queries are too many to broadcast."""
-    return plain(retrieval.vector_topk(_queries(spark, sf_dir), _chunks(spark, sf_dir), 5, "cosine", broadcast_bytes=0, block_rows=64))
+    """The same by cosine and in slices, the way taken when the queries are too many to send at once."""
+    return plain(retrieval.vector_topk(_queries(spark, sf_dir), _chunks(spark, sf_dir), 5, "cosine", broadcast_bytes=1_000_000))
 
 
 SQL_L2 = """

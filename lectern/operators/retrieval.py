@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import col
-from lectern.operators.durable import first_by
+from lectern.operators.durable import durable, first_by
 
-# queries up to this many bytes of vectors travel to every task; more go through the grid
+# queries up to this many bytes of vectors travel to every task at once; more go in several slices
 BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 8192
+CELLS = 2_000_000  # distances worked out at a time
+PIVOTS = 32
 _SLACK = 1e-6  # distances this near the k-th, by the size of the vectors, are recomputed exactly
 
 HITS = "query_id {q}, chunk_id {c}, distance double"
@@ -23,51 +25,84 @@ HITS = "query_id {q}, chunk_id {c}, distance double"
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if len(column) and (column.null_count or len(set(column.value_lengths().to_pylist())) > 1):
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if len(column) and (column.null_count or lengths["min"] != lengths["max"]):
         raise ValueError("vectors must be there and of one length")
     flat = np.asarray(column.flatten(), dtype=np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _nearest(
-    queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query: ids and exact distances of its k nearest vectors (ties by id)."""
-    if metric == "cosine":
-        queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    rough = (
-        (queries**2).sum(axis=1)[:, None]
-        + (vectors**2).sum(axis=1)[None, :]
-        - 2.0 * queries @ vectors.T
-    )
-    slack = _SLACK * np.maximum(1.0, (queries**2).sum(axis=1) + (vectors**2).sum(axis=1).max(initial=0.0))
-    out = []
-    for q, row in enumerate(rough):
-        if len(row) > k:
-            limit = np.partition(row, k - 1)[k - 1] + slack[q]
-            near = np.flatnonzero(row <= limit)
-        else:
-            near = np.arange(len(row))
-        exact = ((vectors[near] - queries[q]) ** 2).sum(axis=1)
-        if metric == "cosine":
-            exact = exact / 2.0
-        order = np.lexsort((ids[near], exact))[:k]
-        out.append((ids[near][order], exact[order]))
-    return out
-
-
-def _hits(query_ids, found, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
-    counts = [len(ids) for ids, _ in found]
-    flat = lambda i: np.concatenate([f[i] for f in found]) if found else np.array([])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(query_ids, counts).tolist(), type=types[0]),
-            pa.array(flat(0).tolist(), type=types[1]),
-            pa.array(flat(1), type=pa.float64()),
-        ],
-        names=["query_id", "chunk_id", "distance"],
-    )
+def tiles(queries: int, vectors: int, cells: int) -> Iterator[tuple[slice, slice]]:
+    """Blocks of queries and vectors with at most ``cells`` distances, one at least."""
+    side = max(1, min(queries, int(cells**0.5)))
+    rows = max(1, cells // side)
+    for q in range(0, queries, side):
+        for v in range(0, vectors, rows):
+            yield slice(q, min(q + side, queries)), slice(v, min(v + rows, vectors))
+
+
+class NearestSoFar:
+    """The k nearest vectors of each query among all that were shown (ties by id)."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, cells: int = CELLS):
+        self.k, self.metric, self.cells = k, metric, cells
+        self.queries = self._unit(queries)
+        self.squares = (self.queries**2).sum(axis=1)
+        self.limit = np.full(len(queries), np.inf)  # of the k-th
+        self.at = np.zeros(0, np.int64)
+        self.ids, self.distances = np.zeros(0, object), np.zeros(0)
+        self.worked_out = 0
+
+    def _unit(self, m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if self.metric == "cosine" else m
+
+    def show(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Vectors are put beside their nearest pivot, some of themselves. A whole group is passed over
+        for the queries that it is too far from by the triangle inequality."""
+        vectors = self._unit(vectors)
+        pivots = vectors[:: max(1, len(vectors) // PIVOTS)][:PIVOTS]
+        apart = (vectors**2).sum(axis=1)[:, None] - 2.0 * vectors @ pivots.T + (pivots**2).sum(axis=1)[None, :]
+        own = apart.argmin(axis=1)
+        for group in np.unique(own):
+            members = np.flatnonzero(own == group)
+            near = vectors[members]
+            middle = near.mean(axis=0)
+            reach = float(np.sqrt(((near - middle) ** 2).sum(axis=1).max()))
+            slack = _SLACK * np.maximum(1.0, self.squares + (near**2).sum(axis=1).max())
+            least = np.maximum(0.0, np.sqrt(((self.queries - middle) ** 2).sum(axis=1)) - reach) ** 2
+            wanted = np.flatnonzero(least <= self.limit + slack)
+            for q, v in tiles(len(wanted), len(members), self.cells):
+                self._compare(wanted[q], near[v], ids[members[v]], slack[wanted[q]])
+
+    def _compare(self, which: np.ndarray, vectors: np.ndarray, ids: np.ndarray, slack: np.ndarray) -> None:
+        queries = self.queries[which]
+        rough = self.squares[which][:, None] + (vectors**2).sum(axis=1)[None, :] - 2.0 * queries @ vectors.T
+        self.worked_out += rough.size
+        limit = self.limit[which]
+        if len(vectors) > self.k:
+            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
+        at, of = np.nonzero(rough <= (limit + slack)[:, None])
+        step = max(1, self.cells // max(1, vectors.shape[1]))
+        exact = [((vectors[of[x:x + step]] - queries[at[x:x + step]]) ** 2).sum(axis=1) for x in range(0, len(at), step)]
+        if not exact:
+            return
+        self.at = np.concatenate([self.at, which[at]])
+        self.ids = np.concatenate([self.ids, ids[of]])
+        self.distances = np.concatenate([self.distances, *exact])
+        order = np.lexsort((self.ids, self.distances, self.at))
+        first = np.searchsorted(self.at[order], self.at[order], "left")
+        rank = np.arange(len(order)) - first
+        kept = order[rank < self.k]
+        self.at, self.ids, self.distances = self.at[kept], self.ids[kept], self.distances[kept]
+        full = rank[rank < self.k] == self.k - 1
+        self.limit[self.at[full]] = self.distances[full]
+
+    def hits(self, query_ids: np.ndarray, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        far = self.distances / 2.0 if self.metric == "cosine" else self.distances
+        return pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[self.at].tolist(), type=types[0]), pa.array(self.ids.tolist(), type=types[1]), pa.array(far, type=pa.float64())],
+            names=["query_id", "chunk_id", "distance"],
+        )
 
 
 def _arrow_type(df: DataFrame, name: str) -> tuple[str, pa.DataType]:
@@ -86,18 +121,17 @@ def vector_topk(
     k: int,
     metric: str = "l2",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Exact k nearest chunks of each query inside the query's own collection.
 
     ``queries(query_id, collection, vector)``, ``chunks(chunk_id, collection, vector)`` ->
     ``(query_id, chunk_id, distance, rank)``; squared L2 or cosine distance, ties by chunk id.
 
-    A small query side (its size is measured first) is sent to every task and the chunks are
-    scanned in place, each task keeping k hits per query. A larger one is cut, together with
-    the chunks, into bounded blocks; each pair of blocks of a collection is one task-sized
-    group, so a hot collection is many groups. Both ways emit at most k hits per query and
-    block.
+    Chunks are scanned where they lie and never shuffled. Queries go to every task, as many at a
+    time as ``broadcast_bytes`` hold; if they are more, chunks are scanned once for each slice. A
+    task keeps the k best hits of each query over all its chunks, working out at most ``cells``
+    distances at a time, so that a hot collection is spread as its files are.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -107,15 +141,20 @@ def vector_topk(
     queries = queries.select("query_id", F.col("collection").cast("string"), "vector")
     chunks = chunks.select("chunk_id", F.col("collection").cast("string"), "vector")
     size = queries.agg(F.sum(F.size("vector") * 8 + 64).alias("bytes")).first()["bytes"] or 0
-    if size <= broadcast_bytes:
-        hits = _scan_with_queries(queries, chunks, k, metric, schema, types)
-    else:
-        hits = _grid(queries, chunks, k, metric, schema, types, block_rows)
-    return _keep_nearest(hits, k)
-
-
-def _scan_with_queries(queries, chunks, k, metric, schema, types) -> DataFrame:
-    table = queries.toArrow()  # size checked by the caller
+    slices = max(1, -(-size // max(1, broadcast_bytes)))
+    if slices == 1:
+        return _keep_nearest(_scan_with_queries(queries, chunks, k, metric, schema, types, cells), k)
+    queries = durable(queries.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices))))
+    hits = None
+    for number in range(slices):
+        own = queries.filter(F.col("_slice") == number).drop("_slice")
+        found = durable(_keep_nearest(_scan_with_queries(own, chunks, k, metric, schema, types, cells), k))
+        hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def _scan_with_queries(queries, chunks, k, metric, schema, types, cells) -> DataFrame:
+    table = queries.toArrow()  # at most a slice
     ids = np.array(table.column("query_id").to_pylist(), dtype=object)
     scopes = np.array(table.column("collection").to_pylist(), dtype=object)
     matrix = _matrix(table.column("vector"))
@@ -123,57 +162,22 @@ def _scan_with_queries(queries, chunks, k, metric, schema, types) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(groups)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, NearestSoFar] = {}
         for batch in batches:
             chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
             where = np.array(batch.column("collection").to_pylist(), dtype=object)
             vectors = _matrix(batch.column("vector"))
             for scope in set(where.tolist()) & shared.value.keys():
-                query_ids, wanted = shared.value[scope]
+                if scope not in best:
+                    best[scope] = NearestSoFar(shared.value[scope][1], k, metric, cells)
                 here = where == scope
-                found = _nearest(wanted, vectors[here], chunk_ids[here], k, metric)
-                yield _hits(query_ids, found, types)
+                best[scope].show(vectors[here], chunk_ids[here])
+        for scope, found in best.items():
+            yield found.hits(shared.value[scope][0], types)
 
     return chunks.mapInArrow(scan, schema)
 
 
-def _block_counts(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Number of blocks each collection needs."""
-    return df.groupBy("collection").agg(
-        F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(f"{name}_blocks")
-    )
-
-
-def _grid(queries, chunks, k, metric, schema, types, rows) -> DataFrame:
-    # one skinny row per collection
-    counts = _block_counts(queries, rows, "q").join(_block_counts(chunks, rows, "c"), "collection")
-
-    def cells(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        return (
-            df.join(counts, "collection")
-            .withColumn(f"{own}_block", F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")))
-            .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
-            # new names, so that both sides may come from one table
-            .select(*[F.col(c).alias(f"{own}_{c}") for c in (key, "collection", "vector")],
-                    F.col("q_block").cast("int").alias(f"{own}_q"), F.col("c_block").cast("int").alias(f"{own}_c"))
-        )
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([_hits(np.array([]), [], types)])
-        found = _nearest(
-            _matrix(left.column("q_vector")), _matrix(right.column("c_vector")),
-            np.array(right.column("c_chunk_id").to_pylist(), dtype=object), k, metric,
-        )
-        query_ids = np.array(left.column("q_query_id").to_pylist(), dtype=object)
-        return pa.Table.from_batches([_hits(query_ids, found, types)])
-
-    return (
-        cells(queries, "query_id", "q", "c").groupBy("q_collection", "q_q", "q_c")
-        .cogroup(cells(chunks, "chunk_id", "c", "q").groupBy("c_collection", "c_q", "c_c"))
-        .applyInArrow(cell, schema)
-    )
-
-
 def item_query_text(topic: str, subtopic: str, target: str) -> Column:
     """The retrieval text of an item."""
     return F.concat_ws(" ", col(topic), col(subtopic), col(target))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,10 +44,50 @@ def test_grid_equals_broadcast(spark, sf):
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("collection"), F.col("embedding").alias("vector"))
     queries = chunks.withColumnRenamed("chunk_id", "query_id")
     a = retrieval.vector_topk(queries, chunks, 4).orderBy("query_id", "rank").collect()
-    b = retrieval.vector_topk(queries, chunks, 4, broadcast_bytes=0, block_rows=32).orderBy("query_id", "rank").collect()
+    b = retrieval.vector_topk(queries, chunks, 4, broadcast_bytes=4096, cells=500).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.chunk_id, r.rank) for r in a] == [(r.query_id, r.chunk_id, r.rank) for r in b]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_so_far_equals_all_distances(metric):
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((12, 6)) * 20
+    vectors = centres[draw.integers(0, 12, 3000)] + draw.standard_normal((3000, 6)) * 0.1
+    vectors[100:200] = vectors[0]  # ties
+    queries = np.concatenate([vectors[:40], draw.standard_normal((10, 6))])
+    ids = np.array([f"c{i:04d}" for i in draw.permutation(3000)], object)
+    best = retrieval.NearestSoFar(queries, 7, metric, cells=900)
+    peak = []
+    real = best._compare
+    best._compare = lambda which, near, names, slack: (peak.append(len(which) * len(near)), real(which, near, names, slack))
+    for start in range(0, 3000, 500):
+        best.show(vectors[start:start + 500], ids[start:start + 500])
+    assert max(peak) <= 900 and best.worked_out < 0.7 * len(queries) * len(vectors)  # far groups are passed over
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True) if metric == "cosine" else m
+    far = ((unit(queries)[:, None, :] - unit(vectors)[None, :, :]) ** 2).sum(axis=2)
+    for q in range(len(queries)):
+        want = sorted(zip(far[q].round(10), ids))[:7]
+        own = best.at == q
+        assert [(d, i) for d, i in zip(best.distances[own].round(10), best.ids[own])] == want
+
+
+def test_tiles_hold_their_budget():
+    for n, m, cells in ((5, 7, 1), (100, 3, 50), (1, 1000, 64), (0, 5, 10), (1000, 1000, 10_000)):
+        seen = np.zeros((n, m), int)
+        for q, v in retrieval.tiles(n, m, cells):
+            assert (q.stop - q.start) * (v.stop - v.start) <= cells
+            seen[q, v] += 1
+        assert (seen == 1).all()
+
+
+def test_chunks_are_not_shuffled(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("label").cast("string").alias("collection"), F.col("embedding").alias("vector"))
+    hits = retrieval.vector_topk(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below
+
+
 # --- novelty against the plain walk ---------------------------------------------------------------
 
 
