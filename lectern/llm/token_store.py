@@ -238,7 +238,10 @@ def write_shards(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.total]})
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # An id, or none, that many rows have is cut into ranges like any other run of rows.
+    order = ["doc_id", "_hash", "_row"]
+    keyed = source.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(write, MANIFEST))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_tools, decontaminate, fewest_bins, near_dup, quality_model, spelling, tokens
+from lectern.llm import chat_tools, decontaminate, fewest_bins, near_dup, quality_model, spelling, token_store, tokens
 from lectern.llm.common import table
 
 DOCS = "doc_id long, text string, n long, word string, length long, near string"
@@ -313,3 +313,24 @@ def test_long_chains_cycles_and_odd_arguments(spark):
     status = {k: r.status for (c, k), r in got.items() if c == "e"}
     assert status == {"deep": "invalid", "nan": "invalid", "inf": "invalid", "half": "no_result", "big": "no_result", "huge": "invalid", "true": "invalid", "one": "no_result", "bad0": "invalid", "bad1": "invalid", "bad2": "invalid"}
     assert "\\ud800" in got["e", "half"].line
+
+
+# --- token shards ------------------------------------------------------------------------------------------
+
+
+def test_shards_of_null_and_repeated_ids(spark, tmp_path):
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    rows = [(None, f"text {i}") for i in range(300)] + [(5, "same")] * 40 + [(5, "other"), (-2, None), (9, "")]
+    docs = frame(spark, rows).withColumn("_row", F.lit("clash")).withColumn("start", F.lit(1)).repartition(6)
+    manifest = token_store.write_shards(docs.repartition(6), f"file://{tmp_path}/shards", path)
+    got = token_store.read_documents(manifest, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 300 + [-2] + [5] * 41 + [9]
+    at = 0
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids)
+        at += r.n_tokens
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    want = Counter((i, np.asarray([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
