@@ -6,6 +6,10 @@ both sides meet by hash; around each hit the two texts are then laid over one an
 token by token: an overlap counts if its best stretch (1 for an equal token, -2 for another)
 reaches the score of 12 tokens with one substitution.
 
+Masks share their work: neighbours are hashed in pairs once, and four pairs, three tokens apart,
+serve the mask that ignores the third tokens of windows that begin there and, one place on, the
+mask that ignores the first ones. So three masks are two families of hashes.
+
 Documents are read once. A bitmap of the benchmark's window hashes, sized by their number, lets
 each document test its windows on its own row; only the few that pass are joined, on the hash.
 
@@ -20,13 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import let, lower_ascii, positions, stored, without
+from lectern.llm.common import let, lower_ascii, positions, stored, with_row_key, without
 
 WINDOW, SHORTEST = 12, 5
-MASKS = tuple(tuple(i for i in range(WINDOW) if i % 3 != skip) for skip in range(3))
 SUBSTITUTION = -2
 LEAST_SCORE = WINDOW - 1 + SUBSTITUTION
-#: Bits per benchmark window in the bitmap, probes, and the bitmap's least and greatest size (log2).
+#: Bits per benchmark window in the bitmap, probes, and the bitmap's least and greatest size (log2). Above
+#: about a million windows the largest bitmap fills up: it then spares less work, and results stay the same.
 BITS_PER_WINDOW, PROBES, LEAST_BITS, MOST_BITS = 128, 3, 16, 27
 #: Window hashes of this many benchmark rows (16 bytes each) are sent to every executor; more are shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -37,18 +41,36 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _windows(h: Column, number: int, offsets: tuple[int, ...], span: int, only_whole: bool = False) -> Column:
-    """Masked windows (at, hash) of a text; ``number`` keeps the masks apart."""
+def _families(h: Column) -> Column:
+    """Hashes at each place of a text: of the masks that ignore every third token from the third or,
+    a window before, from the first on; and of the one that ignores them from the second on."""
+    def of_pairs(p: Column) -> Column:
+        at = lambda i, o: F.get(p, i + o)
+        outer = F.transform(p, lambda x, i: F.xxhash64(F.lit(0), x, at(i, 3), at(i, 6), at(i, 9)))
+        inner = F.transform(h, lambda x, i: F.xxhash64(F.lit(1), x, at(i, 2), at(i, 5), at(i, 8), F.get(h, i + (WINDOW - 1))))
+        # Of the last places, where tokens are missing, none is used.
+        usable = lambda c, n: F.when(F.size(h) >= WINDOW, F.slice(c, F.lit(1), F.greatest(F.size(h) - n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+        return F.array(usable(outer, WINDOW - 2), usable(inner, WINDOW - 1))
+
+    return let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))), of_pairs)
+
+
+def _whole(h: Column, span: int, only_whole: bool) -> Column:
+    """Hashes of all tokens from each place on."""
     size = F.when(F.size(h) == span, 1).otherwise(0) if only_whole else F.size(h) - (span - 1)
-    return F.transform(positions(size), lambda i: F.struct(i.alias("at"), _hash(h, number, offsets, i).alias("hash")))
+    return F.transform(positions(size), lambda i: F.xxhash64(F.lit(span + 100), *[F.get(h, i + o) for o in range(span)]))
 
 
-def _hash(h: Column, number: int, offsets: tuple[int, ...], i: Column) -> Column:
-    return F.xxhash64(F.lit(number), *[F.get(h, i + o) for o in offsets])
+def _hashes(h: Column, short: list[int], only_whole: bool) -> Column:
+    """A list for each family: the two of the masks, then one for each short length."""
+    return F.concat(_families(h), F.array(*[_whole(h, n, only_whole) for n in short])) if short else _families(h)
 
 
-def _seeds(short: list[int]) -> list[tuple[int, tuple[int, ...], int]]:
-    return [(k, m, WINDOW) for k, m in enumerate(MASKS)] + [(n + 100, tuple(range(n)), n) for n in short]
+def _same_mask(at: Column, size: Column, item_at: Column, item_size: Column, family: Column) -> Column:
+    """Whether the places of both sides begin a window of one mask; in the outer family the first
+    place is only of one mask and the last one only of the other."""
+    ends = ((at <= size - WINDOW) & (item_at <= item_size - WINDOW)) | ((at >= 1) & (item_at >= 1))
+    return (family != 0) | ends
 
 
 def _probes(value: Column, log2: int) -> list[Column]:
@@ -100,9 +122,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
         benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("item"))
         .filter(F.size("item") >= SHORTEST).distinct())
     short = sorted(r[0] for r in items.select(F.size("item").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # 7 at most
-    seeds = _seeds(short)
-    of_items = F.concat(*[_windows(F.col("item"), k, o, n, only_whole=n < WINDOW) for k, o, n in seeds])
-    keyed = stored(items.select("item_id", F.explode(of_items).alias("w")).select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")))
+    of_items = F.flatten(F.transform(_hashes(F.col("item"), short, True), lambda c, k: F.transform(
+        c, lambda v, i: F.struct(k.alias("family"), i.alias("at"), v.alias("hash")))))
+    keyed = stored(items.select("item_id", F.size("item").alias("item_size"), F.explode(of_items).alias("w")).select(
+        "item_id", "item_size", F.col("w.family").alias("family"), F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")))
     n = keyed.count()
     log2 = max(LEAST_BITS, min(MOST_BITS, (BITS_PER_WINDOW * max(n, 1)).bit_length()))
 
@@ -110,19 +133,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     bits = _bitmap(keyed.select("hash"), log2)  # one row of a fixed size
     tested = source.crossJoin(F.broadcast(bits))
 
-    def passing(number: int, offsets: tuple[int, ...], span: int) -> Column:
-        """Most documents hold none, so places are only kept where one is."""
-        places = positions(F.size("doc") - (span - 1))
-        found = F.exists(F.transform(places, lambda i: _hash(F.col("doc"), number, offsets, i)), lambda h: _may_hit(F.col("bits"), h, log2))
-        kept = F.filter(_windows(F.col("doc"), number, offsets, span), lambda w: _may_hit(F.col("bits"), w["hash"], log2))
-        return F.when(found, kept).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+    def passing(hashes: Column, family: Column) -> Column:
+        """(family, at, hash) of the windows that pass the bitmap; each is tested once."""
+        places = F.filter(F.transform(hashes, lambda x, i: F.when(_may_hit(F.col("bits"), x, log2), i)), lambda i: i.isNotNull())
+        return F.transform(places, lambda i: F.struct(family.alias("family"), i.alias("at"), F.get(hashes, i).alias("hash")))
 
-    windows = F.concat(*[passing(*seed) for seed in seeds])
+    windows = F.flatten(F.transform(_hashes(F.col("doc"), short, False), passing))
     likely = stored(tested.select("doc_id", "doc", windows.alias("windows")).filter(F.size("windows") > 0))
 
-    found = likely.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
+    found = likely.select("doc_id", F.size("doc").alias("size"), F.explode("windows").alias("w")).select(
+        "doc_id", "size", F.col("w.family").alias("family"), F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
     known = F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed
-    laid = found.join(known, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = found.join(known, ["family", "hash"]).filter(_same_mask(*[F.col(c) for c in ("at", "size", "item_at", "item_size", "family")]))
+    laid = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     verified = laid.join(items, "item_id").join(likely.select("doc_id", "doc").dropDuplicates(), "doc_id")
     best = verified.select("doc_id", "item_id", "shift", F.size("item").alias("size"), _best_stretch(F.col("doc"), F.col("item"), F.col("shift")).alias("b"))
     enough = best.filter(F.col("b.score") >= F.least(F.lit(LEAST_SCORE), F.col("size")))
@@ -133,5 +156,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark text, with all their columns."""
-    return without(docs, overlaps(docs, benchmark).select("doc_id"))
+    """The documents that overlap no benchmark text, with all their columns. Rows count, not ids: a
+    row with a null id is tested, and of rows of one id only those that overlap go."""
+    keyed, row = with_row_key(docs)
+    return without(keyed, overlaps(keyed, benchmark, doc_id=row).select("doc_id"), row).drop(row)
