@@ -434,7 +434,7 @@ act AS (
   UNION ALL SELECT doc_id, 'capsule', 'failed', 'entity not found' FROM lab WHERE ti = 0
   UNION ALL SELECT doc_id, 'capsule', 'applied', '' FROM capsule WHERE n % 5 = 0
   UNION ALL SELECT doc_id, 'module', 'applied', '' FROM module WHERE mi % 2 = 0
-  UNION ALL SELECT doc_id, 'module', 'applied', '' FROM module WHERE mi % 3 = 0
+  UNION ALL SELECT doc_id, 'module', 'failed', 'value not readable' FROM module WHERE mi % 3 = 0
   UNION ALL SELECT doc_id, 'topic', 'failed', 'field not found' FROM topic WHERE ti = 0
   UNION ALL SELECT doc_id, 'item', 'applied', '' FROM item WHERE len(words) = 4
   UNION ALL SELECT doc_id, 'skeleton', 'applied', '' FROM documents)

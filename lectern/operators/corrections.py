@@ -186,15 +186,28 @@ def correct_documents(courses: DataFrame, actions: DataFrame, keys: Sequence[str
     """Apply pending field corrections of any level to course documents: the documents and the
     outcome per action.
 
-    Fields are dotted paths to single values. An action with an unknown entity or field fails and
-    changes nothing. Of several values for one field, the action of least priority comes last, as in
+    Fields are dotted paths to single values. An action with an unknown entity or field, or with a
+    value that can't be read as its field's type (a missing one neither), fails and changes nothing.
+    Of several values for one field, the action of least priority comes last, as in
     the queue's order, and its value stays.
     """
     known = settable_by_level(courses)
     allowed = F.create_map(*[x for kind, fields in known.items() for x in (F.lit(kind), T.words_array(fields))])
     fixes = locate(entities(courses, keys), actions.filter((F.col("status") == "pending") & (F.col("action_type") == "auto_fix")), keys)
     names = F.coalesce(F.try_element_at(allowed, F.col("entity_type")), T.words_array([]))
-    judged = fixes.withColumn("ok", F.col("found") & F.forall(F.map_keys("field_corrections"), lambda k: F.array_contains(names, k)))
+    kinds = F.create_map(*[F.lit(x) for level, fields in known.items() for path, kind in fields.items() for x in (f"{level}.{path}", kind.simpleString())])
+    distinct = {kind.simpleString(): kind for fields in known.values() for kind in fields.values()}
+
+    def readable(entry: Column) -> Column:
+        own, out = F.try_element_at(kinds, F.concat_ws(".", "entity_type", entry["key"])), F.lit(False)
+        for name, kind in distinct.items():
+            out = F.when(own == name, entry["value"].try_cast(kind).isNotNull()).otherwise(out)
+        return out
+
+    judged = fixes.withColumns({
+        "named": F.forall(F.map_keys("field_corrections"), lambda k: F.array_contains(names, k)),
+        "readable": F.forall(F.map_entries("field_corrections"), readable),
+    }).withColumn("ok", F.col("found") & F.col("named") & F.col("readable"))
     last = (
         judged.filter("ok").select(*keys, "entity_path", "priority", "action_id", F.explode("field_corrections").alias("field", "value"))
         .groupBy(*keys, "entity_path", "field").agg(F.max_by("value", F.struct(-F.col("priority"), F.col("action_id"))).alias("value"))
@@ -202,7 +215,7 @@ def correct_documents(courses: DataFrame, actions: DataFrame, keys: Sequence[str
     )
     outcome = judged.select(
         *keys, "action_id", "entity_type", "entity_path", "action_type", "priority", F.when(F.col("ok"), "applied").otherwise("failed").alias("status"),
-        F.when(~F.col("found"), "entity not found").when(~F.col("ok"), "field not found").alias("error"),
+        F.when(~F.col("found"), "entity not found").when(~F.col("named"), "field not found").when(~F.col("ok"), "value not readable").alias("error"),
     )
     return set_fields(courses, last, keys), outcome
 
