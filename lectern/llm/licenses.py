@@ -4,7 +4,8 @@ Markup: ``[[ ... ]]`` may be missing (nesting allowed), ``{{name:least-most}}``
 words of any kind (``#`` at its end: numbers only); all other words are mandatory and must stand exactly so, one after the other.
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII, so layout
 and punctuation don't matter. A template is looked for at every place of a text, and the longest
-reading from a place counts.
+reading from a place counts; readings of one template that end at the same word are one, from the
+earliest place. A template may begin with replaceable regions, but needs a mandatory word.
 
 Null and empty texts have no words and no labels. Repeated rows give repeated results; other
 columns are not read. Each text is scanned where it lies, in time in proportion to its length; an
@@ -34,7 +35,11 @@ TEMPLATES = (
      obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
      restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
      copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-     The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
+     The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+     THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+     OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE {{holders:1-6}} BE LIABLE
+     FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+     CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache", "[[{{thing:0-4}} is]] licensed under the Apache License, Version 2.0"),
     ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this {{thing:1-3}} except in
      compliance with the License. You may obtain a copy of the License at {{place:1-8}}"""),
@@ -50,9 +55,19 @@ TEMPLATES = (
      following disclaimer. [[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
      the following disclaimer in the documentation and/or other materials provided with the distribution.
      [[[[3.]] Neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote products derived
-     from this software without specific prior written permission.]]"""),
+     from this software without specific prior written permission.]]
+     THIS SOFTWARE IS PROVIDED BY {{holders:1-12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+     IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{holders:1-12}}
+     BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+     PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+     THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+     OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
-     that the above copyright notice and this permission notice appear in all copies."""),
+     that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+     {{holders:1-8}} [[DISCLAIMS|DISCLAIM]] ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+     MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{holders:1-8}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+     DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+     OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "[[Copyright [[c]] {{holder:1-8}}]] All rights reserved"),
 )
@@ -79,7 +94,7 @@ class Automaton:
             raise ValueError(f"unbalanced markup in the template for {label}")
         self.end, self.known = end, {}
         self.start = self._reach({start})
-        self.firsts = {w for s in self.start for w in self.steps[s] if w not in (None, NUMBER)}
+        self._anchor()
 
     def _state(self) -> int:
         self.steps.append({})
@@ -138,6 +153,24 @@ class Automaton:
                 open_.append(s)
         return frozenset(found)
 
+    def _anchor(self) -> None:
+        """First mandatory words, how many words may stand before them, and the states after them.
+
+        Every reading holds such a word, so only their places in a text are looked at.
+        """
+        self.before: dict[str, list[int]] = {}
+        after: dict[str, set[int]] = {}
+        states, before = self.start, 0
+        while states:
+            if self.end in states:
+                raise ValueError(f"the template for {self.label} needs a mandatory word")
+            for word in {w for s in states for w in self.steps[s]} - {None, NUMBER}:
+                self.before.setdefault(word, []).append(before)
+                after.setdefault(word, set()).update(t for s in states for t in self.steps[s].get(word, ()))
+            states = self._reach({t for s in states for kind in (None, NUMBER) for t in self.steps[s].get(kind, ())})
+            before += 1
+        self.after = {word: self._reach(found) for word, found in after.items()}
+
     def _next(self, states: frozenset[int], word: str) -> frozenset[int]:
         key = (states, word if any(word in self.steps[s] for s in states) else None, word.isdigit())
         if key not in self.known:
@@ -145,10 +178,9 @@ class Automaton:
             self.known[key] = self._reach({t for s in states for k in kinds for t in self.steps[s].get(k, ())})
         return self.known[key]
 
-    def longest(self, words: list[str], start: int) -> int:
-        """End of the longest reading from ``start``, or -1."""
-        states, best = self.start, -1
-        for i in range(start, len(words)):
+    def _walk(self, states: frozenset[int], words: list[str], at: int) -> int:
+        best = at if self.end in states else -1
+        for i in range(at, len(words)):
             states = self._next(states, words[i])
             if not states:
                 break
@@ -156,6 +188,19 @@ class Automaton:
                 best = i + 1
         return best
 
+    def longest(self, words: list[str], start: int) -> int:
+        """End of the longest reading from ``start``, or -1."""
+        return self._walk(self.start, words, start)
+
+    def around(self, words: list[str], i: int) -> Iterator[tuple[int, int]]:
+        """Longest readings (start, end) from each place where word ``i`` can be the first mandatory one."""
+        word = words[i]
+        if self._walk(self.after[word], words, i + 1) < 0:
+            return
+        for start in (i - k for k in self.before[word] if k <= i):
+            if (end := self.longest(words, start)) >= 0:
+                yield start, end
+
 
 class Scanner:
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
@@ -165,20 +210,22 @@ class Scanner:
             self.by_first.setdefault(words[0], []).append((True, (words, label)))
         for label, markup in templates:
             made = Automaton(label, markup)
-            for word in made.firsts:
+            for word in made.before:
                 self.by_first.setdefault(word, []).append((False, made))
 
     def scan(self, words: list[str]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int]]]:
         """Places of phrases (label, start) and readings of templates (label, start, end)."""
-        base, found = [], []
+        base: list[tuple[str, int]] = []
+        found: dict[tuple[Automaton, int], int] = {}
         for i in [i for i, w in enumerate(words) if w in self.by_first]:
             for is_phrase, what in self.by_first[words[i]]:
                 if is_phrase:
                     if words[i:i + len(what[0])] == what[0]:
                         base.append((what[1], i))
-                elif (end := what.longest(words, i)) >= 0:
-                    found.append((what.label, i, end))
-        return base, found
+                else:
+                    for start, end in what.around(words, i):
+                        found[what, end] = min(start, found.get((what, end), start))
+        return base, sorted(((a.label, start, end) for (a, end), start in found.items()), key=lambda f: (f[1], f[2], f[0]))
 
 
 RESULT = "doc_id long, n_words long, base array<struct<label:string,start:long>>, matches array<struct<label:string,start:long,end:long>>"

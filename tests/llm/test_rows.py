@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 
 import pytest
@@ -117,6 +118,53 @@ def test_template_markup():
     assert [a.longest(t.split(), 0) for t in ("one four 1", "one two four 1", "one two three x y four 2", "one x y z four 1", "one four x", "two four 1")] == [3, 4, 7, -1, -1, -1]
     with pytest.raises(ValueError):
         licenses.Automaton("x", "one [[two")
+    with pytest.raises(ValueError, match="mandatory"):
+        licenses.Automaton("x", "{{any:1-2}} [[one]]")
+
+
+def _readings(markup, words):
+    """Longest readings from each place by a backtracking pattern, one per end: no automaton involved."""
+    pattern = re.sub(r"\{\{[a-z]+:(\d+)-(\d+)(#?)\}\}", lambda m: ("<D>" if m[3] else "<A>") + f"<{m[1]},{m[2]}>", markup)
+    pattern = re.sub(r"[a-z]+", lambda m: f"{m[0]} ", pattern).replace("[[", "(?:").replace("]]", ")?").replace("<D>", r"(?:\d+_)").replace("<A>", r"(?:\S+?_)")
+    pattern = re.sub(r"<(\d+,\d+)>", r"{\1}", pattern.replace(" ", "").replace("_", " "))
+    for word in {"one", "two", "three", "four"}:
+        pattern = pattern.replace(word, f"(?:{word} )")
+    whole = re.compile(f"(?:{pattern})")
+    ends = {}
+    for i in range(len(words)):
+        for j in range(len(words), i, -1):
+            if whole.fullmatch("".join(w + " " for w in words[i:j])):
+                ends.setdefault(j, i)
+                break
+    return sorted((i, j) for j, i in ends.items())
+
+
+@pytest.mark.parametrize("markup", [
+    "{{who:1-2}} one two", "[[{{who:0-3}} two]] one", "{{no:1-2#}} one [[two|three]] {{x:0-2}} four", "one [[two [[three]]]] {{x:0-2}} four", "[[one|two {{x:1-1}}]] three {{no:1-1#}}",
+    "{{a:1-1}} [[one]] {{b:0-1#}} two [[{{c:1-2}} two]]",
+])
+def test_templates_equal_brute_force(markup):
+    draw = random.Random(markup)
+    scanner = licenses.Scanner((("x", markup),), {})
+    met = 0
+    for _ in range(400):
+        words = draw.choices(["one", "two", "three", "four", "7", "x"], k=draw.randint(0, 12))
+        want = _readings(markup, words)
+        assert [(i, j) for _, i, j in scanner.scan(words)[1]] == want, words
+        met += bool(want)
+    assert met > 10
+
+
+def test_templates_ask_for_their_disclaimers():
+    scanner = licenses.Scanner()
+    for label, markup in licenses.TEMPLATES:
+        if label in ("mit", "bsd", "isc") and "WARRANTIES" in markup:
+            body = re.sub(r"\[\[DISCLAIMS\|DISCLAIM\]\]", "DISCLAIMS", re.sub(r"\{\{[a-z]+:\d+-\d+#?\}\}", "Ann Ex", markup)).replace("[[", "").replace("]]", "")
+            words = licenses.WORD.findall(body.lower())
+            assert (label, len(words)) in {(a, j) for a, _, j in scanner.scan(words)[1]}
+            changed = ["no" if w == "any" else w for w in words]
+            assert label not in {a for a, _, _ in scanner.scan(changed)[1]}
+            assert label not in {a for a, _, _ in scanner.scan(words[:len(words) // 2])[1]}
 
 
 def test_url_rules_and_trees(spark):
