@@ -171,20 +171,29 @@ def quote_verify_fuzzy(spark, sf_dir):
 
 
 _PLAIN = "trim(lower(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', '', 'g')))"
-SQL_QUOTES = f"""
+_QUOTE_TABLES = f"""
 WITH d AS (SELECT doc_id AS item_id, text, {sql_sentences('text')} AS s, CASE WHEN doc_id % 4 > 0 THEN ['Q1', 'Q2', 'Q3', 'Q9'] END AS required FROM documents),
 q AS (SELECT item_id, 'Q1' AS id, s[2] AS t FROM d UNION ALL SELECT item_id, 'Q2', regexp_replace(s[3], '[.!?]+$', ' ') FROM d
       UNION ALL SELECT d.item_id, 'Q3', ({sql_sentences('b.text')})[1] FROM d JOIN benchmark b ON b.item_id = d.item_id % (SELECT count(*) FROM benchmark)),
 known AS (SELECT * FROM q WHERE t IS NOT NULL),
 need AS (SELECT item_id, unnest(required) AS id FROM d WHERE required IS NOT NULL UNION ALL SELECT k.item_id, id FROM known k JOIN d USING (item_id) WHERE required IS NULL),
-c AS (SELECT n.item_id, n.id, coalesce(contains(d.text, trim(k.t)), false) AS exact,
-        coalesce(contains({_PLAIN.format(x='d.text')}, {_PLAIN.format(x='k.t')}), false) AS near
-      FROM need n JOIN d USING (item_id) LEFT JOIN known k ON k.item_id = n.item_id AND k.id = n.id)
+p AS (SELECT n.item_id, n.id, lower(trim(k.t)) AS q, lower(d.text) AS low, coalesce(contains(d.text, trim(k.t)), false) AS exact,
+        coalesce(contains({_PLAIN.format(x='d.text')}, {_PLAIN.format(x='k.t')}), false) AS plain
+      FROM need n JOIN d USING (item_id) LEFT JOIN known k ON k.item_id = n.item_id AND k.id = n.id)"""
+_QUOTE_COUNTS = """
 SELECT d.item_id, count(c.id) AS required_count, count(*) FILTER (exact) AS exact_match_count, count(*) FILTER (near AND NOT exact) AS fuzzy_match_count,
        coalesce(string_agg(c.id, '|' ORDER BY c.id) FILTER (NOT exact AND NOT near), '') AS missing_quote_ids,
        count(*) FILTER (c.id IS NOT NULL AND NOT exact AND NOT near) = 0 AS all_required_found
 FROM d LEFT JOIN c USING (item_id) GROUP BY 1
 """
+SQL_QUOTES = f"{_QUOTE_TABLES}, c AS (SELECT item_id, id, exact, plain AS near FROM p) {_QUOTE_COUNTS}"
+# every window of the quote's length, first with all characters beyond ASCII taken for one (a bound), then exactly
+SQL_QUOTES_FUZZY = f"""{_QUOTE_TABLES},
+s AS MATERIALIZED (SELECT *, length(q) AS n, regexp_replace(q, '[^\\x00-\\x7F]', '?', 'g') AS q7, rpad(regexp_replace(low, '[^\\x00-\\x7F]', '?', 'g'), greatest(length(low), length(q))::INT, chr(1)) AS low7
+      FROM p WHERE NOT exact AND NOT plain AND q <> '' AND low <> ''),
+w AS (SELECT item_id, id, i FROM (SELECT item_id, id, n, q7, low7 FROM s), unnest(range(1, length(low7) - n + 2)) AS u(i) WHERE (n - hamming(substr(low7, i, n), q7)) / n >= 0.85),
+reached AS (SELECT DISTINCT item_id, id FROM w JOIN s USING (item_id, id) WHERE len(list_filter(range(1, n + 1), lambda j: substr(low, i + j - 1, 1) <> '' AND substr(low, i + j - 1, 1) = substr(q, j, 1))) / n >= 0.85),
+c AS (SELECT p.item_id, p.id, exact, plain OR reached.id IS NOT NULL AS near FROM p LEFT JOIN reached ON reached.item_id = p.item_id AND reached.id = p.id) {_QUOTE_COUNTS}"""
 
 
 def quote_offsets(spark, sf_dir):
@@ -254,7 +263,7 @@ source_items AS (SELECT item_id, regexp_replace(array_to_string(list_transform(w
 links AS (SELECT doc_id AS item_id, doc_id AS chunk_id, 0 AS chunk_pos, text FROM documents), {_claims_sql('source_items')}, {_match_sql(0.3)}
 SELECT item_id, claim_pos, claim[1:100] AS claim, part AS source_text FROM judged WHERE status = 'repair' AND part IS NOT NULL"""),
     "quote_verify": (quote_verify, SQL_QUOTES),
-    "quote_verify_fuzzy": (quote_verify_fuzzy, None),
+    "quote_verify_fuzzy": (quote_verify_fuzzy, SQL_QUOTES_FUZZY),
     "quote_offsets": (quote_offsets, f"""
 WITH d AS (SELECT doc_id, text, ({sql_sentences('text')})[2] AS q FROM documents)
 SELECT doc_id, substr(text, position(q IN text) + doc_id % 2, length(q)) = q AS by_offset, contains(text, q) AS by_text FROM d WHERE q IS NOT NULL"""),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.fuzzy import fuzzy_similarity
+from lectern.functions.fuzzy import fuzzy_reach, fuzzy_similarity, may_reach
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.durable import first_by
 from lectern.operators.retrieval import vector_topk
@@ -188,19 +188,23 @@ def chunks_of_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
 # --- checking generated text --------------------------------------------------------
 
 
-def check_quote(text: ColumnLike, quote: ColumnLike, threshold: float = 0.85) -> Column:
+def check_quote(text: ColumnLike, quote: ColumnLike, threshold: float = 0.85, score_missing: bool = True) -> Column:
     """``struct<found, exact_match, match_text, similarity>`` for one quote in one text.
 
     Exact, then white space and punctuation aside (0.95), then fuzzy. The costly fuzzy search
-    sees nulls for rows the cheap tests have settled.
+    sees nulls for rows the cheap tests have settled. Without ``score_missing`` a quote that is not
+    found has similarity 0, and rows without any seed of the quote are settled as well.
     """
     text, quote = col(text), T.strip(quote)
     exact = text.contains(quote)
     plain = T.normalize_for_matching(text).contains(T.normalize_for_matching(quote))
     open_row = ~exact & ~plain
-    fuzzy = fuzzy_similarity(
-        F.when(open_row, F.lower(quote)), F.when(open_row, F.lower(text))
-    )
+    low_quote, low_text = F.lower(quote), F.lower(text)
+    if score_missing:
+        fuzzy = fuzzy_similarity(F.when(open_row, low_quote), F.when(open_row, low_text))
+    else:
+        open_row = open_row & may_reach(low_quote, low_text, threshold)
+        fuzzy = fuzzy_reach(F.when(open_row, low_quote), F.when(open_row, low_text), F.lit(float(threshold)))
     similarity = F.when(exact, 1.0).when(plain, 0.95).otherwise(fuzzy)
     found = exact | plain | (fuzzy >= threshold)
     return F.struct(
@@ -247,8 +251,8 @@ def verify_quotes(
             "required_pos", F.col("required_pos").cast("string")
         )
     )
-    check = check_quote if fuzzy else lambda t, q, _: check_quote_no_fuzzy(t, q)
-    checked = rows.withColumn("check", check("generated_text", "text", threshold)).withColumn(
+    check = check_quote("generated_text", "text", threshold, score_missing=False) if fuzzy else check_quote_no_fuzzy("generated_text", "text")
+    checked = rows.withColumn("check", check).withColumn(
         "known", F.col("text").isNotNull()
     )
     found = F.col("known") & F.coalesce(F.col("check.found"), F.lit(False))

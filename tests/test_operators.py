@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import lexicon as lex
-from lectern.functions.fuzzy import window_similarity
+from lectern.functions.fuzzy import may_reach, reached_similarity, window_similarity
 from lectern.operators import anchors, chunking, learner, novelty, quotes, retrieval
 from lectern.operators.durable import numbered
 
@@ -180,6 +180,27 @@ def test_fuzzy_quotes(spark):
     assert (got.exact_match_count, got.fuzzy_match_count, got.missing_quote_ids, got.all_required_found) == (0, 2, ["Q2"], False)
 
 
+def test_seeded_search_equals_every_window(spark):
+    draw = random.Random(5)
+    rows = [("", "abc"), ("abc", ""), ("é" * 20, "é" * 19 + "x"), ("abcdefghij" * 3, "abcdefghij" * 2)]
+    for _ in range(600):
+        text = "".join(draw.choices("abcé ", k=draw.randint(1, 90)))
+        start, n = draw.randrange(len(text)), draw.randint(1, 40)
+        needle = "".join(draw.choice("abx") if draw.random() < 0.12 else c for c in text[start:start + n])
+        rows.append((needle + "zz" * draw.randint(0, 1), text))
+    df = spark.createDataFrame(rows, "needle string, haystack string")
+    for least in (0.5, 0.85, 0.95, 1.0):
+        seeds = [r[0] for r in df.select(may_reach("needle", "haystack", least)).collect()]
+        found = 0
+        for (needle, haystack), seed in zip(rows, seeds, strict=True):
+            best = window_similarity(needle, haystack)
+            want = best if best >= least else 0.0
+            assert reached_similarity(needle, haystack, least) == want
+            assert seed or not want
+            found += want > 0
+        assert 20 < found < len(rows)
+
+
 def test_sessions_do_not_depend_on_buckets(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(
         F.lit(1).alias("learner_id"), "ts", (F.col("event_type") != "error").alias("is_correct"), F.lit(3).alias("confidence"), F.col("value").alias("seconds")
