@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions import text as T
 from lectern.operators.chunking import chunk_books, stable_chunk_ids
+from lectern.operators.durable import durable
 from lectern.operators.learner import finish_sessions, session_measures
 from lectern.operators.metrics import measures, ratio
 from lectern.sources.store import upsert_collections
@@ -66,19 +67,53 @@ def rolling_metrics(records: DataFrame) -> DataFrame:
     return records.groupBy("capsule_id").agg(*measures())
 
 
-def write_with_late_rows(stream: DataFrame, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], checkpoint: str, lateness_seconds: int) -> StreamingQuery:
+def mark_late(batch: DataFrame, lateness_seconds: int, order: Sequence[str] = (), newest_before: int | None = None) -> DataFrame:
+    """``is_late``: is a row older than the newest event known by more than the allowed lateness?
+
+    ``order`` names columns that give each row its own place of arrival (an offset): a row is then
+    compared with earlier arrivals only. Without it, it is compared with its whole batch.
+    ``newest_before``: newest event of earlier batches in microseconds. Rows without ``ts`` are on time.
+    """
+    known = F.timestamp_micros(F.lit(newest_before).cast("long"))
+    allowed = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lateness_seconds))
+    if order:
+        # ranges of arrivals: a running maximum in each, and one row per range for those before it
+        ranged = durable(batch.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        tops = ranged.groupBy("_range").agg(F.max("ts").alias("_top")).select("_range", F.max("_top").over(earlier).alias("_before"))
+        inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = ranged.join(F.broadcast(tops), "_range").withColumn("_newest", F.greatest("_before", F.max("ts").over(inside), known))
+    else:
+        rows = batch.join(F.broadcast(batch.agg(F.max("ts").alias("_top")))).withColumn("_newest", F.greatest("_top", known))
+    late = F.coalesce(F.col("ts") < F.col("_newest") - allowed, F.lit(False))
+    return rows.withColumn("is_late", late).select(*batch.columns, "is_late")
+
+
+def write_with_late_rows(
+    stream: DataFrame, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], checkpoint: str,
+    lateness_seconds: int, order: Sequence[str] = (),
+) -> StreamingQuery:
     """Split each batch into rows within the allowed lateness and rows for a side table.
 
-    Lateness is measured against the newest event of the batch.
+    The newest event so far is kept beside the checkpoint in two slots in turn, by batch number: a
+    batch that is run again finds what its predecessor left. With ``order`` (see :func:`mark_late`)
+    the same rows are late however the stream is cut into batches.
     """
+    slot = lambda number: f"{checkpoint.rstrip('/')}_newest/{number % 2}"
+
     def split(batch: DataFrame, number: int) -> None:
+        spark, before = batch.sparkSession, None
+        if number:
+            left = spark.read.schema("newest long, number long").parquet(slot(number - 1)).first()
+            if left is None or left.number != number - 1:
+                raise ValueError(f"no newest event of batch {number - 1} beside {checkpoint}")
+            before = left.newest
         batch = batch.persist()
-        newest = batch.agg(F.max("ts").alias("newest"))
-        marked = batch.join(F.broadcast(newest)).withColumn(
-            "_late", F.col("ts") < F.col("newest") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lateness_seconds))
-        ).drop("newest")
-        on_time(marked.filter(~F.col("_late")).drop("_late"), number)
-        late(marked.filter("_late").drop("_late"), number)
+        marked = mark_late(batch, lateness_seconds, order, before)
+        on_time(marked.filter(~F.col("is_late")).drop("is_late"), number)
+        late(marked.filter("is_late").drop("is_late"), number)
+        newest = F.greatest(F.max(F.unix_micros("ts")), F.lit(before).cast("long"))
+        batch.agg(newest.alias("newest")).withColumn("number", F.lit(number).cast("long")).write.mode("overwrite").parquet(slot(number))
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
