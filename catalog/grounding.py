@@ -128,36 +128,30 @@ def strict_verdicts(spark, sf_dir):
 
 
 def claim_repairs(spark, sf_dir):
-    """Explanations that copy a chunk's first sentence with every third word changed."""
+    """Explanations that copy a chunk sentence by sentence with every third word changed."""
     sources = links(spark, sf_dir)
-    words = T.split_words(F.get(T.sentences("text"), F.lit(0)))
-    changed = F.transform(words, lambda w, i: F.when(i % 3 == 0, F.lit("zz")).otherwise(w))
-    items = sources.select(F.col("chunk_id").alias("item_id"), F.regexp_replace(F.array_join(changed, " "), r"[.!?]", "").alias("explanation"))
+    changed = lambda s: F.array_join(F.transform(T.split_words(s), lambda w, i: F.when(i % 3 == 0, F.lit("zz")).otherwise(w)), " ")
+    told = F.transform(T.sentences("text"), lambda s: F.concat(F.regexp_replace(changed(s), r"[.!?]", ""), F.lit(".")))
+    items = sources.select(F.col("chunk_id").alias("item_id"), F.array_join(told, " ").alias("explanation"))
     own = sources.withColumn("item_id", F.col("chunk_id"))
     matched = C.match_claims(C.extract_claims(items), own, 0.3)
     return plain(C.repair_list(matched).select("item_id", "claim_pos", "claim", "source_text"))
 
 
 def _quote_inputs(spark, sf_dir):
-    """Each document with three required quotes: its own second sentence, its third in capitals
-    without end mark, the sentences of its benchmark item; and one id that does not exist."""
+    """Each document with all its sentences as required quotes, every second one without its end mark,
+    all sentences of its benchmark item, and one id that does not exist."""
     n = table(spark, sf_dir, "benchmark").count()
-    docs = table(spark, sf_dir, "documents").withColumn("s", T.sentences("text"))
-    texts = docs.select(
-        F.col("doc_id").alias("item_id"), F.col("text").alias("generated_text"),
-        F.when(F.col("doc_id") % 4 > 0, T.words_array(["Q1", "Q2", "Q3", "Q9"])).alias("required_quote_ids"),
-    )
-    own = docs.select(
-        F.col("doc_id").alias("item_id"),
-        F.inline(F.array(
-            F.struct(F.lit("Q1").alias("quote_id"), F.get("s", F.lit(1)).alias("text")),
-            F.struct(F.lit("Q2").alias("quote_id"), F.regexp_replace(F.get("s", F.lit(2)), r"[.!?]+$", " ").alias("text")),
-        )),
-    )
-    given = docs.select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % n).alias("b")).join(
-        table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), F.get(T.sentences("text"), F.lit(0)).alias("text")), "b"
-    ).select("item_id", F.lit("Q3").alias("quote_id"), "text")
-    return texts, own.unionByName(given).filter("text is not null")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", (F.col("doc_id") % n).alias("b"), T.sentences("text").alias("s"))
+    given = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), T.sentences("text").alias("g"))
+    both = docs.join(given, "b", "left").withColumn("g", F.coalesce("g", T.words_array([])))
+    named = lambda c, kind: F.transform(c, lambda x, i: F.concat(F.lit(kind), i + 1))
+    every = F.concat(named("s", "Q"), named("g", "B"), F.array(F.lit("none")))
+    texts = both.select("item_id", F.col("text").alias("generated_text"), F.when(F.col("item_id") % 4 > 0, every).alias("required_quote_ids"))
+    bare = lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, r"[.!?]+$", " ")).otherwise(x)
+    own = docs.select("item_id", F.posexplode("s").alias("i", "x")).select("item_id", F.concat(F.lit("Q"), F.col("i") + 1).alias("quote_id"), bare(F.col("x"), F.col("i")).alias("text"))
+    lent = both.select("item_id", F.posexplode("g").alias("i", "text")).select("item_id", F.concat(F.lit("B"), F.col("i") + 1).alias("quote_id"), "text")
+    return texts, own.unionByName(lent)
 
 
 def quote_verify(spark, sf_dir):
@@ -172,10 +166,13 @@ def quote_verify_fuzzy(spark, sf_dir):
 
 _PLAIN = "trim(lower(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', '', 'g')))"
 _QUOTE_TABLES = f"""
-WITH d AS (SELECT doc_id AS item_id, text, {sql_sentences('text')} AS s, CASE WHEN doc_id % 4 > 0 THEN ['Q1', 'Q2', 'Q3', 'Q9'] END AS required FROM documents),
-q AS (SELECT item_id, 'Q1' AS id, s[2] AS t FROM d UNION ALL SELECT item_id, 'Q2', regexp_replace(s[3], '[.!?]+$', ' ') FROM d
-      UNION ALL SELECT d.item_id, 'Q3', ({sql_sentences('b.text')})[1] FROM d JOIN benchmark b ON b.item_id = d.item_id % (SELECT count(*) FROM benchmark)),
-known AS (SELECT * FROM q WHERE t IS NOT NULL),
+WITH g AS (SELECT item_id AS b, {sql_sentences('text')} AS g FROM benchmark),
+d AS (SELECT doc_id AS item_id, text, s, coalesce(g, []) AS g, CASE WHEN doc_id % 4 > 0 THEN
+  list_concat(list_concat(list_transform(s, lambda z, i: 'Q' || i), list_transform(coalesce(g, []), lambda z, i: 'B' || i)), ['none']) END AS required
+  FROM (SELECT *, {sql_sentences('text')} AS s FROM documents) LEFT JOIN g ON b = doc_id % (SELECT count(*) FROM benchmark)),
+known AS (
+  SELECT item_id, 'Q' || i AS id, CASE WHEN i % 2 = 0 THEN regexp_replace(t, '[.!?]+$', ' ') ELSE t END AS t FROM (SELECT item_id, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM d)
+  UNION ALL SELECT item_id, 'B' || generate_subscripts(g, 1), unnest(g) FROM d),
 need AS (SELECT item_id, unnest(required) AS id FROM d WHERE required IS NOT NULL UNION ALL SELECT k.item_id, id FROM known k JOIN d USING (item_id) WHERE required IS NULL),
 p AS (SELECT n.item_id, n.id, lower(trim(k.t)) AS q, lower(d.text) AS low, coalesce(contains(d.text, trim(k.t)), false) AS exact,
         coalesce(contains({_PLAIN.format(x='d.text')}, {_PLAIN.format(x='k.t')}), false) AS plain
@@ -187,22 +184,24 @@ SELECT d.item_id, count(c.id) AS required_count, count(*) FILTER (exact) AS exac
 FROM d LEFT JOIN c USING (item_id) GROUP BY 1
 """
 SQL_QUOTES = f"{_QUOTE_TABLES}, c AS (SELECT item_id, id, exact, plain AS near FROM p) {_QUOTE_COUNTS}"
-# every window of the quote's length, first with all characters beyond ASCII taken for one (a bound), then exactly
+# every window of the quote's length, in blocks of 256, first with all characters beyond ASCII taken for one (a bound), then exactly
 SQL_QUOTES_FUZZY = f"""{_QUOTE_TABLES},
 s AS MATERIALIZED (SELECT *, length(q) AS n, regexp_replace(q, '[^\\x00-\\x7F]', '?', 'g') AS q7, rpad(regexp_replace(low, '[^\\x00-\\x7F]', '?', 'g'), greatest(length(low), length(q))::INT, chr(1)) AS low7
       FROM p WHERE NOT exact AND NOT plain AND q <> '' AND low <> ''),
-w AS (SELECT item_id, id, i FROM (SELECT item_id, id, n, q7, low7 FROM s), unnest(range(1, length(low7) - n + 2)) AS u(i) WHERE (n - hamming(substr(low7, i, n), q7)) / n >= 0.85),
+blk AS MATERIALIZED (SELECT item_id, id, n, q7, o, substr(low7, o + 1, 255 + n) AS piece FROM s, unnest(range(0, length(low7), 256)) AS u(o)),
+w AS (SELECT item_id, id, o + i AS i FROM blk, unnest(range(1, length(piece) - n + 2)) AS u(i) WHERE (n - hamming(substr(piece, i, n), q7)) / n >= 0.85),
 reached AS (SELECT DISTINCT item_id, id FROM w JOIN s USING (item_id, id) WHERE len(list_filter(range(1, n + 1), lambda j: substr(low, i + j - 1, 1) <> '' AND substr(low, i + j - 1, 1) = substr(q, j, 1))) / n >= 0.85),
 c AS (SELECT p.item_id, p.id, exact, plain OR reached.id IS NOT NULL AS near FROM p LEFT JOIN reached ON reached.item_id = p.item_id AND reached.id = p.id) {_QUOTE_COUNTS}"""
 
 
 def quote_offsets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("q", F.get(T.sentences("text"), F.lit(1))).filter("q is not null")
+    """Every sentence at its first place in the text, in every second document one character off."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(T.sentences("text")).alias("quote_pos", "q"))
     at = F.position(F.col("q"), F.col("text")) - 1
     shifted = at + (F.col("doc_id") % 2).cast("int")
     ok = Q.verify_offsets("q", shifted, shifted + F.length("q"), "text")
     free = Q.verify_offsets("q", F.lit(-1), F.lit(-1), "text")
-    return plain(docs.select("doc_id", ok.alias("by_offset"), free.alias("by_text")))
+    return plain(docs.select("doc_id", "quote_pos", ok.alias("by_offset"), free.alias("by_text")))
 
 
 ANCHOR_LEXICON = {"action_words": ["that", "with", "for"], "factual_pattern": r"\b(?:is a|is the|are the)\b"}
@@ -213,11 +212,17 @@ def anchor_select(spark, sf_dir):
 
 
 def anchor_usage(spark, sf_dir):
-    """Do the documents reuse wording of the first sentences of their benchmark item?"""
-    questions = links(spark, sf_dir).select(F.col("chunk_id").alias("item_id"), F.lit("").alias("correct_answer"), F.col("text").alias("explanation"), F.col("item_id").alias("b"))
-    first = source_items(spark, sf_dir).select(F.col("item_id").alias("b"), F.explode(F.slice(T.sentences("explanation"), 1, 2)).alias("anchor_text"))
-    anchors = questions.join(first, "b").select("item_id", "anchor_text")
-    return plain(A.anchor_usage(questions.drop("b"), anchors))
+    """Do the documents reuse wording of the sentences of their benchmark item? Every second one is
+    followed by that item's text with every fifth word changed."""
+    sources = source_items(spark, sf_dir).select(F.col("item_id").alias("b"), F.col("explanation").alias("given"))
+    told = F.array_join(F.transform(T.split_words("given"), lambda w, i: F.when(i % 5 == 4, F.lit("zz")).otherwise(w)), " ")
+    rows = links(spark, sf_dir).withColumnRenamed("item_id", "b").join(sources, "b")
+    questions = rows.select(
+        F.col("chunk_id").alias("item_id"), F.lit("").alias("correct_answer"),
+        F.when(F.col("chunk_id") % 2 == 0, F.concat_ws(" ", "text", told)).otherwise(F.col("text")).alias("explanation"),
+    )
+    anchors = rows.select(F.col("chunk_id").alias("item_id"), F.explode(T.sentences("given")).alias("anchor_text"))
+    return plain(A.anchor_usage(questions, anchors))
 
 
 QUERIES = {
@@ -258,20 +263,21 @@ v AS (SELECT i.item_id, coalesce(p, 0) AS p, coalesce(r, 0) AS r, coalesce(x, 0)
 SELECT item_id, CASE WHEN k > 0 OR x > p THEN 'reject' WHEN r > 0 THEN 'repair' ELSE 'pass' END AS status, p AS pass_count, r AS repair_count, x AS reject_count,
   CASE WHEN k > 0 THEN 'critical_claims' WHEN x > p THEN 'too_many_unverified' ELSE '' END AS rejection_reason FROM v"""),
     "claim_repairs": (claim_repairs, f"""
-WITH w AS (SELECT doc_id AS item_id, {sql_words(f"({sql_sentences('text')})[1]")} AS w FROM documents),
-source_items AS (SELECT item_id, regexp_replace(array_to_string(list_transform(w, lambda z, i: CASE WHEN (i - 1) % 3 = 0 THEN 'zz' ELSE z END), ' '), '[.!?]', '', 'g') AS explanation FROM w),
+WITH w AS (SELECT doc_id AS item_id, generate_subscripts(s, 1) AS n, {sql_words('unnest(s)')} AS w FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents)),
+source_items AS (SELECT item_id, string_agg(regexp_replace(array_to_string(list_transform(w, lambda z, i: CASE WHEN (i - 1) % 3 = 0 THEN 'zz' ELSE z END), ' '), '[.!?]', '', 'g') || '.', ' ' ORDER BY n) AS explanation FROM w GROUP BY 1),
 links AS (SELECT doc_id AS item_id, doc_id AS chunk_id, 0 AS chunk_pos, text FROM documents), {_claims_sql('source_items')}, {_match_sql(0.3)}
 SELECT item_id, claim_pos, claim[1:100] AS claim, part AS source_text FROM judged WHERE status = 'repair' AND part IS NOT NULL"""),
     "quote_verify": (quote_verify, SQL_QUOTES),
     "quote_verify_fuzzy": (quote_verify_fuzzy, SQL_QUOTES_FUZZY),
     "quote_offsets": (quote_offsets, f"""
-WITH d AS (SELECT doc_id, text, ({sql_sentences('text')})[2] AS q FROM documents)
-SELECT doc_id, substr(text, position(q IN text) + doc_id % 2, length(q)) = q AS by_offset, contains(text, q) AS by_text FROM d WHERE q IS NOT NULL"""),
+WITH d AS (SELECT doc_id, text, unnest(s) AS q, generate_subscripts(s, 1) - 1 AS quote_pos FROM (SELECT *, {sql_sentences('text')} AS s FROM documents))
+SELECT doc_id, quote_pos, substr(text, position(q IN text) + doc_id % 2, length(q)) = q AS by_offset, contains(text, q) AS by_text FROM d"""),
     "anchor_select": (anchor_select, None),
     "anchor_usage": (anchor_usage, f"""
 WITH {SQL_SOURCE_ITEMS}, {SQL_LINKS},
-a AS (SELECT l.chunk_id AS item_id, ' ' || lower(l.text) AS low, {sql_words('lower(anchor)')} AS w
-      FROM links l JOIN (SELECT item_id, unnest(({sql_sentences('explanation')})[1:2]) AS anchor FROM source_items) s USING (item_id)),
+a AS (SELECT l.chunk_id AS item_id, ' ' || lower(CASE WHEN l.chunk_id % 2 = 0 THEN concat_ws(' ', l.text, told) ELSE l.text END) AS low, {sql_words('lower(anchor)')} AS w
+      FROM links l JOIN (SELECT item_id, unnest({sql_sentences('explanation')}) AS anchor,
+        array_to_string(list_transform({sql_words('explanation')}, lambda z, i: CASE WHEN i % 5 = 0 THEN 'zz' ELSE z END), ' ') AS told FROM source_items) s USING (item_id)),
 k AS (SELECT *, row_number() OVER () AS id FROM a),
 run AS (SELECT id, low, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM k, unnest(range(3, len(w) + 1)) AS u(n), unnest(range(1, len(w) - n + 2)) AS v(i)),
 hit AS (SELECT id, arg_min(phrase, n * 1000 + i) AS phrase FROM run WHERE length(phrase) >= 15 AND contains(low, phrase) GROUP BY 1)

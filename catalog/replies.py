@@ -82,7 +82,7 @@ def overview_ingest(spark, sf_dir):
     rows = _turns(spark, sf_dir).select(
         F.col("item_id").alias("course_id"), "item_id",
         as_json_reply(
-            F.struct(F.substring("text", 1, 30).alias("course_description"), F.lit(12.5).alias("total_estimated_study_hours")).alias("overview"),
+            F.struct(F.col("text").alias("course_description"), F.lit(12.5).alias("total_estimated_study_hours")).alias("overview"),
             F.array(F.struct(F.when(F.col("item_id") % 4 > 0, F.lit("MCQ")).alias("question_type_name"))).alias("question_type_guides"),
         ).alias("reply"),
     )
@@ -93,7 +93,7 @@ def overview_ingest(spark, sf_dir):
 def distractor_ingest(spark, sf_dir):
     rows = _turns(spark, sf_dir)
     row = lambda p, pattern: F.struct(p.alias("text"), pattern.alias("pattern"), F.lit(None).cast("double").alias("plausibility"))
-    reply = as_json_reply(F.array(row(F.col("role"), F.lit("opposite")), row(F.substring("text", 1, 9), F.when(F.col("turn") % 2 == 0, "nonsense").otherwise("wrong_sequence"))).alias("distractors"))
+    reply = as_json_reply(F.array(row(F.col("role"), F.lit("opposite")), row(F.col("text"), F.when(F.col("turn") % 2 == 0, "nonsense").otherwise("wrong_sequence"))).alias("distractors"))
     replies = rows.select("item_id", F.when(F.col("turn") % 3 == 0, "advanced").otherwise("beginner").alias("difficulty"), _cut(reply).alias("reply"))
     out = D.ingest_distractors(replies)
     return plain(out.select("item_id", "success", "balance_check", F.transform("distractors", lambda d: d["pattern"]).alias("patterns"), F.transform("distractors", lambda d: F.round(d["plausibility"], 1).cast("string")).alias("plausibility")))
@@ -109,15 +109,15 @@ def _plan_replies(spark, sf_dir):
         wrong(2, text("unheard_of"), F.when(n % 3 == 0, "").otherwise("the patient is far away"), F.when(n % 4 > 0, "hurry")),
         wrong(3, text("wrong_sequence"), text("dispatch was called"), text("order")),
     )
-    locks = F.array(F.struct(F.when(t % 2 == 0, "nothing").otherwise("time").alias("lock_type"), F.substring("text", 1, 60).alias("constraint_text"), T.words_array(["wrong 1", "wrong 2 and more"]).alias("eliminates_options")))
+    locks = F.array(F.struct(F.when(t % 2 == 0, "nothing").otherwise("time").alias("lock_type"), F.col("text").alias("constraint_text"), T.words_array(["wrong 1", "wrong 2 and more"]).alias("eliminates_options")))
     reply = as_json_reply(
         F.when(t % 3 == 0, "first_action").when(t % 3 == 1, "strange").otherwise("definition").alias("question_type"),
         F.when(n % 7 > 0, locks).alias("decision_locks"), F.lit("Do it").alias("correct_option_text"),
-        F.when(n % 11 > 0, F.concat(F.lit("It is always so: "), F.substring("text", 1, 40))).alias("discriminating_factor"),
+        F.when(n % 11 > 0, F.concat(F.lit("It is always so: "), "text")).alias("discriminating_factor"),
         F.array(F.struct(F.lit("Q1").alias("quote_id"), F.lit("claim").alias("supports_claim")), F.struct(F.concat(F.lit("Q"), (n % 3).cast("string")).alias("quote_id"), F.lit("x").alias("supports_claim"))).alias("support_mapping"),
         distractors.alias("distractors"), T.words_array(["a"]).alias("scope_tags"),
     )
-    return rows.select("item_id", F.substring("text", 1, 50).alias("learning_target"), _cut(reply).alias("reply"), F.col("text").alias("stem"))
+    return rows.select("item_id", F.col("text").alias("learning_target"), _cut(reply).alias("reply"), F.coalesce(F.get(T.sentences("text"), F.lit(0)), F.lit("")).alias("stem"))
 
 
 def _quote_table(spark, sf_dir):
@@ -147,8 +147,8 @@ def strict_ambiguity(spark, sf_dir):
 def query_plan_ingest(spark, sf_dir):
     rows = _turns(spark, sf_dir)
     query = lambda text, intent: F.struct(text.alias("query_text"), intent.alias("intent"))
-    reply = as_json_reply(F.array(query(F.substring("text", 1, 20), F.lit("quote_hunt")), query(F.col("role"), F.when(F.col("turn") % 2 == 0, "other").otherwise("synonym_variant")), query(F.lit("x"), F.lit("scenario_context"))).alias("queries"))
-    replies = rows.select("item_id", F.substring("text", 1, 60).alias("learning_target"), F.lit("Topic").alias("topic_name"), F.col("role").alias("subtopic_name"), _cut(reply).alias("reply"))
+    reply = as_json_reply(F.array(query(F.col("text"), F.lit("quote_hunt")), query(F.col("role"), F.when(F.col("turn") % 2 == 0, "other").otherwise("synonym_variant")), query(F.lit("x"), F.lit("scenario_context"))).alias("queries"))
+    replies = rows.select("item_id", F.col("text").alias("learning_target"), F.lit("Topic").alias("topic_name"), F.col("role").alias("subtopic_name"), _cut(reply).alias("reply"))
     plans = P.query_plans_or_fallback(replies)
     precise = P.precision_queries(plans).select("item_id", F.lit("precise").alias("kind"), "plan_pos", "query_text", "priority")
     broad = P.broadening_queries(plans).select("item_id", F.lit("broad").alias("kind"), "plan_pos", "query_text", "priority")
@@ -242,7 +242,7 @@ def weight_repair(spark, sf_dir):
 def question_parse(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("s", T.sentences("text"))
     kind = F.when(F.col("turn") % 2 == 0, "Multiple Choice").otherwise("multiple-response")
-    choices = F.transform(F.slice("s", 1, 4), lambda x, i: F.struct(F.chr(i + 65).alias("label"), x.alias("text"), (i == 1).alias("is_correct")))
+    choices = F.transform("s", lambda x, i: F.struct(F.chr(i + 65).alias("label"), x.alias("text"), (i == 1).alias("is_correct")))
     reply = as_json_reply(kind.alias("question_type"), F.get("s", F.lit(0)).alias("stem"), choices.alias("choices"), F.lit("B").alias("correct_label"), T.words_array(["A", "B"]).alias("correct_labels"), F.array(F.lit(1), F.lit(5), F.lit(0)).alias("source_indices"))
     parsed = Qn.parse_questions(rows.select("item_id", "role", _cut(reply).alias("reply")))
     sources = Qn.attach_sources("source_indices", F.array("role", F.lit("second")))
@@ -253,8 +253,8 @@ def question_parse(spark, sf_dir):
 
 
 def type_registry(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    known = table(spark, sf_dir, "part").filter("p_size > 30").select(F.regexp_replace("p_name", " ", "_").alias("question_type")).distinct().withColumn(
+    names = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", F.lower("p_type"))).alias("name"))
+    known = table(spark, sf_dir, "part").select(F.regexp_replace("p_name", " ", "_").alias("question_type")).distinct().withColumn(
         "definition", F.struct(T.words_array(["stem"]).alias("fields"), F.lit(4).alias("choice_count"), F.lit("all_or_nothing").alias("scoring"))
     )
     return plain(Qn.extend_registry(known, names).select("question_type", "definition.scoring"))
@@ -271,13 +271,13 @@ def content_requests(spark, sf_dir):
 
 def anchored_requests(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("s", T.sentences("text"))
-    anchor = F.transform(F.slice("s", 1, 2), lambda x: F.struct(x.alias("text"), F.array(F.lit(1), F.lit(2)).alias("page_numbers")))
+    anchor = F.transform("s", lambda x: F.struct(x.alias("text"), F.array(F.lit(1), F.lit(2)).alias("page_numbers")))
     items = rows.select("item_id", F.col("role").alias("learning_target"), F.lit("advanced").alias("difficulty"), anchor.alias("anchors"), F.array(F.struct(F.col("text"), F.array().cast("array<int>").alias("pages"))).alias("chunks"))
     return plain(Req.anchored_requests(items).select("item_id", F.md5("request").alias("digest"), "tokens"))
 
 
 def query_requests(spark, sf_dir):
-    rows = _turns(spark, sf_dir).select("item_id", F.lit("T").alias("topic_name"), F.col("role").alias("subtopic_name"), F.substring("text", 1, 40).alias("learning_target"), F.when(F.col("turn") > 0, T.split_words("text")).alias("sections"))
+    rows = _turns(spark, sf_dir).select("item_id", F.lit("T").alias("topic_name"), F.col("role").alias("subtopic_name"), F.col("text").alias("learning_target"), F.when(F.col("turn") > 0, T.split_words("text")).alias("sections"))
     return plain(Req.query_requests(rows).select("item_id", F.md5("request").alias("digest"), "tokens"))
 
 
@@ -285,7 +285,7 @@ def quote_blocks(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("s", T.sentences("text"))
     quotes = F.transform("s", lambda x, i: F.struct(F.concat(F.lit("Q"), i + 1).alias("quote_id"), x.alias("text"), F.array(i).alias("page_numbers"), F.when(i % 2 == 0, F.col("role")).alias("section_heading")))
     some = F.when(F.col("turn") > 0, quotes)
-    return plain(rows.select("item_id", F.md5(Req.quote_block(some)).alias("digest"), F.md5(Req.lettered_options(F.slice("s", 1, 4))).alias("letters"), F.md5(Req.option_list(F.slice("s", 1, 4))).alias("numbers")))
+    return plain(rows.select("item_id", F.md5(Req.quote_block(some)).alias("digest"), F.md5(Req.lettered_options("s")).alias("letters"), F.md5(Req.option_list("s")).alias("numbers")))
 
 
 _ITEM = "conv_id * 100 + turn"
@@ -309,7 +309,7 @@ WITH {SQL_TURNS}
 SELECT item_id AS parent_id, unnest(['lab_1', 'lab_2']) AS entry, md5(s[1]) AS note, 1::BIGINT AS tools FROM turns WHERE item_id % 5 > 0 AND item_id % 7 > 0 AND len(s) > 0
 UNION ALL SELECT item_id, 'failed', CASE WHEN item_id % 5 = 0 THEN 'reply is not a JSON object' ELSE 'required key missing' END, -1 FROM turns WHERE item_id % 5 = 0 OR item_id % 7 = 0 OR len(s) = 0"""),
     "overview_ingest": (overview_ingest, f"""
-SELECT {_ITEM} AS course_id, ({_ITEM}) % 4 > 0 AS success, CASE WHEN ({_ITEM}) % 4 > 0 THEN text[1:30] ELSE '' END AS description, CASE WHEN ({_ITEM}) % 4 > 0 THEN 1 ELSE 0 END::BIGINT AS guides FROM conversations"""),
+SELECT {_ITEM} AS course_id, ({_ITEM}) % 4 > 0 AS success, CASE WHEN ({_ITEM}) % 4 > 0 THEN coalesce(text, '') ELSE '' END AS description, CASE WHEN ({_ITEM}) % 4 > 0 THEN 1 ELSE 0 END::BIGINT AS guides FROM conversations"""),
     "distractor_ingest": (distractor_ingest, f"""
 WITH r AS (SELECT {_ITEM} AS item_id, {_OK} AS ok, turn % 3 = 0 AS adv, CASE WHEN turn % 2 = 0 THEN 'incomplete' ELSE 'wrong_sequence' END AS p2 FROM conversations)
 SELECT item_id, ok AS success, CASE WHEN NOT ok THEN 'Generation failed' WHEN adv THEN 'Forbidden pattern used: opposite; Advanced has ' || CASE WHEN p2 = 'incomplete' THEN 2 ELSE 1 END || ' non-sequence distractors'
@@ -324,20 +324,20 @@ SELECT item_id, CASE WHEN NOT ok THEN 'factual' WHEN turn % 3 = 0 THEN 'first_ac
   CASE WHEN ok AND item_id % 7 > 0 THEN CASE WHEN turn % 2 = 0 THEN 'feasibility' ELSE 'time' END ELSE '' END AS lock_types FROM r"""),
     "plan_issues": (plan_issues, f"""
 WITH r AS (SELECT {_ITEM} AS item_id, {_OK} AS ok, turn, turn % 2 = 0 AS has, text FROM conversations),
-i AS (SELECT item_id, ok, list_filter(CASE WHEN ok THEN [
+i AS (SELECT item_id, ok, text, list_filter(CASE WHEN ok THEN [
     CASE WHEN NOT has THEN 'unknown_quote: Q1' END, CASE WHEN NOT (has AND item_id % 3 = 1) THEN 'unknown_quote: Q' || item_id % 3 END,
     CASE WHEN turn % 3 = 0 AND item_id % 7 = 0 THEN 'missing_decision_lock' END, CASE WHEN item_id % 2 = 0 THEN 'shared_failure_reason: too_generic' END,
     CASE WHEN item_id % 3 = 0 THEN 'missing_stem_fact: 2' END, CASE WHEN item_id % 11 = 0 THEN 'missing_discriminating_factor' END]
   ELSE [CASE WHEN NOT has THEN 'no_support_mapping' END, 'missing_stem_fact: 1', 'missing_stem_fact: 2', 'missing_stem_fact: 3', 'missing_discriminating_factor', 'missing_correct_option'] END, lambda z: z IS NOT NULL) AS x,
   list_filter(CASE WHEN ok THEN [
     CASE WHEN turn % 3 = 0 AND item_id % 7 = 0 THEN 'not_eliminated: 1' END, CASE WHEN turn % 3 = 0 AND item_id % 7 = 0 THEN 'not_eliminated: 2' END, CASE WHEN turn % 3 = 0 THEN 'not_eliminated: 3' END,
-    CASE WHEN item_id % 4 = 0 THEN 'no_plausibility: 2' END, CASE WHEN item_id % 11 > 0 THEN 'vague_factor: always' END]
+    CASE WHEN item_id % 4 = 0 THEN 'no_plausibility: 2' END, CASE WHEN item_id % 11 > 0 THEN 'vague_factor: ' || list_filter({sql_list(lex.PLAN_VAGUE_PHRASES)}, lambda z: contains(lower('It is always so: ' || text), z))[1] END]
   ELSE ['no_plausibility: 1', 'no_plausibility: 2', 'no_plausibility: 3'] END, lambda z: z IS NOT NULL) AS y FROM r)
 SELECT item_id, coalesce(array_to_string(x, '|'), '') AS issues, coalesce(array_to_string(y, '|'), '') AS ambiguity FROM i"""),
     "strict_ambiguity": (strict_ambiguity, f"""
-WITH r AS (SELECT {_ITEM} AS item_id, turn, text, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS words FROM conversations WHERE {_OK}),
-f AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text[1:60]), '[\\p{{L}}\\p{{N}}_]{{4,}}')), lambda z: NOT list_contains({sql_list(lex.LOCK_STOP_WORDS)}, z)) AS lw,
-  CASE WHEN item_id % 11 > 0 THEN lower('It is always so: ' || text[1:40]) ELSE '' END AS factor FROM r),
+WITH r AS (SELECT {_ITEM} AS item_id, turn, text, list_distinct(regexp_extract_all(lower(coalesce(({sql_sentences('text')})[1], '')), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS words FROM conversations WHERE {_OK}),
+f AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{4,}}')), lambda z: NOT list_contains({sql_list(lex.LOCK_STOP_WORDS)}, z)) AS lw,
+  CASE WHEN item_id % 11 > 0 THEN lower('It is always so: ' || text) ELSE '' END AS factor FROM r),
 g AS (SELECT *, list_filter(list_distinct(regexp_extract_all(factor, '[\\p{{L}}\\p{{N}}_]{{4,}}')), lambda z: NOT list_contains({sql_list(lex.FACTOR_STOP_WORDS)}, z)) AS fw FROM f),
 c AS (SELECT item_id,
   CASE WHEN turn % 3 > 0 THEN 0 WHEN item_id % 7 = 0 THEN 1 WHEN len(lw) < 2 THEN 0 ELSE (len(list_intersect(lw, words))::DOUBLE / len(lw) < 0.4)::INT END AS a,
@@ -346,7 +346,7 @@ c AS (SELECT item_id,
 SELECT item_id, a::BIGINT AS lock_issues, coalesce(array_to_string(b, '|'), '') AS distractor_issues, d::BIGINT AS factor_issues, a + len(b) + d = 0 AS passes,
   round(CASE WHEN a + len(b) + d = 0 THEN 0.8 ELSE greatest(0.3, 1 - (a + len(b) + d) * 0.2) END, 6)::DOUBLE AS confidence FROM c"""),
     "query_plan_ingest": (query_plan_ingest, f"""
-WITH r AS (SELECT {_ITEM} AS item_id, {_OK} AS ok, turn, role, text[1:60] AS t, text[1:20] AS q FROM conversations),
+WITH r AS (SELECT {_ITEM} AS item_id, {_OK} AS ok, turn, role, text AS t FROM conversations),
 p AS (SELECT item_id, 'precise' AS kind, unnest([0, 1]) AS plan_pos, unnest(['Topic ' || role || ' ' || t, t]) AS query_text, 1 AS priority FROM r WHERE NOT ok
   UNION ALL SELECT item_id, 'broad', 3, role || ' procedures assessment', 2 FROM r WHERE NOT ok
   UNION ALL SELECT item_id, CASE WHEN turn % 2 = 0 THEN 'precise' ELSE 'broad' END, 1, role, 1 FROM r WHERE ok
@@ -383,10 +383,10 @@ SELECT 'Exam ' || ({_ITEM}) AS certification_name, 15::BIGINT AS lines, 'Questio
 SELECT {_ITEM} AS item_id, CASE ({_ITEM}) % 4 WHEN 0 THEN 25 WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN 12 ELSE 15 END ELSE 30 END::DOUBLE AS weight FROM conversations"""),
     "question_parse": (question_parse, f"""
 WITH {SQL_TURNS}
-SELECT item_id, CASE WHEN turn % 2 = 0 THEN 'multiple_choice' ELSE 'multiple_response' END AS question_type, CASE WHEN turn % 2 = 0 THEN len(s[1:4]) ELSE -1 END::BIGINT AS single_choices,
+SELECT item_id, CASE WHEN turn % 2 = 0 THEN 'multiple_choice' ELSE 'multiple_response' END AS question_type, CASE WHEN turn % 2 = 0 THEN len(s) ELSE -1 END::BIGINT AS single_choices,
   CASE WHEN turn % 2 = 0 THEN 'B' ELSE '' END AS label, CASE WHEN turn % 2 = 0 THEN '' ELSE 'A,B' END AS labels, 'second|' || role AS sources FROM turns WHERE item_id % 5 > 0"""),
     "type_registry": (type_registry, """
-WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS question_type FROM part), k AS (SELECT DISTINCT replace(p_name, ' ', '_') AS question_type FROM part WHERE p_size > 30)
+WITH k AS (SELECT DISTINCT replace(p_name, ' ', '_') AS question_type FROM part), n AS (SELECT question_type FROM k UNION SELECT lower(replace(p_type, ' ', '_')) FROM part)
 SELECT question_type, CASE WHEN question_type IN (SELECT question_type FROM k) THEN 'all_or_nothing' ELSE 'manual' END AS scoring FROM n"""),
     "content_requests": (content_requests, f"""
 WITH {SQL_SOURCE_ITEMS}, {SQL_LINKS},
@@ -395,16 +395,16 @@ r AS (SELECT item_id, concat_ws(chr(10), 'Learning target: ' || learning_target,
 SELECT item_id, md5(r) AS digest, length(r) // 4 AS tokens FROM r"""),
     "anchored_requests": (anchored_requests, f"""
 WITH {SQL_TURNS},
-r AS (SELECT item_id, concat_ws(chr(10), 'Learning target: ' || role, 'Anchors:' || chr(10) || array_to_string(list_transform(s[1:2], lambda z, i: 'ANCHOR ' || i || ' (p.1, 2):' || chr(10) || '"' || z || '"'), chr(10) || chr(10)),
+r AS (SELECT item_id, concat_ws(chr(10), 'Learning target: ' || role, 'Anchors:' || chr(10) || array_to_string(list_transform(s, lambda z, i: 'ANCHOR ' || i || ' (p.1, 2):' || chr(10) || '"' || z || '"'), chr(10) || chr(10)),
   'Evidence:' || chr(10) || '[Source: p.N/A]' || chr(10) || text[1:500], 'Distractors: {Req.DIFFICULTY_GUIDES["advanced"]}') AS r FROM turns WHERE len(s) > 0)
 SELECT item_id, md5(r) AS digest, length(r) // 4 AS tokens FROM r"""),
     "query_requests": (query_requests, f"""
-WITH r AS (SELECT {_ITEM} AS item_id, concat_ws(chr(10), 'Topic: T', 'Subtopic: ' || role, 'Learning target: ' || text[1:40], 'Sections:' || chr(10) ||
+WITH r AS (SELECT {_ITEM} AS item_id, concat_ws(chr(10), 'Topic: T', 'Subtopic: ' || role, 'Learning target: ' || text, 'Sections:' || chr(10) ||
   CASE WHEN turn > 0 AND len({sql_words('text')}) > 0 THEN array_to_string(list_transform({sql_words('text')}[1:10], lambda z: '- ' || z), chr(10)) ELSE '(No section information available)' END) AS r FROM conversations)
 SELECT item_id, md5(r) AS digest, length(r) // 4 AS tokens FROM r"""),
     "quote_blocks": (quote_blocks, f"""
 WITH {SQL_TURNS}
 SELECT item_id, md5(CASE WHEN turn = 0 OR len(s) = 0 THEN '(No anchor quotes extracted)' ELSE array_to_string(list_transform(s[1:4], lambda z, i: '[Q' || i || '] (p.' || (i - 1) || ')' || CASE WHEN i % 2 = 1 THEN ' [' || role || ']' ELSE '' END || ':' || chr(10) || '"' || z || '"'), chr(10) || chr(10)) END) AS digest,
-  md5(coalesce(array_to_string(list_transform(s[1:4], lambda z, i: chr((64 + i)::INT) || '. ' || z), chr(10)), '')) AS letters,
-  md5(coalesce(array_to_string(list_transform(s[1:4], lambda z, i: (i - 1) || ') ' || z), chr(10)), '')) AS numbers FROM turns"""),
+  md5(coalesce(array_to_string(list_transform(s, lambda z, i: chr((64 + i)::INT) || '. ' || z), chr(10)), '')) AS letters,
+  md5(coalesce(array_to_string(list_transform(s, lambda z, i: (i - 1) || ') ' || z), chr(10)), '')) AS numbers FROM turns"""),
 }

@@ -144,7 +144,7 @@ def missing_supports(spark, sf_dir):
 def catalogue_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     wanted = part.select(F.col("p_partkey").alias("book_id"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_name")).otherwise("unknown").alias("title"), F.when(F.col("p_partkey") % 5 > 0, F.lower("p_brand")).otherwise("").alias("author"))
-    hits = part.filter("p_size > 25").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("hit_pos"), F.col("p_partkey").alias("hit_id"), F.concat(F.lit("by "), F.col("p_brand")).alias("hit_author"))
+    hits = part.select(F.col("p_name").alias("title"), F.col("p_partkey").alias("hit_pos"), F.col("p_partkey").alias("hit_id"), F.concat(F.lit("by "), F.col("p_brand")).alias("hit_author"))
     return plain(catalogue.match_books(wanted, hits))
 
 
@@ -154,10 +154,10 @@ def _image_inputs(spark, sf_dir):
         "item_id", "chunk_pos", ((F.col("chunk_id") * 7 % 100) / 100).alias("distance"),
         F.array(F.concat(F.lit("images/"), F.col("source"), F.lit(".png")), F.concat(F.lit("pics/"), F.col("lang"), F.lit(".jpg"))).alias("image_paths"),
     )
-    notes = rows.filter("chunk_pos < 2").select(
+    notes = rows.select(
         F.col("chunk_id").alias("annotation_pos"),
         F.when(F.col("chunk_id") % 3 == 0, F.concat("source", F.lit(".png"))).when(F.col("chunk_id") % 3 == 1, F.concat(F.lit("old/"), F.col("lang"), F.lit(".jpg"))).otherwise(F.concat(F.lit("images/"), F.col("source"), F.lit(".png"))).alias("path"),
-        F.array_join(F.slice(T.split_words("text"), 1, 8), " ").alias("description"),
+        F.array_join(T.split_words("text"), " ").alias("description"),
     )
     return chunks, source_items(spark, sf_dir), notes
 
@@ -182,7 +182,7 @@ image AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, path
 SQL_NOTES = f"""
 note0 AS (
   SELECT chunk_id AS pos, CASE chunk_id % 3 WHEN 0 THEN source || '.png' WHEN 1 THEN 'old/' || lang || '.jpg' ELSE 'images/' || source || '.png' END AS path,
-         array_to_string({sql_words('text')}[1:8], ' ') AS description FROM links WHERE chunk_pos < 2),
+         array_to_string({sql_words('text')}, ' ') AS description FROM links),
 note AS (SELECT path, max(pos) AS pos, arg_max(description, pos) AS description FROM note0 WHERE description <> '' GROUP BY 1),
 name AS (SELECT DISTINCT path, split_part(path, '/', 2) AS file FROM image),
 described AS (
@@ -194,11 +194,11 @@ described AS (
 
 
 def citation_merge(spark, sf_dir):
-    used = links(spark, sf_dir).filter("chunk_pos < 5").select(
+    used = links(spark, sf_dir).select(
         "item_id", "chunk_pos", F.col("source").alias("book_title"), F.col("lang").alias("book_author"),
         F.array((F.col("chunk_id") % 4).cast("int"), (F.col("chunk_id") % 3 + 4).cast("int")).alias("pages"),
     )
-    merged = metrics.merge_citations(used)
+    merged = metrics.merge_citations(used, first=5)
     return plain(merged.select("item_id", F.posexplode("citations").alias("place", "c")).select("item_id", "place", "c.book_title", "c.book_author", "c.pages"))
 
 
@@ -230,7 +230,7 @@ WITH s AS (SELECT doc_id AS item_id, unnest([0, 1])::BIGINT AS support_pos, unne
 SELECT item_id, support_pos, quote_id FROM s WHERE NOT (quote_id IN ('Q1', 'Q2') AND item_id IN (SELECT doc_id FROM labels))"""),
     "catalogue_match": (catalogue_match, """
 WITH w AS (SELECT p_partkey AS book_id, CASE WHEN p_partkey % 9 > 0 THEN p_name ELSE 'unknown' END AS title, CASE WHEN p_partkey % 5 > 0 THEN lower(p_brand) ELSE '' END AS author FROM part),
-h AS (SELECT p_name AS title, p_partkey AS hit_id, 'by ' || p_brand AS hit_author FROM part WHERE p_size > 25),
+h AS (SELECT p_name AS title, p_partkey AS hit_id, 'by ' || p_brand AS hit_author FROM part),
 r AS (SELECT w.*, h.hit_id, h.hit_author, row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN author <> '' AND contains(lower(hit_author), author) THEN 0 ELSE 1 END, hit_id) AS rn
       FROM w LEFT JOIN h USING (title))
 SELECT book_id, title, author, hit_id, hit_author, hit_id IS NOT NULL AS found FROM r WHERE rn = 1"""),

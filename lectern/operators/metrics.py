@@ -137,13 +137,14 @@ def metrics_report(metrics: DataFrame, title: str = "Quality metrics") -> DataFr
     return metrics.select("*", text.alias("report"))
 
 
-def merge_citations(used: DataFrame, keys: Sequence[str] = ("item_id",)) -> DataFrame:
+def merge_citations(used: DataFrame, keys: Sequence[str] = ("item_id",), first: int | None = None) -> DataFrame:
     """Citations of an item's chunks ``(keys, chunk_pos, book_title, book_author, pages)``.
 
     One citation per (title, author) in first-seen order. A first chunk gives its pages as they
     are; later ones of a known book add the pages that are new, to the first citation with that
-    title. An item uses a handful of chunks.
+    title. An item uses a handful of chunks; with ``first`` only its chunks of those first positions count.
     """
+    used = used if first is None else used.filter(F.col("chunk_pos") < first)
     ordered = used.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("chunk_pos", "book_title", "book_author", "pages"))).alias("c")
     )

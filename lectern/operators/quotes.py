@@ -188,16 +188,20 @@ def chunks_of_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
 # --- checking generated text --------------------------------------------------------
 
 
-def check_quote(text: ColumnLike, quote: ColumnLike, threshold: float = 0.85, score_missing: bool = True) -> Column:
+def check_quote(
+    text: ColumnLike, quote: ColumnLike, threshold: float = 0.85, score_missing: bool = True, plain_text: ColumnLike | None = None,
+) -> Column:
     """``struct<found, exact_match, match_text, similarity>`` for one quote in one text.
 
     Exact, then white space and punctuation aside (0.95), then fuzzy. The costly fuzzy search
     sees nulls for rows the cheap tests have settled. Without ``score_missing`` a quote that is not
     found has similarity 0, and rows without any seed of the quote are settled as well.
+    ``plain_text``: the text as :func:`T.normalize_for_matching` gives it, where that is known already.
     """
     text, quote = col(text), T.strip(quote)
     exact = text.contains(quote)
-    plain = T.normalize_for_matching(text).contains(T.normalize_for_matching(quote))
+    normal = T.normalize_for_matching(text) if plain_text is None else col(plain_text)
+    plain = normal.contains(T.normalize_for_matching(quote))
     open_row = ~exact & ~plain
     low_quote, low_text = F.lower(quote), F.lower(text)
     if score_missing:
@@ -215,11 +219,12 @@ def check_quote(text: ColumnLike, quote: ColumnLike, threshold: float = 0.85, sc
     )
 
 
-def check_quote_no_fuzzy(text: ColumnLike, quote: ColumnLike) -> Column:
+def check_quote_no_fuzzy(text: ColumnLike, quote: ColumnLike, plain_text: ColumnLike | None = None) -> Column:
     """The exact and normalised steps of :func:`check_quote` only, all inside the JVM."""
     text, quote = col(text), T.strip(quote)
     exact = text.contains(quote)
-    plain = T.normalize_for_matching(text).contains(T.normalize_for_matching(quote))
+    normal = T.normalize_for_matching(text) if plain_text is None else col(plain_text)
+    plain = normal.contains(T.normalize_for_matching(quote))
     return F.struct(
         (exact | plain).alias("found"),
         exact.alias("exact_match"),
@@ -236,22 +241,17 @@ def verify_quotes(
     ``texts(item_id, generated_text, required_quote_ids)`` with a null list meaning all of the
     item's quotes; ``quotes(item_id, quote_id, text)``. Unknown ids count as missing.
     """
-    named = (
-        texts.filter(F.col("required_quote_ids").isNotNull())
-        .select("item_id", "generated_text",
-                F.posexplode("required_quote_ids").alias("required_pos", "quote_id"))
-        .join(quotes.select("item_id", "quote_id", "text"), ["item_id", "quote_id"], "left")
-    )
-    everything = texts.filter(F.col("required_quote_ids").isNull()).join(
-        quotes.select("item_id", "quote_id", "text", F.col("quote_id").alias("required_pos")),
-        "item_id",
-    )
-    rows = named.withColumn("required_pos", F.col("required_pos").cast("string")).unionByName(
-        everything.drop("required_quote_ids").withColumn(
-            "required_pos", F.col("required_pos").cast("string")
-        )
+    known = quotes.select("item_id", "quote_id", "text")
+    asked = texts.filter(F.col("required_quote_ids").isNotNull())
+    named = asked.select("item_id", F.explode("required_quote_ids").alias("quote_id")).join(known, ["item_id", "quote_id"], "left")
+    free = texts.filter(F.col("required_quote_ids").isNull()).select("item_id")
+    # quotes are settled first, so a text meets its quotes once and never goes through a shuffle for each of them
+    whole = texts.select("item_id", "generated_text", T.normalize_for_matching("generated_text").alias("_plain"))
+    rows = named.unionByName(free.join(known, "item_id")).join(whole, "item_id")
+    check = (
+        check_quote("generated_text", "text", threshold, score_missing=False, plain_text="_plain") if fuzzy
+        else check_quote_no_fuzzy("generated_text", "text", "_plain")
     )
-    check = check_quote("generated_text", "text", threshold, score_missing=False) if fuzzy else check_quote_no_fuzzy("generated_text", "text")
     checked = rows.withColumn("check", check).withColumn(
         "known", F.col("text").isNotNull()
     )
