@@ -204,6 +204,12 @@ def covered_topics(spark, sf_dir):
     return plain(out.select("course_id", "module_pos", F.size("already_covered").alias("covered"), F.md5(F.array_join("already_covered", ",")).alias("digest")))
 
 
+def covered_ranges(spark, sf_dir):
+    """The same context as places in one list: nothing is repeated for later modules."""
+    names = H.flatten(courses(spark, sf_dir), "module").select("course_id", "module_pos", F.col("module.domain_name").alias("name"))
+    return plain(H.covered_ranges(names, ["course_id"], ["module_pos"]).select("course_id", "covered_end", "name"))
+
+
 def document_validation(spark, sf_dir):
     results = V.validate_documents(courses(spark, sf_dir))
     return plain(results.select("course_id", "entity_type", F.array_join("entity_path", "/").alias("path"), "overall_status"))
@@ -505,6 +511,8 @@ SELECT CASE WHEN length(sentence) > 60 THEN 'MCQ' ELSE 'MCQ,MR,HOTSPOT' END AS k
 WITH {SQL_LEVELS}
 SELECT m.doc_id AS course_id, m.mi AS module_pos, m.mi::BIGINT AS covered,
        md5(coalesce(array_to_string(list_transform(range(m.mi), lambda z: 'Module ' || z), ','), '')) AS digest FROM module m"""),
+    "covered_ranges": (covered_ranges, f"""
+WITH {SQL_LEVELS} SELECT doc_id AS course_id, mi::BIGINT AS covered_end, 'Module ' || mi AS name FROM module"""),
     "document_validation": (document_validation, f"""
 WITH {SQL_STATUS} SELECT doc_id AS course_id, entity_type, path, {SEVERITY}[s + 1] AS overall_status FROM visited"""),
     "validation_report": (validation_report, f"""

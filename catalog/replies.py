@@ -6,6 +6,7 @@ cut off so that the failure side has rows too.
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -19,9 +20,11 @@ from lectern.operators import distractors as D
 from lectern.operators import exam_format as E
 from lectern.operators import ingest as I
 from lectern.operators import item_plans as P
+from lectern.operators import metrics as M
 from lectern.operators import questions as Qn
 from lectern.operators import requests as Req
 from lectern.operators import validation as V
+from lectern.operators.durable import durable
 
 
 def _turns(spark, sf_dir):
@@ -252,6 +255,19 @@ def question_parse(spark, sf_dir):
     ))
 
 
+def stage_counts(spark, sf_dir):
+    """Counts of a stage, taken while its rows are written: questions by type, read and unread replies."""
+    rows = _turns(spark, sf_dir)
+    kind = F.when(F.col("turn") % 3 == 0, "Multiple Choice").when(F.col("turn") % 3 == 1, "ordering").otherwise("riddle")
+    replies = rows.select("item_id", _cut(as_json_reply(kind.alias("question_type"), F.col("text").alias("stem"))).alias("reply"))
+    read = Qn.parse_questions(replies).select("item_id", "question_type", F.lit(True).alias("success"))
+    unread = replies.filter(~R.is_object("reply")).select("item_id", F.lit(None).cast("string").alias("question_type"), F.lit(False).alias("success"))
+    seen = Observation()
+    durable(M.observe_stage(read.unionByName(unread), seen, kind="question_type", kinds=list(Qn.PAYLOADS)))
+    counts = [(name, int(n)) for name, n in seen.get.items()]
+    return spark.createDataFrame(counts, "measure string, n long")
+
+
 def type_registry(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", F.lower("p_type"))).alias("name"))
     known = table(spark, sf_dir, "part").select(F.regexp_replace("p_name", " ", "_").alias("question_type")).distinct().withColumn(
@@ -385,6 +401,12 @@ SELECT {_ITEM} AS item_id, CASE ({_ITEM}) % 4 WHEN 0 THEN 25 WHEN 1 THEN NULL WH
 WITH {SQL_TURNS}
 SELECT item_id, CASE WHEN turn % 2 = 0 THEN 'multiple_choice' ELSE 'multiple_response' END AS question_type, CASE WHEN turn % 2 = 0 THEN len(s) ELSE -1 END::BIGINT AS single_choices,
   CASE WHEN turn % 2 = 0 THEN 'B' ELSE '' END AS label, CASE WHEN turn % 2 = 0 THEN '' ELSE 'A,B' END AS labels, 'second|' || role AS sources FROM turns WHERE item_id % 5 > 0"""),
+    "stage_counts": (stage_counts, f"""
+WITH r AS (SELECT {_OK} AS ok, turn % 3 AS k FROM conversations)
+SELECT 'total' AS measure, count(*) AS n FROM r UNION ALL SELECT 'succeeded', count(*) FILTER (ok) FROM r UNION ALL SELECT 'failed', count(*) FILTER (NOT ok) FROM r
+UNION ALL SELECT 'multiple_choice', count(*) FILTER (ok AND k = 0) FROM r UNION ALL SELECT 'ordering', count(*) FILTER (ok AND k = 1) FROM r
+UNION ALL SELECT 'other', count(*) FILTER (NOT ok OR k = 2) FROM r
+UNION ALL SELECT unnest({sql_list([k for k in Qn.PAYLOADS if k not in ("multiple_choice", "ordering")])}), 0"""),
     "type_registry": (type_registry, """
 WITH k AS (SELECT DISTINCT replace(p_name, ' ', '_') AS question_type FROM part), n AS (SELECT question_type FROM k UNION SELECT lower(replace(p_type, ' ', '_')) FROM part)
 SELECT question_type, CASE WHEN question_type IN (SELECT question_type FROM k) THEN 'all_or_nothing' ELSE 'manual' END AS scoring FROM n"""),

@@ -11,7 +11,7 @@ from pyspark.sql import types as Ty
 from lectern.functions import text as T
 from lectern.functions.naming import entity_key
 from lectern.functions.text import ColumnLike, col
-from lectern.operators.durable import first_by
+from lectern.operators.durable import first_by, numbered
 
 # level, array that holds it in its parent, key of one entry
 LEVELS = (
@@ -372,6 +372,22 @@ def covered_before(names: DataFrame, scope: Sequence[str], position: str, name:
     return names.withColumn("already_covered", F.collect_list(name).over(before))
 
 
+def covered_ranges(names: DataFrame, scope: Sequence[str], position: Sequence[str]) -> DataFrame:
+    """Each row of ``names`` with ``covered_end``: the rows of its scope at places 0 to ``covered_end`` - 1 come
+    before it, its own place is ``covered_end``.
+
+    One row per name however long the scope is, where :func:`covered_before` repeats every prefix; a scope with a
+    third of all names is many tasks. Rows of equal position have places in either order.
+    """
+    return numbered(names, scope, position, "covered_end")
+
+
+def names_before(asked: DataFrame, ranges: DataFrame, scope: Sequence[str], name: str) -> DataFrame:
+    """The names that ``asked(scope, covered_end)`` come after, one row each: only for requests about to be written."""
+    listed = ranges.select(*scope, F.col("covered_end").alias("place"), name)
+    return asked.select(*scope, "covered_end").join(listed, list(scope)).filter("place < covered_end")
+
+
 def ordered_distinct(rows: DataFrame, key: Sequence[str], value: str, position: str) -> DataFrame:
     """Distinct values per key with their first position."""
     return rows.groupBy(*key, value).agg(F.min(position).alias("first_pos"))

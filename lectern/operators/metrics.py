@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lectern.functions.text import ColumnLike, col
@@ -173,3 +173,20 @@ def stage_summary(rows: DataFrame, keys: Sequence[str] = (), success: str = "suc
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col(success)).alias("succeeded"), F.count_if(~F.col(success)).alias("failed")
     )
+
+
+def observe_stage(
+    rows: DataFrame, observation: Observation | str, success: str = "success", kind: str | None = None, kinds: Sequence[str] = (),
+) -> DataFrame:
+    """``rows`` unchanged; while they are written, counts of a stage are taken in the same pass.
+
+    ``total, succeeded, failed`` (a null counts as failed), with ``kind`` also one count for each of the
+    fixed ``kinds`` and ``other`` for what is none of them. Batch: an ``Observation``, read by ``.get`` after the
+    action. Stream: a name; the counts are in the query's progress (:func:`lectern.streaming.jobs.observed_counts`).
+    """
+    good = F.coalesce(F.col(success), F.lit(False))
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed")]
+    if kind is not None:
+        counts += [F.count_if(F.col(kind) == k).alias(k) for k in kinds]
+        counts.append(F.count_if(~F.coalesce(F.col(kind).isin(list(kinds)), F.lit(False))).alias("other"))
+    return rows.observe(observation, *counts)

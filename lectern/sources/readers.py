@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lectern.functions.text import ColumnLike, col
 from lectern.sources import schemas as S
@@ -57,14 +60,39 @@ def page_blocks(value: ColumnLike) -> Column:
     return F.coalesce(F.transform(objects, block), F.expr(f"cast(array() as {S.BLOCKS})"))
 
 
-def pdf_files(spark: SparkSession, root: str) -> DataFrame:
-    """Inventory of PDFs with their validity; only the first bytes are looked at."""
+@F.pandas_udf(BinaryType())
+def _first_bytes(paths: pd.Series) -> pd.Series:
+    """The first five bytes of each named file; null where no file is named."""
+    stores: dict = {}
+
+    def start(path: str | None) -> bytes | None:
+        if path is None:
+            return None
+        scheme, rest = path.split(":", 1)
+        host, inner = ("", rest) if not rest.startswith("//") else rest[2:].partition("/")[::2]
+        if (scheme, host) not in stores:
+            stores[scheme, host] = (fs.LocalFileSystem(), "") if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        store, root = stores[scheme, host]
+        with store.open_input_file(f"{root.rstrip('/')}/{inner.lstrip('/')}") as f:
+            return f.read(5)
+
+    return paths.map(start, na_action="ignore").astype(object)
+
+
+def pdf_files(spark: SparkSession, root: str, through_spark: bool = False) -> DataFrame:
+    """Inventory of PDFs with their validity.
+
+    Spark lists the files and reads none; tasks then read five bytes of each that is large enough. With
+    ``through_spark`` its reader reads them whole, for stores that :mod:`pyarrow.fs` does not reach (and for files
+    of up to 2 GB). Empty files are not listed.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
     )
+    start = F.col("content") if through_spark else _first_bytes(F.when(F.col("length") > LEAST_PDF_BYTES, F.col("path")))
     return files.select(
         "path", _stem("path").alias("title"), F.lit("Unknown").alias("author"), "length", "modificationTime",
-        is_valid_pdf("length", "content").alias("is_valid"),
+        F.coalesce(is_valid_pdf("length", start), F.lit(False)).alias("is_valid"),
     )
 
 

@@ -13,7 +13,9 @@ from lectern.operators.chunking import chunk_books, stable_chunk_ids
 from lectern.operators.durable import durable
 from lectern.operators.learner import finish_sessions, session_measures
 from lectern.operators.metrics import measures, ratio
+from lectern.operators.novelty import greedy_dedup
 from lectern.sources.store import upsert_collections
+from lectern.sources.versioned import VersionedTable
 
 BOOK_ROWS = (
     "book_id string, collection string, markdown string, blocks array<struct<text:string,page_idx:int>>,"
@@ -117,3 +119,46 @@ def write_with_late_rows(
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_novelty(items: DataFrame, registry_path: str, out_path: str, checkpoint: str, threshold: float = 0.85) -> StreamingQuery:
+    """Greedy novelty per capsule on a stream of ``(capsule_id, item_id, pos, concept_tag, learning_target)``.
+
+    Kept concepts lie in a versioned table. A batch is judged after the kept concepts of the capsules it
+    names, by the batch operator :func:`greedy_dedup`: its keys are (capsule, rare word), so a capsule with
+    most of the rows is many tasks. Concepts are ordered by batch, then ``pos`` (unique in a capsule and batch),
+    so batches cut in order of arrival give what one batch gives. Rows ``(capsule_id, item_id, is_novel,
+    duplicate_of, similarity)`` go to ``out_path/batch=N``. A batch that is run again sees earlier batches'
+    concepts only and writes the same rows. Null capsules form one capsule of their own.
+    """
+    columns = ["capsule_id", "item_id", "pos", "concept_tag", "learning_target"]
+
+    def judge(batch: DataFrame, number: int) -> None:
+        registry = VersionedTable(batch.sparkSession, registry_path, ["capsule_id", "batch", "pos"])
+        place = F.lit(number).cast("long").alias("batch")
+        rows = durable(batch.select(*columns).withColumns({"batch": place, "pos": F.col("pos").cast("long")}))
+        pool = rows
+        if registry.versions():
+            named = rows.select("capsule_id").distinct().withColumnRenamed("capsule_id", "_named")
+            earlier = registry.read().filter(F.col("batch") < number)
+            pool = pool.unionByName(earlier.join(named, F.col("capsule_id").eqNullSafe(F.col("_named")), "left_semi"))
+        # a null can't be a scope of the joins inside
+        scoped = pool.select(F.struct(F.col("capsule_id").isNull().alias("none"), F.coalesce(F.col("capsule_id").cast("string"), F.lit("")).alias("id")).alias("scope"),
+                             *columns[:2], F.struct("batch", "pos").alias("pos"), *columns[3:])
+        judged = durable(greedy_dedup(scoped, threshold, scope=["scope"]).filter(F.col("pos.batch") == number))
+        novel = ~F.col("is_duplicate")
+        out = judged.select("capsule_id", "item_id", novel.alias("is_novel"), "duplicate_of", F.col("similarity_score").alias("similarity"))
+        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={number}")
+        registry.upsert(judged.filter(novel).select(*columns[:2], "pos.batch", "pos.pos", *columns[3:]))
+
+    return items.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def observed_counts(query: StreamingQuery, name: str) -> dict:
+    """Totals of a measure set (see :func:`lectern.operators.metrics.observe_stage`) over a stream's batches that are still reported."""
+    total: dict = {}
+    for progress in query.recentProgress:
+        seen = progress["observedMetrics"].get(name)
+        for key, value in (seen.asDict() if hasattr(seen, "asDict") else seen or {}).items():
+            total[key] = total.get(key, 0) + (value or 0)
+    return total
