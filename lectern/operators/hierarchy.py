@@ -11,7 +11,7 @@ from pyspark.sql import types as Ty
 from lectern.functions import text as T
 from lectern.functions.naming import entity_key
 from lectern.functions.text import ColumnLike, col
-from lectern.operators.durable import first_by, numbered
+from lectern.operators.durable import durable, first_by, numbered
 
 # level, array that holds it in its parent, key of one entry
 LEVELS = (
@@ -379,7 +379,7 @@ def covered_ranges(names: DataFrame, scope: Sequence[str], position: Sequence[st
     One row per name however long the scope is, where :func:`covered_before` repeats every prefix; a scope with a
     third of all names is many tasks. Rows of equal position have places in either order.
     """
-    return numbered(names, scope, position, "covered_end")
+    return numbered(durable(names), scope, position, "covered_end")  # ranges are drawn from the names in a pass of their own
 
 
 def names_before(asked: DataFrame, ranges: DataFrame, scope: Sequence[str], name: str) -> DataFrame:
