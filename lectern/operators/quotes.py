@@ -241,33 +241,30 @@ def verify_quotes(
     ``texts(item_id, generated_text, required_quote_ids)`` with a null list meaning all of the
     item's quotes; ``quotes(item_id, quote_id, text)``. Unknown ids count as missing.
     """
-    known = quotes.select("item_id", "quote_id", "text")
-    asked = texts.filter(F.col("required_quote_ids").isNotNull())
-    named = asked.select("item_id", F.explode("required_quote_ids").alias("quote_id")).join(known, ["item_id", "quote_id"], "left")
-    free = texts.filter(F.col("required_quote_ids").isNull()).select("item_id")
-    # quotes are settled first, so a text meets its quotes once and never goes through a shuffle for each of them
-    whole = texts.select("item_id", "generated_text", T.normalize_for_matching("generated_text").alias("_plain"))
-    rows = named.unionByName(free.join(known, "item_id")).join(whole, "item_id")
+    # one shuffle of texts and one of quotes, both by item; a text is normalised once, after its shuffle
+    whole = texts.select("item_id", "generated_text", "required_quote_ids").repartition("item_id").withColumn("_plain", T.normalize_for_matching("generated_text"))
+    rows = whole.join(quotes.select("item_id", "quote_id", "text", F.lit(True).alias("_given")), "item_id", "left")
+    required = F.col("required_quote_ids")
+    times = F.when(F.col("_given").isNull(), 0).when(required.isNull(), 1).otherwise(F.size(F.filter(required, lambda r: r == F.col("quote_id"))))
+    rows = rows.withColumn("times", times)
+    text = F.when(F.col("times") > 0, F.col("text"))
     check = (
-        check_quote("generated_text", "text", threshold, score_missing=False, plain_text="_plain") if fuzzy
-        else check_quote_no_fuzzy("generated_text", "text", "_plain")
+        check_quote("generated_text", text, threshold, score_missing=False, plain_text="_plain") if fuzzy
+        else check_quote_no_fuzzy("generated_text", text, "_plain")
     )
-    checked = rows.withColumn("check", check).withColumn(
-        "known", F.col("text").isNotNull()
-    )
-    found = F.col("known") & F.coalesce(F.col("check.found"), F.lit(False))
-    exact = F.col("known") & F.coalesce(F.col("check.exact_match"), F.lit(False))
+    checked = rows.withColumn("check", check).select("item_id", "quote_id", "times", "required_quote_ids", "text", "check")
+    found = F.col("text").isNotNull() & F.coalesce(F.col("check.found"), F.lit(False))
+    exact = F.col("text").isNotNull() & F.coalesce(F.col("check.exact_match"), F.lit(False))
+    weight = lambda when: F.sum(F.when(when, F.col("times")).otherwise(0))
     # the required quotes of one item are a short list written by a plan
     out = checked.groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("required_count"),
-        F.count_if(exact).alias("exact_match_count"),
-        F.count_if(found & ~exact).alias("fuzzy_match_count"),
-        F.array_sort(F.collect_list(F.when(~found, F.col("quote_id")))).alias("missing_quote_ids"),
-    )
-    return (
-        texts.select("item_id")
-        .join(out, "item_id", "left")
-        .fillna(0, ["required_count", "exact_match_count", "fuzzy_match_count"])
-        .withColumn("missing_quote_ids", F.coalesce("missing_quote_ids", T.words_array([])))
-        .withColumn("all_required_found", F.size("missing_quote_ids") == 0)
+        F.any_value("required_quote_ids").alias("required"), weight(F.lit(True)).alias("met"),
+        weight(exact).alias("exact_match_count"), weight(found & ~exact).alias("fuzzy_match_count"),
+        F.flatten(F.collect_list(F.when(~found & (F.col("times") > 0), F.array_repeat("quote_id", F.col("times"))))).alias("lost"),
+        F.collect_set(F.when(F.col("times") > 0, F.col("quote_id"))).alias("known"),
     )
+    unknown = F.filter(F.coalesce("required", T.words_array([])), lambda r: ~F.array_contains(F.col("known"), r))
+    return out.select(
+        "item_id", (F.col("met") + F.size(unknown)).alias("required_count"), "exact_match_count", "fuzzy_match_count",
+        F.array_sort(F.concat("lost", unknown)).alias("missing_quote_ids"),
+    ).withColumn("all_required_found", F.size("missing_quote_ids") == 0)
