@@ -13,7 +13,9 @@ FENCED = r"(?s)\A```[^\n]*\n?(.*?)(?:(?:(?<=\n)|\n)[^\S\n]*```)?\z"
 
 def strip_fences(text: ColumnLike) -> Column:
     """Drop the opening fence line and a closing fence line; other text is only trimmed."""
-    return F.regexp_replace(strip(text), FENCED, "$1")
+    text = col(text)
+    bare = text.startswith("{") & text.endswith("}")  # nothing to drop, as most replies
+    return F.when(bare, text).otherwise(F.regexp_replace(strip(text), FENCED, "$1"))
 
 
 def parsed(text: ColumnLike) -> Column:
