@@ -142,38 +142,31 @@ def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",),
     Children of a critical entity are neither checked nor counted. One pass over the row, no
     shuffle and no join: a document's results are built in place and exploded at the end.
     """
-    def result(kind: str, path: Column, key: Column, fields: Fields) -> tuple[Column, Column]:
-        found = issues(rules_for(kind, extra), fields)
-        status = overall_status(found)
-        row = F.struct(
-            F.lit(kind).alias("entity_type"), key.alias("entity_id"), path.alias("entity_path"),
-            status.alias("overall_status"), found.alias("issues"),
-        ).cast(RESULT)
-        return row, status
+    def checked(kind: str, path: Column, key: Column, fields: Fields, then: Callable[[Column], Column] | None) -> Column:
+        """The entity's row, then the rows of its children, if it isn't critical. Its path, key and issues, and
+        its row, stand in lists of one: each is worked out once, however often what follows refers to it."""
+        made = F.array(F.struct(path.alias("path"), key.alias("key"), issues(rules_for(kind, extra), fields).alias("found")))
+        rows = F.transform(made, lambda m: F.struct(
+            F.lit(kind).alias("entity_type"), m["key"].alias("entity_id"), m["path"].alias("entity_path"),
+            overall_status(m["found"]).alias("overall_status"), m["found"].alias("issues"),
+        ).cast(RESULT))
+        if then is None:
+            return rows
+        return F.flatten(F.transform(rows, lambda r: F.when(r["overall_status"] == "critical", F.array(r)).otherwise(
+            F.concat(F.array(r), then(r["entity_path"])))))
 
     def below(depth: int, parent: Column | None, path: Column) -> Column:
         name, array, key = LEVELS[depth]
 
         def one(child: Column) -> Column:
-            here = F.array_append(path, key(child))
-            row, status = result(name, here, key(child), lambda n: child[n])
-            if depth + 1 == len(LEVELS):
-                return F.array(row)
-            # the row is built once; its status decides whether the children are visited
-            return F.flatten(F.transform(
-                F.array(row),
-                lambda r: F.when(r["overall_status"] == "critical", F.array(r)).otherwise(
-                    F.concat(F.array(r), below(depth + 1, child, here))
-                ),
-            ))
+            then = None if depth + 1 == len(LEVELS) else lambda here: below(depth + 1, child, here)
+            own = key(child)
+            return F.flatten(F.transform(F.array(own), lambda k: checked(name, F.array_append(path, k), k, lambda n: child[n], then)))
 
         source = F.col(array) if parent is None else parent[array]
         return F.flatten(F.transform(source, one))
 
-    root, status = result("skeleton", T.words_array([]), F.lit("skeleton"), F.col)
-    everything = F.when(status == "critical", F.array(root)).otherwise(
-        F.concat(F.array(root), below(0, None, T.words_array([])))
-    )
+    everything = checked("skeleton", T.words_array([]), F.lit("skeleton"), F.col, lambda path: below(0, None, path))
     return unnest_structs(courses, everything, list(keys), "result_pos")
 
 

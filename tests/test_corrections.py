@@ -60,3 +60,11 @@ def test_few_shuffles(spark):
             assert plan.count("Exchange hashpartitioning") <= most, plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_review_items_checks_documents_once(spark, sf):
+    """Both parts come from one pass; the returned frame reads their counts, no documents."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["review_items"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "documents" not in plan
