@@ -12,12 +12,15 @@ def match_books(wanted: DataFrame, hits: DataFrame) -> DataFrame:
 
     ``wanted(book_id, title, author)``, ``hits(title, hit_pos, hit_id, hit_author)``. The best
     of each (title, author) pair is one mergeable minimum, worked out once however many books
-    ask for it.
+    ask for it. Only the first hit of each author of a title can be the best, so a title's copies
+    are gone before the authors asked for meet them.
     """
+    each = hits.groupBy("title", "hit_author").agg(F.min_by(F.struct("hit_id", "hit_pos"), "hit_pos").alias("_hit"))
+    first = each.select("title", "hit_author", "_hit.*")
     asked = wanted.select("title", F.coalesce("author", F.lit("")).alias("author")).distinct()
     fits = (F.col("author") != "") & F.coalesce(F.lower("hit_author"), F.lit("")).contains(F.lower("author"))
     best = (
-        asked.join(hits, "title")
+        asked.join(first, "title")
         .groupBy("title", "author")
         .agg(F.min_by(F.struct("hit_id", "hit_author", "hit_pos"), F.struct((~fits).cast("int"), F.col("hit_pos"))).alias("hit"))
     )
