@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lectern.functions.text import ColumnLike, col
 
@@ -102,6 +102,19 @@ def fuzzy_reach(needle: pd.Series, haystack: pd.Series, least: pd.Series) -> pd.
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def fuzzy_reach_all(needles: pd.Series, haystack: pd.Series, least: pd.Series) -> pd.Series:
+    """:func:`fuzzy_reach` of many needles in one text, which is encoded once."""
+    out = []
+    for many, h, bound in zip(needles, haystack, least):
+        if many is None or h is None:
+            out.append(None)
+            continue
+        codes = _codes(h)
+        out.append([None if n is None else reached_similarity(n, h, bound, codes) for n in many])
+    return pd.Series(out, dtype="object")
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_similarity(needle: pd.Series, haystack: pd.Series) -> pd.Series:
     """Null in, null out: callers null the rows that need no search."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.fuzzy import fuzzy_reach, fuzzy_similarity, may_reach
+from lectern.functions.fuzzy import fuzzy_reach, fuzzy_reach_all, fuzzy_similarity, may_reach
 from lectern.functions.text import ColumnLike, col
 from lectern.operators.durable import first_by
 from lectern.operators.retrieval import vector_topk
@@ -236,35 +236,52 @@ def check_quote_no_fuzzy(text: ColumnLike, quote: ColumnLike, plain_text: Column
 def verify_quotes(
     texts: DataFrame, quotes: DataFrame, threshold: float = 0.85, fuzzy: bool = True
 ) -> DataFrame:
-    """Required quotes in generated texts, one row per item.
+    """Required quotes in generated texts, one row per text.
 
     ``texts(item_id, generated_text, required_quote_ids)`` with a null list meaning all of the
     item's quotes; ``quotes(item_id, quote_id, text)``. Unknown ids count as missing.
+
+    The quotes of an item travel as one array (a short list written by a plan), so a text is moved once,
+    normalised once and meets all of them on its own row. Only lists of quotes that may be near go to Python.
     """
-    # one shuffle of texts and one of quotes, both by item; a text is normalised once, after its shuffle
-    whole = texts.select("item_id", "generated_text", "required_quote_ids").repartition("item_id").withColumn("_plain", T.normalize_for_matching("generated_text"))
-    rows = whole.join(quotes.select("item_id", "quote_id", "text", F.lit(True).alias("_given")), "item_id", "left")
-    required = F.col("required_quote_ids")
-    times = F.when(F.col("_given").isNull(), 0).when(required.isNull(), 1).otherwise(F.size(F.filter(required, lambda r: r == F.col("quote_id"))))
-    rows = rows.withColumn("times", times)
-    text = F.when(F.col("times") > 0, F.col("text"))
-    check = (
-        check_quote("generated_text", text, threshold, score_missing=False, plain_text="_plain") if fuzzy
-        else check_quote_no_fuzzy("generated_text", text, "_plain")
+    given = quotes.groupBy("item_id").agg(F.collect_list(F.struct("quote_id", T.strip("text").alias("text"))).alias("_given"))
+    rows = texts.select("item_id", "generated_text", "required_quote_ids").join(given, "item_id", "left")
+    text, required = F.col("generated_text"), F.col("required_quote_ids")
+    once = F.struct(  # worked out once for all quotes
+        text.alias("text"), T.normalize_for_matching(text).alias("plain"), F.lower(text).alias("low"), required.alias("required"),
+        (required.isNull() | (F.size(F.array_distinct(required)) == F.size(required))).alias("single"),
+        F.filter("_given", lambda q: required.isNull() | F.array_contains(required, q["quote_id"])).alias("met"),
     )
-    checked = rows.withColumn("check", check).select("item_id", "quote_id", "times", "required_quote_ids", "text", "check")
-    found = F.col("text").isNotNull() & F.coalesce(F.col("check.found"), F.lit(False))
-    exact = F.col("text").isNotNull() & F.coalesce(F.col("check.exact_match"), F.lit(False))
-    weight = lambda when: F.sum(F.when(when, F.col("times")).otherwise(0))
-    # the required quotes of one item are a short list written by a plan
-    out = checked.groupBy("item_id").agg(
-        F.any_value("required_quote_ids").alias("required"), weight(F.lit(True)).alias("met"),
-        weight(exact).alias("exact_match_count"), weight(found & ~exact).alias("fuzzy_match_count"),
-        F.flatten(F.collect_list(F.when(~found & (F.col("times") > 0), F.array_repeat("quote_id", F.col("times"))))).alias("lost"),
-        F.collect_set(F.when(F.col("times") > 0, F.col("quote_id"))).alias("known"),
+    rows = rows.select("item_id", F.explode(F.array(once)).alias("_t")).select("item_id", "_t.*")
+
+    def checked(q: Column) -> Column:
+        """1 for exact, 2 for equal but for white space and punctuation, else 0."""
+        times = F.when(F.col("single"), 1).otherwise(F.size(F.filter("required", lambda r: r == q["quote_id"])))
+        plain = F.col("plain").contains(T.normalize_for_matching(q["text"]))
+        step = F.when(F.col("text").contains(q["text"]), 1).when(plain, 2).otherwise(0)
+        return F.struct(q["quote_id"].alias("quote_id"), times.alias("times"), step.alias("step"), q["text"].alias("text"))
+
+    rows = rows.withColumn("met", F.explode(F.array(F.transform(F.coalesce("met", F.array_repeat(F.get("met", F.lit(0)), 0)), checked))))
+    if fuzzy:
+        needle = lambda q: F.when((q["step"] == 0) & may_reach(F.lower(q["text"]), "low", threshold), F.lower(q["text"]))
+        rows = rows.withColumn("needles", F.explode(F.array(F.transform("met", needle))))
+        some = F.exists("needles", lambda n: n.isNotNull())
+        reach = fuzzy_reach_all(F.when(some, F.col("needles")), F.when(some, F.col("low")), F.lit(float(threshold)))
+        rows = rows.select("item_id", "required", "met", reach.alias("reach"))
+        near = lambda q, i: (q["step"] == 2) | F.coalesce(F.get("reach", i) >= threshold, F.lit(False))
+    else:
+        near = lambda q, i: q["step"] == 2
+    told = F.transform("met", lambda q, i: F.struct(q["quote_id"], q["times"], F.when(near(q, i) & (q["step"] != 1), 2).otherwise(q["step"]).alias("step")))
+    rows = rows.select("item_id", "required", F.explode(F.array(told)).alias("met"))
+    total = lambda test: F.aggregate(F.filter("met", test), F.lit(0).cast("long"), lambda s, q: s + q["times"])
+    lost = F.flatten(F.transform(F.filter("met", lambda q: q["step"] == 0), lambda q: F.array_repeat(q["quote_id"], q["times"])))
+    known = F.array_compact(F.transform("met", lambda q: q["quote_id"]))
+    rows = rows.select(
+        "item_id", total(lambda q: F.lit(True)).alias("asked"), total(lambda q: q["step"] == 1).alias("exact_match_count"),
+        total(lambda q: q["step"] == 2).alias("fuzzy_match_count"), lost.alias("lost"),
+        F.explode(F.array(F.filter(F.coalesce("required", T.words_array([])), lambda r: ~F.array_contains(known, r)))).alias("unknown"),
     )
-    unknown = F.filter(F.coalesce("required", T.words_array([])), lambda r: ~F.array_contains(F.col("known"), r))
-    return out.select(
-        "item_id", (F.col("met") + F.size(unknown)).alias("required_count"), "exact_match_count", "fuzzy_match_count",
-        F.array_sort(F.concat("lost", unknown)).alias("missing_quote_ids"),
+    return rows.select(
+        "item_id", (F.col("asked") + F.size("unknown")).alias("required_count"), "exact_match_count", "fuzzy_match_count",
+        F.array_sort(F.concat("lost", "unknown")).alias("missing_quote_ids"),
     ).withColumn("all_required_found", F.size("missing_quote_ids") == 0)
