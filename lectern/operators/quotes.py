@@ -272,14 +272,14 @@ def verify_quotes(
     else:
         near = lambda q, i: q["step"] == 2
     told = F.transform("met", lambda q, i: F.struct(q["quote_id"], q["times"], F.when(near(q, i) & (q["step"] != 1), 2).otherwise(q["step"]).alias("step")))
-    rows = rows.select("item_id", "required", F.explode(F.array(told)).alias("met"))
+    known = F.array_compact(F.transform("met", lambda q: q["quote_id"]))
+    rows = rows.select("item_id", "required", F.explode(F.array(F.struct(told.alias("met"), known.alias("known")))).alias("_t")).select("item_id", "required", "_t.*")
     total = lambda test: F.aggregate(F.filter("met", test), F.lit(0).cast("long"), lambda s, q: s + q["times"])
     lost = F.flatten(F.transform(F.filter("met", lambda q: q["step"] == 0), lambda q: F.array_repeat(q["quote_id"], q["times"])))
-    known = F.array_compact(F.transform("met", lambda q: q["quote_id"]))
     rows = rows.select(
         "item_id", total(lambda q: F.lit(True)).alias("asked"), total(lambda q: q["step"] == 1).alias("exact_match_count"),
         total(lambda q: q["step"] == 2).alias("fuzzy_match_count"), lost.alias("lost"),
-        F.explode(F.array(F.filter(F.coalesce("required", T.words_array([])), lambda r: ~F.array_contains(known, r)))).alias("unknown"),
+        F.explode(F.array(F.filter(F.coalesce("required", T.words_array([])), lambda r: ~F.array_contains("known", r)))).alias("unknown"),
     )
     return rows.select(
         "item_id", (F.col("asked") + F.size("unknown")).alias("required_count"), "exact_match_count", "fuzzy_match_count",
