@@ -32,6 +32,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Whole numbers as such, texts as objects."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+    return np.array(column.to_pylist(), dtype=object)
+
+
 def tiles(queries: int, vectors: int, cells: int) -> Iterator[tuple[slice, slice]]:
     """Blocks of queries and vectors with at most ``cells`` distances, one at least."""
     side = max(1, min(queries, int(cells**0.5)))
@@ -48,59 +55,91 @@ class NearestSoFar:
         self.k, self.metric, self.cells = k, metric, cells
         self.queries = self._unit(queries)
         self.squares = (self.queries**2).sum(axis=1)
-        self.limit = np.full(len(queries), np.inf)  # of the k-th
-        self.at = np.zeros(0, np.int64)
-        self.ids, self.distances = np.zeros(0, object), np.zeros(0)
+        self.kept = np.full((len(queries), k), np.inf)  # distances in rising order
+        self.names: np.ndarray | None = None  # their ids
+        self.counts = np.zeros(len(queries), np.int64)
         self.worked_out = 0
 
+    @property
+    def _filled(self) -> np.ndarray:
+        return np.arange(self.k) < self.counts[:, None]
+
+    @property
+    def at(self) -> np.ndarray:
+        return np.nonzero(self._filled)[0]
+
+    @property
+    def distances(self) -> np.ndarray:
+        return self.kept[self._filled]
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.names[self._filled] if self.names is not None else np.zeros(0, object)
+
     def _unit(self, m: np.ndarray) -> np.ndarray:
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if self.metric == "cosine" else m
 
     def show(self, vectors: np.ndarray, ids: np.ndarray) -> None:
         """Vectors are put beside their nearest pivot, some of themselves. A whole group is passed over
-        for the queries that it is too far from by the triangle inequality."""
+        for the queries that it is too far from by the triangle inequality; groups that nearly all queries
+        want are compared together."""
+        if self.names is None:
+            self.names = np.zeros((len(self.queries), self.k), ids.dtype)
         vectors = self._unit(vectors)
+        sizes = (vectors**2).sum(axis=1)
         pivots = vectors[:: max(1, len(vectors) // PIVOTS)][:PIVOTS]
-        apart = (vectors**2).sum(axis=1)[:, None] - 2.0 * vectors @ pivots.T + (pivots**2).sum(axis=1)[None, :]
-        own = apart.argmin(axis=1)
+        own = (sizes[:, None] - 2.0 * vectors @ pivots.T + (pivots**2).sum(axis=1)[None, :]).argmin(axis=1)
+        slack = _SLACK * np.maximum(1.0, self.squares + sizes.max())
+        limit = self.kept[:, -1] + slack
+        together = []
         for group in np.unique(own):
             members = np.flatnonzero(own == group)
-            near = vectors[members]
-            middle = near.mean(axis=0)
-            reach = float(np.sqrt(((near - middle) ** 2).sum(axis=1).max()))
-            slack = _SLACK * np.maximum(1.0, self.squares + (near**2).sum(axis=1).max())
-            least = np.maximum(0.0, np.sqrt(((self.queries - middle) ** 2).sum(axis=1)) - reach) ** 2
-            wanted = np.flatnonzero(least <= self.limit + slack)
-            for q, v in tiles(len(wanted), len(members), self.cells):
-                self._compare(wanted[q], near[v], ids[members[v]], slack[wanted[q]])
+            middle = vectors[members].mean(axis=0)
+            reach = float(np.sqrt(((vectors[members] - middle) ** 2).sum(axis=1).max()))
+            apart = np.maximum(0.0, self.squares + (middle**2).sum() - 2.0 * self.queries @ middle - slack)
+            wanted = np.flatnonzero(np.maximum(0.0, np.sqrt(apart) - reach) ** 2 <= limit)
+            if len(wanted) > 0.9 * len(self.queries):
+                together.append(members)
+                continue
+            self._compare_tiles(wanted, members, vectors, ids, slack)
+        if together:
+            self._compare_tiles(np.arange(len(self.queries)), np.sort(np.concatenate(together)), vectors, ids, slack)
+
+    def _compare_tiles(self, which: np.ndarray, members: np.ndarray, vectors: np.ndarray, ids: np.ndarray, slack: np.ndarray) -> None:
+        for q, v in tiles(len(which), len(members), self.cells):
+            self._compare(which[q], vectors[members[v]], ids[members[v]], slack[which[q]])
 
     def _compare(self, which: np.ndarray, vectors: np.ndarray, ids: np.ndarray, slack: np.ndarray) -> None:
         queries = self.queries[which]
-        rough = self.squares[which][:, None] + (vectors**2).sum(axis=1)[None, :] - 2.0 * queries @ vectors.T
+        rough = queries @ (-2.0 * vectors.T)
+        rough += (vectors**2).sum(axis=1)[None, :]
+        rough += self.squares[which][:, None]
         self.worked_out += rough.size
-        limit = self.limit[which]
-        if len(vectors) > self.k:
-            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-        at, of = np.nonzero(rough <= (limit + slack)[:, None])
+        near = rough <= (self.kept[which, -1] + slack)[:, None]
+        if len(vectors) > self.k and np.count_nonzero(near) > 4 * self.k * len(which):
+            near &= rough <= (np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)[:, None]
+        at, of = np.nonzero(near)
+        if not len(at):
+            return
         step = max(1, self.cells // max(1, vectors.shape[1]))
         exact = [((vectors[of[x:x + step]] - queries[at[x:x + step]]) ** 2).sum(axis=1) for x in range(0, len(at), step)]
-        if not exact:
-            return
-        self.at = np.concatenate([self.at, which[at]])
-        self.ids = np.concatenate([self.ids, ids[of]])
-        self.distances = np.concatenate([self.distances, *exact])
-        order = np.lexsort((self.ids, self.distances, self.at))
-        first = np.searchsorted(self.at[order], self.at[order], "left")
-        rank = np.arange(len(order)) - first
-        kept = order[rank < self.k]
-        self.at, self.ids, self.distances = self.at[kept], self.ids[kept], self.distances[kept]
-        full = rank[rank < self.k] == self.k - 1
-        self.limit[self.at[full]] = self.distances[full]
+        # only queries with a new candidate are sorted again
+        rows, place = np.unique(at, return_inverse=True)
+        changed = which[rows]
+        old = np.arange(self.k) < self.counts[changed][:, None]
+        at = np.concatenate([np.nonzero(old)[0], place])
+        found = np.concatenate([self.names[changed][old], ids[of]])
+        distances = np.concatenate([self.kept[changed][old], *exact])
+        order = np.lexsort((found, distances, at))
+        rank = np.arange(len(order)) - np.searchsorted(at[order], at[order], "left")
+        best, rank = order[rank < self.k], rank[rank < self.k]
+        self.kept[changed[at[best]], rank], self.names[changed[at[best]], rank] = distances[best], found[best]
+        self.counts[changed] = np.bincount(at[best], minlength=len(changed))
 
     def hits(self, query_ids: np.ndarray, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
         far = self.distances / 2.0 if self.metric == "cosine" else self.distances
         return pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[self.at].tolist(), type=types[0]), pa.array(self.ids.tolist(), type=types[1]), pa.array(far, type=pa.float64())],
+            [pa.array(query_ids[self.at], type=types[0]), pa.array(self.ids, type=types[1]), pa.array(far, type=pa.float64())],
             names=["query_id", "chunk_id", "distance"],
         )
 
@@ -155,7 +194,7 @@ def vector_topk(
 
 def _scan_with_queries(queries, chunks, k, metric, schema, types, cells) -> DataFrame:
     table = queries.toArrow()  # at most a slice
-    ids = np.array(table.column("query_id").to_pylist(), dtype=object)
+    ids = _ids(table.column("query_id"))
     scopes = np.array(table.column("collection").to_pylist(), dtype=object)
     matrix = _matrix(table.column("vector"))
     groups = {s: (ids[scopes == s], matrix[scopes == s]) for s in set(scopes.tolist())}
@@ -164,7 +203,7 @@ def _scan_with_queries(queries, chunks, k, metric, schema, types, cells) -> Data
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, NearestSoFar] = {}
         for batch in batches:
-            chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+            chunk_ids = _ids(batch.column("chunk_id"))
             where = np.array(batch.column("collection").to_pylist(), dtype=object)
             vectors = _matrix(batch.column("vector"))
             for scope in set(where.tolist()) & shared.value.keys():
