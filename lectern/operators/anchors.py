@@ -94,41 +94,43 @@ def anchor_summary(items: DataFrame, anchors: DataFrame, min_anchors: int = 1) -
 def reused_phrase(anchor: ColumnLike, text: ColumnLike, least_chars: int = 15) -> Column:
     """Shortest word run (three words or more) of the anchor that stands in the text, or null.
 
-    Any run of n + 1 words contains a run of n, so a longer run only matters while the runs of
-    three words are under ``least_chars``.
+    Any run of n + 1 words begins with a run of n, so only places where the shorter run stands are tried
+    again, and longer runs only matter while those found are under ``least_chars``.
     """
-    words, low = T.split_words(F.lower(col(anchor))), F.lower(col(text))
+    given = F.struct(T.split_words(F.lower(col(anchor))).alias("words"), F.lower(col(text)).alias("low"))
+    return F.get(F.transform(F.array(given), lambda p: _phrase(p["words"], p["low"], least_chars)), F.lit(0))
+
+
+def _phrase(words: Column, low: Column, least_chars: int) -> Column:
     count = F.size(words)
+    run = lambda i, n: F.array_join(F.slice(words, i, n), " ")
 
-    def run_of(length: Column) -> Column:
-        starts = F.sequence(F.lit(1), count - length + 1)
-        runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, length), " "))
-        return F.get(
-            F.filter(runs, lambda r: (F.length(r) >= least_chars) & low.contains(r)), F.lit(0)
-        )
+    def longer(state: Column, n: Column) -> Column:
+        starts = F.filter(state["starts"], lambda i: (i + n - 1 <= count) & low.contains(run(i, n)))
+        tried = F.transform(F.array(starts), lambda s: F.struct(  # the places are worked out once
+            s.alias("starts"), F.get(F.filter(F.transform(s, lambda i: run(i, n)), lambda r: F.length(r) >= least_chars), F.lit(0)).alias("phrase"),
+        ))
+        return F.when(state["phrase"].isNotNull() | (F.size(state["starts"]) == 0), state).otherwise(F.get(tried, F.lit(0)))
 
-    lengths = F.when(count >= 3, F.sequence(F.lit(3), F.greatest(count, F.lit(3))))
-    found = F.aggregate(
-        lengths,
-        F.lit(None).cast("string"),
-        lambda acc, n: F.when(acc.isNotNull(), acc).otherwise(run_of(n)),
-    )
-    return F.when(count >= 3, found)
+    start = F.struct(F.sequence(F.lit(1), F.greatest(count - 2, F.lit(1))).alias("starts"), F.lit(None).cast("string").alias("phrase"))
+    return F.when(count >= 3, F.aggregate(F.sequence(F.lit(3), F.greatest(count, F.lit(3))), start, longer)["phrase"])
 
 
 def anchor_usage(questions: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Do the answer and explanation reuse anchor wording?
+    """Do the answer and explanation reuse anchor wording? One row per question with anchors.
 
     ``questions(item_id, correct_answer, explanation)``, ``anchors(item_id, anchor_text)``;
-    an item has few anchors.
+    an item has few anchors: they travel as one array, so its text is moved and lower-cased once.
     """
-    text = F.concat_ws(" ", "correct_answer", "explanation")
-    phrase = reused_phrase("anchor_text", text)
-    checked = anchors.join(questions, "item_id").withColumn("phrase", phrase)
-    return checked.groupBy("item_id").agg(
-        F.count("phrase").alias("matched"),
-        F.count_if(F.col("phrase").isNull()).alias("missing"),
-        F.array_sort(F.collect_list("phrase")).alias("phrases"),
+    few = anchors.groupBy("item_id").agg(F.collect_list("anchor_text").alias("_given"), F.count_if(F.col("anchor_text").isNull()).alias("_nulls"))
+    text = F.lower(F.concat_ws(" ", "correct_answer", "explanation"))
+    rows = questions.join(few, "item_id").select("item_id", "_given", "_nulls", F.explode(F.array(text)).alias("_low"))
+    words = lambda a: F.struct(T.split_words(F.lower(a)).alias("words"))
+    found = F.transform(F.transform("_given", words), lambda p: _phrase(p["words"], F.col("_low"), 15))
+    rows = rows.select("item_id", F.explode(F.array(F.struct(F.array_compact(found).alias("p"), (F.size("_given") + F.col("_nulls")).alias("n")))).alias("_f"))
+    matched = F.size("_f.p").cast("long")
+    return rows.select(
+        "item_id", matched.alias("matched"), (F.col("_f.n") - matched).alias("missing"), F.array_sort("_f.p").alias("phrases"),
     ).withColumn(
         "is_valid",
         (F.col("matched") >= 1)
