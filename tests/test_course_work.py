@@ -29,3 +29,12 @@ def test_options_are_drawn_once(spark):
             assert r.m.options[r.m.correct_index] == r.options[r.answer]
         else:
             assert r.m.correct_index == 0
+
+
+def test_results_are_dealt_by_document_once(spark, sf):
+    docs = K.courses(spark, sf)
+    flat = H.flatten(docs, "capsule")
+    results = flat.select("course_id", "entity_path", "capsule.items", F.lit(True).alias("success"))
+    plan = H.put_back(docs, results)._jdf.queryExecution().sparkPlan().toString()
+    full = H.put_back(docs, results)._jdf.queryExecution().executedPlan().toString()
+    assert "entity_path" in plan and not any("entity_path" in line for line in full.splitlines() if "Exchange hashpartitioning" in line)
