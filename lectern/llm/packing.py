@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import stored
+from lectern.llm.common import rows_per_batch, stored
 
 WINDOW, UNIT, DEPTH, END = 2048, 8, 3, 1
+#: What a worker holds at once: rows of a batch, characters of a run, words of a generation. As the pipeline's last
+#: stage it shares its executor with all that the stages before have left there, so this is little.
+ROWS, CHARS, KEPT = 1000, 1_000_000, 100_000
 CUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, class int, nth long"
 
 
@@ -37,11 +40,11 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False, doc_id: str = "do
     """The pieces of all documents; ``nth`` counts those of a class within a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = tokens.encoder(path, drops_space=True), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = tokens.encoder(path, drops_space=True, kept=KEPT), TaskContext.get().partitionId(), Counter()
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
             rows, ids = [], []
-            encoded = (ids for run in tokens.batches_of(batch.column("text").to_pylist()) for ids in encoder.encode_all(run))
+            encoded = (ids for run in tokens.batches_of(batch.column("text").to_pylist(), CHARS) for ids in encoder.encode_all(run))
             for key, body in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 raw = body + end
                 total = len(raw) // 4
@@ -169,7 +172,8 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False, doc_id: str = "doc_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with ``with_ids`` the ids themselves."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path, with_ids, doc_id, text))
+    with rows_per_batch(spark, ROWS):
+        cut = stored(pieces(docs, path, with_ids, doc_id, text))
     counts = {r["class"]: r["n"] for r in cut.groupBy("class").agg(F.count("*").alias("n")).collect()}  # one row per class
     rows = places(plan(counts, WINDOW // UNIT))
     where = spark.createDataFrame(rows, "class int, low long, high long, base long, slot int")

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 #: Words of one generation kept per worker. When it is full it becomes the older one, whose words
 #: move back when they are met; the older one's rest is forgotten. This only saves time.
 KEPT_WORDS = 350_000
+#: Characters of a run of texts, and of texts or words that the library encodes at once.
+RUN_CHARS, WHOLE_CHARS = 4_000_000, 50_000
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")  # the dotted I has two lower-case letters
 # Fixed patterns of the two vocabularies, as they are inside a piece; ends of words become \0.
 _LOWER_WORDS = r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}\x00]+"
@@ -37,18 +39,21 @@ def _has_lone_space(text: str) -> bool:
 
 
 class Encoder:
-    """``drops_space``: the vocabulary is of lower-case words without white space."""
+    """``drops_space``: the vocabulary is of lower-case words without white space. ``kept``: words of a generation."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.drops_space = Tokenizer.from_file(path), drops_space
+        self.tokenizer, self.drops_space, self.kept = Tokenizer.from_file(path), drops_space, kept
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        """The library's encodings are many times as large as the ids, so few are there at once."""
+        out = []
+        for run in batches_of(texts, WHOLE_CHARS):
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -118,7 +123,7 @@ class Encoder:
         if new:
             for at, ids in zip(new, self._whole([words[at] for at in new]), strict=True):
                 found[at] = known[words[at]] = ids
-        if len(known) > KEPT_WORDS:
+        if len(known) > self.kept:
             self.known, self.older = {}, known
         return found
 
@@ -130,18 +135,18 @@ def _put_together(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tup
     return flat[np.repeat(starts[codes] - after[:-1], taken) + np.arange(after[-1])], after
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, kept: int = KEPT_WORDS) -> Encoder:
     """One per worker process."""
-    key = (path, drops_space)
+    key = (path, drops_space, kept)
     if key not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
-        _encoders[key] = Encoder(path, drops_space)
+        _encoders[key] = Encoder(path, drops_space, kept)
     return _encoders[key]
 
 
-def batches_of(texts: list[str | None], chars: int = 4_000_000) -> Iterable[list[str | None]]:
+def batches_of(texts: Iterable[str | None], chars: int = RUN_CHARS) -> Iterable[list[str | None]]:
     """Runs of texts of about so many characters, one at least."""
     run, size = [], 0
     for text in texts:

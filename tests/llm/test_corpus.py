@@ -260,3 +260,29 @@ def test_query_matches_sql(spark, sf, name):
     query, sql = queries.QUERIES[name]
     line = compare(spark, connect(sf), sf, name, query, sql)
     assert line.endswith("ok"), line
+
+
+def test_packing_holds_little_at_once(spark):
+    """The library encodes few texts at once and a batch for Python is short; ids stay the same."""
+    path, given, calls = tokens.vocabulary("word_bpe_49k.json"), [f"日本 text {i} " * 400 for i in range(60)], []
+    encoder = tokens.Encoder(path, drops_space=True)
+    real = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append(sum(map(len, texts)))
+            return real.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Counted()
+    got = encoder.encode_all(given)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [real.encode(t, add_special_tokens=False).ids for t in given]
+    assert max(calls) <= tokens.WHOLE_CHARS + len(given[-1])
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    stored = packing.stored
+    try:
+        packing.stored = lambda df: (seen.append(spark.conf.get(name)), stored(df))[1]
+        assert packing.pack(spark.range(2500).selectExpr("id AS doc_id", "'a b' AS text"), path).count() == 2500
+    finally:
+        packing.stored = stored
+    assert seen == ["1000"] and spark.conf.get(name) == before
