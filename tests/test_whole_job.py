@@ -207,3 +207,18 @@ def test_a_repeat_sees_concepts_kept_after_its_first_copy(spark):
     assert all_pairs(own[2], own[0]) < 0.39 and got[2][0] is False
     near = [(all_pairs(own[1], own[k]), own[k][1]) for k in (0, 2)]
     assert got[1] == (True, "a", round(near[0][0], 6)) and got[3] == (True, *reversed([round(max(near)[0], 6), max(near)[1]]))
+
+
+def test_greedy_rounds_store_no_terms(spark, monkeypatch):
+    """Whole sets are written once; rows of the rounds are of fixed width, and a key of one signature is in none."""
+    stored, files = [], []
+    real, write = novelty.durable, novelty.written
+    monkeypatch.setattr(novelty, "durable", lambda df: stored.append(df.columns) or real(df))
+    monkeypatch.setattr(novelty, "written", lambda df: files.append(write(df)) or files[-1])
+    targets = [f"common shared{i // 2} thing{i // 2} unique{i}x only{i}y" for i in range(20)] + ["lonely words stand apart"]
+    items = spark.createDataFrame([(i, i, "tag", t) for i, t in enumerate(targets)], "item_id long, pos long, concept_tag string, learning_target string")
+    got = {r.pos: r.is_duplicate for r in novelty.greedy_dedup(items, 0.65, head=4).collect()}
+    assert got == {i: i % 2 == 1 and i < 20 for i in range(21)}
+    assert not any({"terms", "_words"} & set(columns) for columns in stored)
+    assert ["_words" in f.columns for f in files].count(True) == 1
+    assert 20 not in {r.sig_id for r in files[1].select("sig_id").collect()}
