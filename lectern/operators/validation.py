@@ -170,16 +170,20 @@ def validate_documents(courses: DataFrame, keys: Sequence[str] = ("course_id",),
     return unnest_structs(courses, everything, list(keys), "result_pos")
 
 
-def funnel(levels: Sequence[tuple[str, DataFrame]], path_keys: Sequence[str]) -> DataFrame:
+def funnel(levels: Sequence[tuple[str, DataFrame]], path_keys: Sequence[str], parts: dict[str, int] | None = None) -> DataFrame:
     """Funnel over flat level tables, top first.
 
     Each table carries the first n of ``path_keys`` and ``overall_status``. A row is visited
     when its parent was visited and is not critical: one semi join per level, on the parent's
     key. Returns ``entity_type``, the path keys (null below the level) and ``overall_status``.
+    ``parts``: to how many partitions the rows of a level are dealt for that join, where the session's number
+    is too small for a task to sort its share in memory.
     """
     out, open_parents = None, None
     for depth, (kind, table) in enumerate(levels, start=1):
         own, parent = list(path_keys[:depth]), list(path_keys[: depth - 1])
+        if open_parents is not None and kind in (parts or {}):
+            table = table.repartition(parts[kind], *parent)
         visited = table if open_parents is None else table.join(open_parents, parent, "left_semi")
         rows = visited.select(
             F.lit(kind).alias("entity_type"),

@@ -222,3 +222,16 @@ def test_greedy_rounds_store_no_terms(spark, monkeypatch):
     assert not any({"terms", "_words"} & set(columns) for columns in stored)
     assert ["_words" in f.columns for f in files].count(True) == 1
     assert 20 not in {r.sig_id for r in files[1].select("sig_id").collect()}
+
+
+def test_funnel_is_dealt_by_rows(spark, monkeypatch):
+    """More rows are more tasks, each with as many rows at most, and the result stays the same."""
+    from catalog import courses
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, courses.funnel_flat(spark, folder).collect()))
+    monkeypatch.setattr(courses, "ROWS_OF_TASK", 100)
+    parts = courses._parts(spark, folder)
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert n / 100 <= parts["item"] < n / 100 + 1
+    assert sorted(map(tuple, courses.funnel_flat(spark, folder).collect())) == want
