@@ -8,7 +8,7 @@ from lectern.operators import corrections as C
 from lectern.operators import hierarchy as H
 from tests.test_corrections import tables
 
-DEALT = ["corrected_course", "corrections_all_levels", "apply_corrections", "course_status", "correction_outcome"]
+DEALT = ["corrected_course", "corrections_all_levels", "apply_corrections", "course_status", "correction_outcome", "capsule_put_back"]
 
 
 @pytest.mark.parametrize("name", DEALT)
